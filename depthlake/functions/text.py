@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from depthlake.functions.numbers import as_number, let, nullif_blank, unify_dashes
 
@@ -51,7 +52,7 @@ def normalize_text(c: Column) -> Column:
     return F.translate(casefold(F.replace(display_text(c), F.lit("№"), F.lit("No"))), "ё", "е")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfkc(values: pd.Series) -> pd.Series:
     """Unicode compatibility form; use it on distinct names, not on long texts."""
     return values.str.normalize("NFKC")

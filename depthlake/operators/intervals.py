@@ -8,11 +8,11 @@ intervals are collapsed by a partial aggregate before anything is sorted.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from depthlake.operators.scan import BLOCK_CM, running
+from depthlake.operators.scan import BLOCK, BLOCK_CM, chains, running, with_block
 
 BIN_CM = 4096
 DYADIC_LEVELS = 10
@@ -103,20 +103,28 @@ def union_intervals(
     df: DataFrame, keys: Sequence[str], *, top: str = "top_cm", base: str = "base_cm",
     tol_cm: int = 0, width: int = BLOCK_CM,
 ) -> DataFrame:
-    """Merge overlapping or touching intervals per key."""
+    """Merge overlapping or touching intervals per key.
+
+    Islands are built per depth block; a block's leading islands join the island still
+    open above it, which one row per block is enough to tell.
+    """
     keys = list(keys)
-    spans = spans_by_top(df, keys, top, base)
-    prev = running(spans, keys, [top], {"__prev": ("max", base)}, width=width)
-    flagged = prev.withColumn(
-        "__new",
-        F.when(F.col("__prev").isNull() | (F.col(top) > F.col("__prev") + tol_cm), 1).otherwise(0).cast("bigint"),
-    )
-    islands = running(flagged, keys, [top], {"__island": ("sum", "__new")}, width=width, inclusive=True)
-    return (
-        islands.groupBy(*keys, "__island")
-        .agg(F.min(top).alias(top), F.max(base).alias(base))
-        .drop("__island")
-    )
+    spans = with_block(spans_by_top(df, keys, top, base), top, width)
+    local = W.partitionBy(*keys, BLOCK).orderBy(top)
+    prev = F.max(base).over(local.rowsBetween(W.unboundedPreceding, -1))
+    flagged = spans.withColumn("__new", F.when(prev.isNull() | (F.col(top) > prev + tol_cm), 1).otherwise(0))
+    islands = flagged.withColumn("__island", F.sum("__new").over(local.rowsBetween(W.unboundedPreceding, 0)))
+    pieces = islands.groupBy(*keys, BLOCK, "__island").agg(F.min(top).alias(top), F.max(base).alias(base))
+    over = W.partitionBy(*keys).orderBy(BLOCK)
+    above = over.rowsBetween(W.unboundedPreceding, -1)
+    blocks = pieces.groupBy(*keys, BLOCK).agg(F.max(base).alias("__b"), F.max(top).alias("__t"))
+    blocks = blocks.withColumn("__reach", F.max("__b").over(above))
+    own = F.col("__reach").isNull() | (F.col("__t") > F.col("__reach") + tol_cm)
+    blocks = blocks.withColumn("__open", F.when(own, F.col("__t"))).select(
+        *keys, BLOCK, "__reach", F.last("__open", ignorenulls=True).over(above).alias("__entry"))
+    joins = F.col(top) <= F.col("__reach") + tol_cm
+    whole = pieces.join(blocks, [*keys, BLOCK]).withColumn("__start", F.when(joins, F.col("__entry")).otherwise(F.col(top)))
+    return whole.groupBy(*keys, F.col("__start").alias(top)).agg(F.max(base).alias(base))
 
 
 def union_length(
@@ -278,24 +286,17 @@ def segment_winners(
 
 def merge_runs(
     segments: DataFrame, keys: Sequence[str], same: Sequence[str], *,
-    top: str = "seg_top", base: str = "seg_base", aggs: Sequence[Column] = (),
+    top: str = "seg_top", base: str = "seg_base", aggs: Mapping[str, tuple[str, str]] | None = None,
     width: int = BLOCK_CM,
 ) -> DataFrame:
     """Merge touching segments whose ``same`` columns agree; inputs must be disjoint."""
-    keys = list(keys)
-    packed = segments.withColumn("__me", F.struct(F.col(base).alias("b"), *[F.col(c).alias(c) for c in same]))
-    prev = running(packed, keys, [top], {"__before": ("last", "__me")}, width=width)
-    new = F.lit(False)
-    for c in same:
-        new = new | ~F.col(f"__before.{c}").eqNullSafe(F.col(c))
-    new = F.col("__before").isNull() | (F.col("__before.b") != F.col(top)) | new
-    flagged = prev.withColumn("__new", F.when(new, 1).otherwise(0).cast("bigint")).drop("__me", "__before")
-    runs = running(flagged, keys, [top], {"__run": ("sum", "__new")}, width=width, inclusive=True)
-    return (
-        runs.groupBy(*keys, "__run", *same)
-        .agg(F.min(top).alias(top), F.max(base).alias(base), *aggs)
-        .drop("__run")
-    )
+    def linked(prev, cur):
+        ok = prev[base] == cur[top]
+        for c in same:
+            ok = ok & prev[c].eqNullSafe(cur[c])
+        return ok
+
+    return chains(segments, keys, [top], linked, {top: ("min", top), base: ("max", base), **(aggs or {})}, keep=same, width=width)
 
 
 def resolve_overlaps(
@@ -339,7 +340,7 @@ def partition_hosts(
     ).withColumn(confidence, F.when(F.col("gap_filled"), F.lit(0)).otherwise(F.col(confidence)))
     same = list(dict.fromkeys([label, *identity, "gap_filled"]))
     same.remove(confidence) if confidence in same else None
-    merged = merge_runs(filled, keys, same, aggs=[F.min(confidence).alias(confidence)])
+    merged = merge_runs(filled, keys, same, aggs={confidence: ("min", confidence)})
     return merged.withColumnsRenamed({"seg_top": top, "seg_base": base})
 
 
@@ -353,40 +354,58 @@ def coalesce_adjacent(
     Only neighbours in (top, base, order) merge, and a layer without both depths never
     does.  ``joined`` text columns are merged as distinct values in first-seen order.
     """
-    keys = list(keys)
-    ranked = df.withColumn("__known", F.col(top).isNotNull() & F.col(base).isNotNull())
-    ranked = ranked.withColumn("__at", F.coalesce(top, F.lit(SENTINEL))).withColumn(
-        "__end", F.coalesce(base, F.lit(0)))
-    order_by = ["__at", "__end", *order]
-    me = F.struct(F.col("__known").alias("known"), *[F.col(c).alias(c) for c in identity])
-    prev = running(ranked.withColumn("__me", me), keys, order_by, {"__before": ("last", "__me")}, width=width)
-    change = F.col("__before").isNull() | ~F.col("__before.known") | ~F.col("__known")
-    for c in identity:
-        change = change | ~F.col(f"__before.{c}").eqNullSafe(F.col(c))
-    runs = running(
-        prev.withColumn("__new", F.when(change, 1).otherwise(0).cast("bigint")).drop("__me", "__before"),
-        keys, order_by, {"__run": ("sum", "__new")}, width=width, inclusive=True)
-    ends = running(runs, [*keys, "__run"], order_by, {"__prev": ("max", base)}, width=width)
-    broken = F.col("__prev").isNull() | (F.col(top) > F.col("__prev") + tol_cm) | ~F.col("__known")
-    islands = running(
-        ends.withColumn("__new", F.when(broken, 1).otherwise(0).cast("bigint")),
-        keys, order_by, {"__island": ("sum", "__new")}, width=width, inclusive=True)
-    first = F.struct(*[F.col(c) for c in order_by])
-    texts = []
+    keys, identity = list(keys), list(identity)
+    known = F.col(top).isNotNull() & F.col(base).isNotNull()
+    ranked = df.withColumns({
+        "__known": known, "__from": F.coalesce(top, F.lit(SENTINEL)), "__to": F.coalesce(base, F.lit(-SENTINEL))})
+    ranked = ranked.withColumn("__at", F.struct("__from", F.coalesce(base, F.lit(0)), *order))
+    ranked = ranked.withColumn("__me", F.struct("__known", *identity))
+    blocked = with_block(ranked, "__from", width)
+    local = W.partitionBy(*keys, BLOCK).orderBy("__at")
+    upto = local.rowsBetween(W.unboundedPreceding, 0)
+    alike = F.coalesce(F.col("__known") & F.lag("__known").over(local) & (F.lag("__me").over(local) == F.col("__me")), F.lit(False))
+    runs = blocked.withColumn("__new", F.when(alike, 0).otherwise(1)).withColumn("__run", F.sum("__new").over(upto))
+    in_run = W.partitionBy(*keys, BLOCK, "__run").orderBy("__at").rowsBetween(W.unboundedPreceding, -1)
+    low = F.max("__to").over(in_run)
+    islands = runs.withColumn("__new", F.when(low.isNull() | (F.col("__from") > low + tol_cm), 1).otherwise(0)).withColumn(
+        "__island", F.sum("__new").over(upto))
+    pieces = islands.groupBy(*keys, BLOCK, "__run", "__island", "__known", "__me").agg(
+        F.min("__at").alias("__start"), F.min("__from").alias("__from"), F.max("__to").alias("__to"),
+        F.min(top).alias(top), F.max(base).alias(base), F.count(F.lit(1)).alias("merged_rows"))
+    # One row per block: its first run, its last run and where its last island starts.
+    over = W.partitionBy(*keys).orderBy(BLOCK)
+    above = over.rowsBetween(W.unboundedPreceding, -1)
+    runs_of = pieces.groupBy(*keys, BLOCK, "__run", "__known", "__me").agg(
+        F.max("__to").alias("__to"), F.max("__start").alias("__start"), F.max("__from").alias("__last"))
+    pick = lambda f, c: f(c, "__run")
+    blocks = runs_of.groupBy(*keys, BLOCK).agg(
+        pick(F.min_by, "__me").alias("__first"), pick(F.max_by, "__me").alias("__final"), F.count(F.lit(1)).alias("__n"),
+        pick(F.max_by, "__to").alias("__to"), pick(F.max_by, "__start").alias("__bs"), pick(F.max_by, "__last").alias("__last"))
+    same = F.coalesce((F.lag("__final").over(over) == F.col("__first")) & F.col("__first.__known"), F.lit(False))
+    blocks = blocks.withColumn("__joins", same).withColumn(
+        "__g", F.sum(F.when((F.col("__n") > 1) | ~F.col("__joins"), 1).otherwise(0)).over(over.rowsBetween(W.unboundedPreceding, 0)))
+    trail = W.partitionBy(*keys, "__g").orderBy(BLOCK).rowsBetween(W.unboundedPreceding, 0)
+    blocks = blocks.withColumn("__exit", F.max("__to").over(trail))
+    blocks = blocks.withColumn("__reach", F.when(F.col("__joins"), F.lag("__exit").over(over)))
+    swallowed = (F.col("__n") == 1) & F.coalesce(F.col("__last") <= F.col("__reach") + tol_cm, F.lit(False))
+    blocks = blocks.withColumn("__open", F.when(~swallowed, F.col("__bs")))
+    blocks = blocks.select(*keys, BLOCK, "__reach", F.last("__open", ignorenulls=True).over(above).alias("__entry"))
+    joins = (F.col("__run") == 1) & F.coalesce(F.col("__from") <= F.col("__reach") + tol_cm, F.lit(False))
+    whole = pieces.join(blocks, [*keys, BLOCK]).withColumn("__start", F.when(joins, F.col("__entry")).otherwise(F.col("__start")))
+    merged = whole.groupBy(*keys, "__start", "__me").agg(
+        F.min(top).alias(top), F.max(base).alias(base), F.sum("merged_rows").alias("merged_rows"))
+    shaped = merged.select(*keys, "__start", *[F.col(f"__me.{c}").alias(c) for c in identity], top, base, "merged_rows")
+    if not joined:
+        return shaped.drop("__start")
+    member = islands.join(blocks, [*keys, BLOCK]).withColumn("__start", F.when(joins, F.col("__entry")))
+    starts = pieces.select(*keys, BLOCK, "__run", "__island", F.col("__start").alias("__own"))
+    member = member.join(starts, [*keys, BLOCK, "__run", "__island"]).withColumn("__start", F.coalesce("__start", "__own"))
     for c in joined:
-        firsts = islands.filter(F.trim(F.coalesce(c, F.lit(""))) != "").groupBy(*keys, "__island", c).agg(
-            F.min(first).alias("__seen"))
-        texts.append(firsts.groupBy(*keys, "__island").agg(
-            F.array_join(F.transform(
-                F.array_sort(F.collect_list(F.struct("__seen", F.col(c).alias("v")))), lambda s: s["v"]), " | "
-            ).alias(c)))
-    merged = islands.groupBy(*keys, "__island").agg(
-        F.min(top).alias(top), F.max(base).alias(base), F.count(F.lit(1)).alias("merged_rows"),
-        *[F.first(c).alias(c) for c in identity],
-    )
-    for t in texts:
-        merged = merged.join(t, [*keys, "__island"], "left")
-    return merged.drop("__island")
+        seen = member.filter(F.trim(F.coalesce(c, F.lit(""))) != "").groupBy(*keys, "__start", c).agg(F.min("__at").alias("__seen"))
+        texts = seen.groupBy(*keys, "__start").agg(F.array_join(F.transform(
+            F.array_sort(F.collect_list(F.struct("__seen", F.col(c).alias("v")))), lambda s: s["v"]), " | ").alias(c))
+        shaped = shaped.join(texts, [*keys, "__start"], "left")
+    return shaped.drop("__start")
 
 
 def merge_fragments(
@@ -397,33 +416,24 @@ def merge_fragments(
 ) -> DataFrame:
     """Drop small fragments, then merge near neighbours of one class down a column.
 
-    A fragment joins the band above it when the vertical gap to the band's lowest edge is
-    inside ``gap`` and the two share at least ``share`` of the narrower width.
+    A fragment joins the fragment above it when their vertical gap is inside ``gap`` and
+    they share at least ``share`` of the narrower width.  A kept fragment is higher than the
+    allowed overlap, so the fragment above always holds the band's lowest edge.
     """
-    keys = list(keys)
     kept = boxes.filter((F.col(base) - F.col(top)) >= min_height)
-    me = F.struct(F.col(left).alias("l"), F.col(right).alias("r"), *[F.col(c).alias(c) for c in identity])
-    order_by = [top, *order]
-    prev = running(kept.withColumn("__me", me), keys, order_by, {"__before": ("last", "__me")}, width=width)
-    shared = F.least(F.col(right), F.col("__before.r")) - F.greatest(F.col(left), F.col("__before.l"))
-    narrow = F.least(F.col(right) - F.col(left), F.col("__before.r") - F.col("__before.l"))
-    change = F.col("__before").isNull() | (shared < narrow * share)
-    for c in identity:
-        change = change | ~F.col(f"__before.{c}").eqNullSafe(F.col(c))
-    runs = running(
-        prev.withColumn("__new", F.when(change, 1).otherwise(0).cast("bigint")).drop("__me", "__before"),
-        keys, order_by, {"__run": ("sum", "__new")}, width=width, inclusive=True)
-    low = running(runs, [*keys, "__run"], order_by, {"__low": ("max", base)}, width=width)
-    delta = F.col(top) - F.col("__low")
-    broken = F.col("__low").isNull() | (delta < gap[0]) | (delta > gap[1])
-    islands = running(
-        low.withColumn("__new", F.when(broken, 1).otherwise(0).cast("bigint")),
-        keys, order_by, {"__island": ("sum", "__new")}, width=width, inclusive=True)
-    return islands.groupBy(*keys, "__island").agg(
-        F.min(top).alias(top), F.max(base).alias(base), F.min(left).alias(left), F.max(right).alias(right),
-        F.min(confidence).alias(confidence), F.count(F.lit(1)).alias("merged_rows"),
-        *[F.first(c).alias(c) for c in identity],
-    ).drop("__island")
+
+    def linked(prev, cur):
+        shared = F.least(prev[right], cur[right]) - F.greatest(prev[left], cur[left])
+        narrow = F.least(prev[right] - prev[left], cur[right] - cur[left])
+        delta = cur[top] - prev[base]
+        ok = (shared >= narrow * share) & (delta >= gap[0]) & (delta <= gap[1])
+        for c in identity:
+            ok = ok & prev[c].eqNullSafe(cur[c])
+        return ok
+
+    aggs = {top: ("min", top), base: ("max", base), left: ("min", left), right: ("max", right),
+            confidence: ("min", confidence), "merged_rows": ("sum", "__one")}
+    return chains(kept.withColumn("__one", F.lit(1).cast("bigint")), keys, [top, *order], linked, aggs, keep=identity, width=width)
 
 
 def tie_in(

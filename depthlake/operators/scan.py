@@ -98,6 +98,58 @@ def running(
     )
 
 
+REDUCERS = {"min": F.min, "max": F.max, "sum": F.sum}
+
+
+def chains(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    linked,
+    aggs: Mapping[str, tuple[str, str]],
+    *,
+    keep: Sequence[str] = (),
+    width: int = BLOCK_CM,
+) -> DataFrame:
+    """Reduce maximal chains of neighbours: a row joins the row before it when ``linked``.
+
+    ``linked(prev, cur)`` gets two structs of the row's columns.  ``aggs`` maps an output
+    to ``(min | max | sum, column)``; ``keep`` columns come from the first row of a chain.
+    Chains are built and reduced inside each block first; only one row per block takes
+    part in stitching them across blocks.
+    """
+    keys, order, keep = list(keys), list(order), list(keep)
+    row = F.struct(*[F.col(c) for c in df.columns])
+    at = F.struct(*[F.col(c) for c in order])
+    blocked = with_block(df, order[0], width).select("*", row.alias("__row"), at.alias("__at"))
+    local = W.partitionBy(*keys, BLOCK).orderBy("__at")
+    before = F.lag("__row").over(local)
+    marked = blocked.withColumn("__before", before)
+    fresh = F.when(F.col("__before").isNull() | ~F.coalesce(linked(F.col("__before"), F.col("__row")), F.lit(False)), 1).otherwise(0)
+    runs = marked.withColumn("__new", fresh).withColumn(
+        "__run", F.sum("__new").over(local.rowsBetween(W.unboundedPreceding, 0)))
+    reduced = [REDUCERS[kind](col).alias(name) for name, (kind, col) in aggs.items()]
+    pieces = runs.groupBy(*keys, BLOCK, "__run").agg(
+        F.min("__at").alias("__start"), F.min_by("__row", "__at").alias("__first"), F.max_by("__row", "__at").alias("__last"), *reduced)
+    blocks = pieces.groupBy(*keys, BLOCK).agg(
+        F.min_by("__first", "__run").alias("__bf"), F.max_by("__last", "__run").alias("__bl"),
+        F.max_by("__start", "__run").alias("__bs"), F.count(F.lit(1)).alias("__n"))
+    over = W.partitionBy(*keys).orderBy(BLOCK)
+    joined_on = F.coalesce(linked(F.lag("__bl").over(over), F.col("__bf")), F.lit(False))
+    blocks = blocks.withColumn("__joins", joined_on)
+    blocks = blocks.withColumn("__open", F.when((F.col("__n") > 1) | ~F.col("__joins"), F.col("__bs")))
+    entry = F.last("__open", ignorenulls=True).over(over.rowsBetween(W.unboundedPreceding, -1))
+    stitched = blocks.select(*keys, BLOCK, "__joins", entry.alias("__entry"))
+    whole = pieces.join(stitched, [*keys, BLOCK]).withColumn(
+        "__start", F.when((F.col("__run") == 1) & F.col("__joins"), F.col("__entry")).otherwise(F.col("__start")))
+    first = F.min_by("__first", F.struct(BLOCK, "__run"))
+    return (
+        whole.groupBy(*keys, "__start")
+        .agg(first.alias("__first"), *[REDUCERS[kind](name).alias(name) for name, (kind, _) in aggs.items()])
+        .select(*keys, *[F.col(f"__first.{c}").alias(c) for c in keep], *aggs)
+    )
+
+
 def numbered(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn",
     *, width: int = BLOCK_CM,

@@ -11,4 +11,4 @@ def load():
     return REGISTRY
 
 
-MODULES = ("interval_queries", "text_queries")
+MODULES = ("interval_queries", "text_queries", "ingest_queries")

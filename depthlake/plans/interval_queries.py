@@ -262,12 +262,10 @@ def coalesce(t: Tables) -> DataFrame:
 @query("W5_merge_fragments", """
 WITH o AS (SELECT *, CASE WHEN lag(label) OVER w = label
    AND least("right", lag("right") OVER w) - greatest("left", lag("left") OVER w)
-     >= 0.65 * least("right" - "left", lag("right") OVER w - lag("left") OVER w) THEN 0 ELSE 1 END AS n
+     >= 0.65 * least("right" - "left", lag("right") OVER w - lag("left") OVER w)
+   AND top - lag(bottom) OVER w BETWEEN -2 AND 8 THEN 0 ELSE 1 END AS n
    FROM detections WHERE bottom - top >= 5 AND NOT reviewed WINDOW w AS (PARTITION BY photo ORDER BY top, det)),
- r AS (SELECT *, sum(n) OVER (PARTITION BY photo ORDER BY top, det ROWS UNBOUNDED PRECEDING) AS run FROM o),
- p AS (SELECT *, max(bottom) OVER (PARTITION BY photo, run ORDER BY top, det ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM r),
- i AS (SELECT *, sum(CASE WHEN low IS NULL OR top - low < -2 OR top - low > 8 THEN 1 ELSE 0 END) OVER (PARTITION BY photo
-   ORDER BY top, det ROWS UNBOUNDED PRECEDING) AS isl FROM p)
+ i AS (SELECT *, sum(n) OVER (PARTITION BY photo ORDER BY top, det ROWS UNBOUNDED PRECEDING) AS isl FROM o)
 SELECT photo, label, min(top) AS top, max(bottom) AS bottom, min("left") AS "left", max("right") AS "right",
   min(conf) AS conf, count(*) AS merged_rows FROM i GROUP BY photo, isl, label""")
 def fragments(t: Tables) -> DataFrame:
