@@ -73,11 +73,11 @@ class Tables:
 
     def samples(self) -> DataFrame:
         """Log samples: one row per (well, curve, depth second) with summed value in hundredths."""
-        start = self.events.agg(F.min(F.floor(F.unix_micros(F.col("ts")) / 1000000))).scalar()
+        start = self.events.agg(F.min(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000))).scalar()
         return (
             self.events.select(
                 (F.col("user_id") % 10).alias("well"), F.col("event_type").alias("curve"),
-                (F.floor(F.unix_micros(F.col("ts")) / 1000000) - start).cast("bigint").alias("depth"),
+                (F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000) - start).cast("bigint").alias("depth"),
                 F.round(F.col("value") * 100).cast("bigint").alias("v"),
             ).groupBy("well", "curve", "depth").agg(F.max("v").alias("v"))
         )
