@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from depthlake.functions.numbers import let
 
@@ -21,9 +22,11 @@ def open_ring(poly: Column) -> Column:
 
 def twice_area(poly: Column) -> Column:
     """Twice the signed shoelace area."""
-    terms = F.transform(poly, lambda p, i: p["x"] * _next(poly, i)["y"] - _next(poly, i)["x"] * p["y"])
-    zero = F.get(terms, 0) * 0
-    return F.when(F.size(poly) > 0, F.aggregate(terms, zero, lambda a, v: a + v))
+    def total(ring):
+        terms = F.transform(ring, lambda p, i: p["x"] * _next(ring, i)["y"] - _next(ring, i)["x"] * p["y"])
+        return let(terms, lambda v: F.when(F.size(v) > 0, F.aggregate(v, F.get(v, 0) * 0, lambda acc, x: acc + x)))
+
+    return let(poly, total)
 
 
 def area(poly: Column) -> Column:
@@ -33,8 +36,11 @@ def area(poly: Column) -> Column:
 
 def bounds(poly: Column) -> Column:
     """Bounding box struct<left, top, right, bottom> (A1)."""
-    xs, ys = F.transform(poly, lambda p: p["x"]), F.transform(poly, lambda p: p["y"])
-    return F.struct(F.array_min(xs).alias("left"), F.array_min(ys).alias("top"), F.array_max(xs).alias("right"), F.array_max(ys).alias("bottom"))
+    def box(ring):
+        xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
+        return F.struct(F.array_min(xs).alias("left"), F.array_min(ys).alias("top"), F.array_max(xs).alias("right"), F.array_max(ys).alias("bottom"))
+
+    return let(poly, box)
 
 
 def _turn(a, b, c):
@@ -48,7 +54,7 @@ def _on(a, b, c):
 
 
 def edges(poly: Column) -> Column:
-    return F.transform(poly, lambda p, i: F.struct(i.alias("i"), p.alias("a"), _next(poly, i).alias("b")))
+    return let(poly, lambda ring: F.transform(ring, lambda p, i: F.struct(i.alias("i"), p.alias("a"), _next(ring, i).alias("b"))))
 
 
 def self_intersects(poly: Column, eps: float = 1e-9) -> Column:
@@ -167,26 +173,30 @@ def minimum_span(y0: Column, y1: Column, top: Column, bottom: Column, least: flo
     return F.when(y1 - y0 >= need, F.struct(y0.cast("double").alias("y0"), y1.cast("double").alias("y1"))).otherwise(wide)
 
 
-def rle_stats(runs: Column, height: Column, width: Column) -> Column:
+def _ink(runs, height: int, width: int):
+    """(area, left, top, right, bottom) of one mask, None when the runs fall short."""
+    if runs is None or height <= 0 or width <= 0:
+        return None
+    runs = np.asarray(runs, dtype=np.int64)
+    ends = np.minimum(np.cumsum(runs), height * width)
+    if not len(runs) or (runs < 0).any() or ends[-1] < height * width:
+        return None
+    starts = np.concatenate(([0], ends[:-1]))
+    ink = (np.arange(len(runs)) % 2 == 1) & (ends > starts)
+    first, last = starts[ink], ends[ink] - 1
+    if not len(first):
+        return 0, None, None, None, None
+    tall = first // height != last // height
+    return (
+        int((last - first + 1).sum()), int((first // height).min()), int(np.where(tall, 0, first % height).min()),
+        int((last // height).max()) + 1, int(np.where(tall, height - 1, last % height).max()) + 1)
+
+
+@pandas_udf(StructType([StructField(name, LongType()) for name in ("area", "left", "top", "right", "bottom")]))
+def rle_stats(runs: pd.Series, height: pd.Series, width: pd.Series) -> pd.DataFrame:
     """Foreground area and bounding box of column-major run lengths; NULL when they fall short."""
-    size = height * width
-    placed = F.aggregate(
-        runs, F.struct(F.lit(0).cast("bigint").alias("at"), F.expr("cast(array() as array<struct<s:bigint,e:bigint>>)").alias("out")),
-        lambda acc, r: F.struct(
-            F.least(acc["at"] + r, size).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(acc["at"].alias("s"), F.least(acc["at"] + r, size).alias("e")))).alias("out")))
-
-    def stats(p):
-        ink = F.filter(p["out"], lambda s, i: (i % 2 == 1) & (s["e"] > s["s"]))
-        whole = lambda s: F.floor(s["s"] / height) != F.floor((s["e"] - 1) / height)
-        return F.when((p["at"] >= size) & ~F.exists(runs, lambda r: r < 0), F.struct(
-            F.aggregate(ink, F.lit(0).cast("bigint"), lambda a, s: a + s["e"] - s["s"]).alias("area"),
-            F.array_min(F.transform(ink, lambda s: F.floor(s["s"] / height))).alias("left"),
-            F.array_min(F.transform(ink, lambda s: F.when(whole(s), F.lit(0)).otherwise(s["s"] % height))).alias("top"),
-            (F.array_max(F.transform(ink, lambda s: F.floor((s["e"] - 1) / height))) + 1).alias("right"),
-            (F.array_max(F.transform(ink, lambda s: F.when(whole(s), height - 1).otherwise((s["e"] - 1) % height))) + 1).alias("bottom")))
-
-    return let(placed, stats)
+    rows = [_ink(r, h, w) or (None,) * 5 for r, h, w in zip(runs, height, width)]
+    return pd.DataFrame(rows, columns=["area", "left", "top", "right", "bottom"]).astype("Int64")
 
 
 def _runs_of(text: str | None):
@@ -218,10 +228,12 @@ def rle_runs(counts: pd.Series) -> pd.Series:
 
 def mask_size(poly: Column, width: Column, height: Column) -> Column:
     """'small' or 'large' mask, NULL otherwise."""
-    box = bounds(poly)
-    w, h = box["right"] - box["left"], box["bottom"] - box["top"]
-    share = (w * h) / F.greatest(F.lit(1.0), (width * height).cast("double"))
-    return F.when(F.size(poly) >= 3, F.when((w < 5) | (h < 5) | (share < 0.00025), "small").when(share > 0.90, "large"))
+    def kind(box):
+        w, h = box["right"] - box["left"], box["bottom"] - box["top"]
+        share = (w * h) / F.greatest(F.lit(1.0), (width * height).cast("double"))
+        return F.when((w < 5) | (h < 5) | (share < 0.00025), "small").when(share > 0.90, "large")
+
+    return F.when(F.size(poly) >= 3, let(bounds(poly), kind))
 
 
 def contains_point(poly: Column, x: Column, y: Column) -> Column:

@@ -12,7 +12,8 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, LongType
 
 from depthlake.functions import geometry as G
 from depthlake.session import ensure_checkpoint_dir
@@ -183,76 +184,104 @@ def review_queue(df: DataFrame, *, limit: int = 100, confidence: str = "confiden
     return df.withColumn("priority", priority).orderBy(F.desc("priority"), F.lower(F.col(well).cast("string")), confidence, *tie).limit(limit)
 
 
-def _with_pandas(df: DataFrame, keys: Sequence[str], helper, *extra: str) -> DataFrame:
-    schema = StructType([*df.schema.fields, *[StructField(name, LongType()) for name in extra]])
-    return df.groupBy(*keys).applyInPandas(helper, schema)
+def _per_photo(df: DataFrame, photo: str, fields: Sequence[str], helper, out: str) -> DataFrame:
+    """Add ``out`` from a helper that sees one photo's rows as an array of structs.
+
+    Photos travel as arrays in Arrow batches, so a task handles many photos per call.
+    """
+    others = [c for c in df.columns if c != photo]
+    rows = df.groupBy(photo).agg(F.sort_array(F.collect_list(F.struct(*fields, F.struct(*others).alias("__row")))).alias("__rows"))
+    numbered = rows.withColumn("__v", helper(F.transform("__rows", lambda r: F.struct(*[r[f].alias(f) for f in fields]))))
+    each = F.arrays_zip("__rows", "__v")
+    return numbered.select(photo, F.explode(each).alias("__e")).select(
+        photo, *[F.col(f"__e.__rows.__row.{c}").alias(c) for c in others], F.col("__e.__v").alias(out))
+
+
+def _reading_places(boxes) -> list[int]:
+    """Places of boxes given in (centre, top, ident, left, width) order."""
+    widths = sorted(max(1.0, b["w"]) for b in boxes)
+    tol = max(12.0, widths[len(widths) // 2] * 0.65)
+    centres: list[float] = []
+    members: list[list[float]] = []
+    lanes = []
+    for b in boxes:
+        gaps = [abs(b["cx"] - c) for c in centres]
+        at = gaps.index(min(gaps)) if gaps else -1
+        if at < 0 or gaps[at] > tol:
+            at = len(centres)
+            centres.append(b["cx"])
+            members.append([])
+        members[at].append(b["cx"])
+        centres[at] = sum(members[at]) / len(members[at])
+        lanes.append(at)
+    order = sorted(range(len(boxes)), key=lambda i: (centres[lanes[i]], lanes[i], boxes[i]["top"], boxes[i]["left"], boxes[i]["ident"]))
+    places = [0] * len(boxes)
+    for place, i in enumerate(order):
+        places[i] = place
+    return places
+
+
+def _text_rows(tokens, tolerance: float) -> list[int]:
+    """Row numbers of tokens given in y order."""
+    out, open_row, number = [], [], -1
+    for token in tokens:
+        if not open_row or token["y"] - float(np.median(open_row)) > tolerance:
+            open_row, number = [], number + 1
+        open_row.append(token["y"])
+        out.append(number)
+    return out
+
+
+def _lanes(boxes) -> list[list[int]]:
+    """Envelopes of boxes given in (left, top, ident) order, each joining the first lane it fits."""
+    lanes: list[list[int]] = []
+    for b in boxes:
+        left, top, right, bottom = b["left"], b["top"], b["right"], b["bottom"]
+        for lane in lanes:
+            narrow = min(right - left, lane[2] - lane[0])
+            shared = min(right, lane[2]) - max(left, lane[0])
+            if narrow > 0 and shared >= narrow * 0.55 and abs((left + right) / 2 - (lane[0] + lane[2]) / 2) <= max(5.0, narrow * 0.48):
+                lane[:] = [min(lane[0], left), min(lane[1], top), max(lane[2], right), max(lane[3], bottom)]
+                break
+        else:
+            lanes.append([left, top, right, bottom])
+    return lanes
+
+
+@pandas_udf(ArrayType(LongType()))
+def _places_udf(rows: pd.Series) -> pd.Series:
+    return rows.map(_reading_places)
+
+
+@pandas_udf(ArrayType(ArrayType(LongType())))
+def _lanes_udf(rows: pd.Series) -> pd.Series:
+    return rows.map(_lanes)
 
 
 def reading_order(df: DataFrame, order: str, *, photo: str = "photo") -> DataFrame:
     """Place of each box: columns of near centres left to right, then top to bottom."""
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.assign(cx=(pdf["left"] + pdf["right"]) / 2, w=np.maximum(1.0, pdf["right"] - pdf["left"]))
-        widths = np.sort(rows["w"].to_numpy())
-        tol = max(12.0, widths[len(widths) // 2] * 0.65)
-        rows = rows.sort_values(["cx", "top", order])
-        centres, members, lane = [], [], []
-        for cx in rows["cx"]:
-            gaps = [abs(cx - c) for c in centres]
-            at = int(np.argmin(gaps)) if gaps else -1
-            if at < 0 or gaps[at] > tol:
-                centres.append(cx)
-                members.append([cx])
-                at = len(centres) - 1
-            else:
-                members[at].append(cx)
-                centres[at] = sum(members[at]) / len(members[at])
-            lane.append(at)
-        rank = {lane_no: i for i, lane_no in enumerate(np.argsort(centres, kind="stable"))}
-        rows["lane"] = [rank[v] for v in lane]
-        rows = rows.sort_values(["lane", "top", "left", order])
-        rows["place"] = np.arange(len(rows))
-        return rows.drop(columns=["cx", "w", "lane"])
-
-    return _with_pandas(df, [photo], place, "place")
+    shaped = df.withColumns({"cx": (F.col("left") + F.col("right")) / 2, "w": (F.col("right") - F.col("left")).cast("double"), "ident": F.col(order)})
+    got = _per_photo(shaped, photo, ["cx", "top", "ident", "left", "w"], _places_udf, "place")
+    return got.drop("cx", "w", "ident")
 
 
 def token_rows(df: DataFrame, tolerance: float, *, photo: str = "photo", y: str = "y", tie: str = "token") -> DataFrame:
     """Text rows: a token opens a row when it lies below the open row's median by more than the tolerance."""
-    def rows_of(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([y, tie])
-        out, open_row, number = [], [], -1
-        for value in pdf[y]:
-            if not open_row or value - float(np.median(open_row)) > tolerance:
-                open_row, number = [value], number + 1
-            else:
-                open_row.append(value)
-            out.append(number)
-        return pdf.assign(text_row=out)
+    @pandas_udf(ArrayType(LongType()))
+    def rows_udf(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda r: _text_rows(r, tolerance))
 
-    return _with_pandas(df, [photo], rows_of, "text_row")
+    shaped = df.withColumns({"__y": F.col(y).cast("double"), "__tie": F.col(tie)})
+    named = shaped.withColumnsRenamed({y: "__keep"}).withColumnRenamed("__y", "y")
+    return _per_photo(named, photo, ["y", "__tie"], rows_udf, "text_row").drop("y", "__tie").withColumnRenamed("__keep", y)
 
 
 def merge_lanes(df: DataFrame, order: str, *, photo: str = "photo") -> DataFrame:
     """Fuse column proposals of one lane into their envelope, first fit in order."""
-    def fuse(pdf: pd.DataFrame) -> pd.DataFrame:
-        lanes: list[list[float]] = []
-        for _, b in pdf.sort_values(["left", "top", order]).iterrows():
-            cx, w = (b["left"] + b["right"]) / 2, b["right"] - b["left"]
-            for lane in lanes:
-                narrow = min(w, lane[2] - lane[0])
-                shared = min(b["right"], lane[2]) - max(b["left"], lane[0])
-                if narrow > 0 and shared >= narrow * 0.55 and abs(cx - (lane[0] + lane[2]) / 2) <= max(5.0, narrow * 0.48):
-                    lane[:] = [min(lane[0], b["left"]), min(lane[1], b["top"]), max(lane[2], b["right"]), max(lane[3], b["bottom"])]
-                    break
-            else:
-                lanes.append([b["left"], b["top"], b["right"], b["bottom"]])
-        out = pd.DataFrame(lanes, columns=list(BOX)).astype("int64")
-        out.insert(0, photo, pdf[photo].iloc[0])
-        return out
-
-    kind = df.schema[photo].dataType
-    schema = StructType([StructField(photo, kind), *[StructField(c, LongType()) for c in BOX]])
-    return df.groupBy(photo).applyInPandas(fuse, schema)
+    fields = ["left", "top", order, "right", "bottom"]
+    rows = df.groupBy(photo).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("rows"))
+    lanes = rows.select(photo, F.explode(_lanes_udf("rows")).alias("b"))
+    return lanes.select(photo, *[F.get("b", i).alias(c) for i, c in enumerate(BOX)])
 
 
 def drop_same_boxes(df: DataFrame, ident: str, *, photo: str = "photo", least: float = 0.68) -> DataFrame:
