@@ -85,3 +85,43 @@ def audit_levels(rows: DataFrame, *, label: str = "label", well: str = "well") -
             F.sum(F.col("base_cm") - F.col("top_cm")).alias("drilled_cm"),
             F.sum("covered_cm").alias("covered_cm"), F.count(F.lit(1)).alias("intervals"))
     )
+
+
+def layers_of_photo_wells(layers: DataFrame, photos: DataFrame, *, well: str = "well") -> DataFrame:
+    """Layers of wells that have photos; all layers when there are no photos at all."""
+    have = photos.select(F.col(well).alias("__w")).distinct()
+    any_photo = photos.agg(F.count(F.lit(1)) > 0).scalar()
+    marked = layers.join(have, F.col(well) == F.col("__w"), "left")
+    return marked.filter(F.col("__w").isNotNull() | ~any_photo).drop("__w")
+
+
+def layer_inventory(layers: DataFrame, photos: DataFrame, matches: DataFrame, *, ident: str = "layer_id", photo: str = "photo", well: str = "well") -> DataFrame:
+    """Five-state status of every layer against photos and matches."""
+    matched = matches.groupBy(ident).agg(F.countDistinct(photo).alias("matched_photos"), F.max(F.col("basis") == "gis").alias("__gis"))
+    spans = layers.select(ident, well, F.inline(F.array(
+        F.struct(F.col("top_cm").alias("top_cm"), F.col("base_cm").alias("base_cm")), F.struct(F.col("gis_top_cm").alias("top_cm"), F.col("gis_base_cm").alias("base_cm")))))
+    right = photos.select(photo, well, F.col("top_cm").alias("r_top_cm"), F.col("base_cm").alias("r_base_cm"))
+    near = iv.overlap_join(spans, right, [well]).groupBy(ident).agg(F.countDistinct(photo).alias("overlapping_photos"))
+    base = layers.groupBy(ident).agg(F.min("thickness_valid").alias("__valid"))
+    n, o = F.coalesce("matched_photos", F.lit(0)), F.coalesce("overlapping_photos", F.lit(0))
+    status = (
+        F.when((n > 0) & F.col("__gis"), "MATCHED_GIS_FALLBACK").when(n > 0, "MATCHED").when(~F.col("__valid"), "INVALID_FACIES_THICKNESS")
+        .when(o > 0, "PHOTO_OVERLAPS_BUT_ROW_NOT_MATCHED").otherwise("NO_PHOTO_OVERLAP"))
+    return base.join(matched, ident, "left").join(near, ident, "left").select(ident, n.alias("matched_photos"), o.alias("overlapping_photos"), status.alias("status"))
+
+
+def photo_inventory(photos: DataFrame, matches: DataFrame, masks: DataFrame, columns: DataFrame, *, photo: str = "photo", ident: str = "layer_id") -> DataFrame:
+    """Five-state status of every photo."""
+    parts = (
+        (columns.groupBy(photo).agg(F.count(F.lit(1)).alias("core_columns"))), (matches.groupBy(photo).agg(F.countDistinct(ident).alias("matched_layers"))),
+        (masks.groupBy(photo).agg(F.count(F.lit(1)).alias("mask_count"))))
+    out = photos
+    for part in parts:
+        out = out.join(part, photo, "left")
+    counts = {c: F.coalesce(c, F.lit(0)).cast("bigint") for c in ("core_columns", "matched_layers", "mask_count")}
+    out = out.withColumns(counts)
+    status = (
+        F.when(~F.col("confirmed") | ~F.coalesce(F.col("base_cm") > F.col("top_cm"), F.lit(False)), "NO_CONFIRMED_INTERVAL")
+        .when(F.col("core_columns") == 0, "NO_CORE_COLUMNS").when(F.col("matched_layers") == 0, "NO_FACIES_MATCH")
+        .when(F.col("mask_count") == 0, "NO_MASKS").otherwise("READY_FOR_REVIEW"))
+    return out.select(photo, *counts, status.alias("status"))
