@@ -59,10 +59,10 @@ def longest_key(texts: DataFrame, keys: DataFrame, *, ident: str, text: str = "t
     so no text meets all keys.
     """
     known = keys.select(key).filter(F.col(key) != "").distinct()
-    lengths = known.agg(F.sort_array(F.collect_set(F.length(key)))).scalar()
-    cuts = F.flatten(F.transform(lengths, lambda n: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.lit(0), F.length(text) - n) + 1), lambda i: F.substring(F.col(text), i, n))))
-    parts = texts.select(ident, F.explode(F.array_distinct(cuts)).alias(key))
+    lengths = known.agg(F.collect_set(F.length(key))).scalar()
+    each = texts.select(ident, text, F.explode(lengths).alias("__n")).filter(F.length(text) >= F.col("__n"))
+    cuts = F.transform(F.sequence(F.lit(1), F.length(text) - F.col("__n") + 1), lambda i: F.substring(F.col(text), i, F.col("__n")))
+    parts = each.select(ident, F.explode(F.array_distinct(cuts)).alias(key))
     hits = parts.join(known, key)
     return hits.groupBy(ident).agg(F.max_by(key, F.struct(F.length(key), F.col(key))).alias(key))
 

@@ -11,4 +11,4 @@ def load():
     return REGISTRY
 
 
-MODULES = ("interval_queries", "text_queries", "ingest_queries", "series_queries", "box_queries", "match_queries")
+MODULES = ("interval_queries", "text_queries", "ingest_queries", "series_queries", "box_queries", "match_queries", "governance_queries")
