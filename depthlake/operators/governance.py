@@ -87,7 +87,7 @@ def greedy_holdout(samples: DataFrame, group: str, label: str = "label", *, shar
     one that would empty a class; groups that can no longer fit leave for good, and the
     rest goes on.
     """
-    from depthlake.operators.scan import running
+    from depthlake.operators.scan import BALANCED, balanced_positions, running
     from depthlake.session import ensure_checkpoint_dir
 
     spark = samples.sparkSession
@@ -121,14 +121,13 @@ def greedy_holdout(samples: DataFrame, group: str, label: str = "label", *, shar
     taken.append(spark.createDataFrame([(p,) for p in picks], "g " + kind.simpleString()))
     room = target - len(picks)
     while room > 0:
-        ordered = left.filter(fits()).orderBy(F.desc("rare"), F.desc("near"), F.desc("g")).withColumn("at", F.monotonically_increasing_id()).checkpoint()
+        ordered = balanced_positions(left.filter(fits()), [], [F.desc("rare"), F.desc("near"), F.desc("g")], "at")
         if ordered.isEmpty():
             break
-        width = 1 << 33  # one block per sorted partition
-        placed = running(ordered.select("g", "at").withColumns({"one": F.lit(1).cast("bigint"), "k": F.lit(0)}), ["k"], ["at"], {"before": ("sum", "one")}, width=width)
+        placed = running(ordered.select("g", "at").withColumns({"one": F.lit(1).cast("bigint"), "k": F.lit(0)}), ["k"], ["at"], {"before": ("sum", "one")}, width=BALANCED)
         limit = F.create_map(*[F.lit(x) for item in remaining.items() for x in item])
         per = ordered.select("at", F.explode("m").alias("l", "n"))
-        used = running(per, ["l"], ["at"], {"used": ("sum", "n")}, width=width)
+        used = running(per, ["l"], ["at"], {"used": ("sum", "n")}, width=BALANCED)
         stop = used.filter(F.col("used") + F.col("n") >= F.element_at(limit, F.col("l"))).agg(F.min("at")).first()[0]
         ok = placed.filter(F.col("before") < room)
         ok = ok if stop is None else ok.filter(F.col("at") < stop)
@@ -274,7 +273,8 @@ def unique_samples(samples: DataFrame, order: str, *, digest: str = "hash", poly
     per = samples.groupBy(digest, polygon).agg(
         first.alias("f"), F.count(F.lit(1)).alias("copies"), F.countDistinct(label).alias("__labels"))
     # Only copies that agree with the first sample's label can blank its well.
-    joined = samples.select(digest, polygon, F.col(label).alias("__l"), F.col(well).alias("__w")).join(per.select(digest, polygon, "f"), [digest, polygon])
+    kinds = samples.select(digest, polygon, F.col(label).alias("__l"), F.col(well).alias("__w")).distinct()
+    joined = kinds.join(per.select(digest, polygon, "f"), [digest, polygon])
     odd = joined.filter((F.col("__l") == F.col(f"f.{label}")) & (F.col("__w") != F.col(f"f.{well}"))).select(digest, polygon).distinct().withColumn("__odd", F.lit(True))
     return per.join(odd, [digest, polygon], "left").select(
         digest, polygon, F.col(f"f.{order}").alias(order), F.col(f"f.{label}").alias(label),

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from depthlake.operators.scan import BLOCK, BLOCK_CM, chains, running, with_block
 
-BIN_CM = 4096
+BIN_CM = 1024
 DYADIC_LEVELS = 10
 SENTINEL = 1 << 60
 

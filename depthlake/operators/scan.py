@@ -19,8 +19,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from depthlake.session import ensure_checkpoint_dir
+
 BLOCK = "__block"
-BLOCK_CM = 8192
+BALANCED = 1 << 33  # one block per sorted partition of ``balanced_positions``
+BLOCK_CM = 1024
 
 
 def with_block(df: DataFrame, position: str, width: int = BLOCK_CM) -> DataFrame:
@@ -98,6 +101,17 @@ def running(
     )
 
 
+def balanced_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "__at") -> DataFrame:
+    """Global position in (keys, order) whose blocks are equally filled whatever the skew.
+
+    A range sort splits hot keys and even equal positions (``order`` ends in a unique
+    column); the position is made durable by a checkpoint before it is used as a block
+    axis, with ``width=BALANCED``.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.orderBy(*keys, *order).withColumn(name, F.monotonically_increasing_id()).checkpoint()
+
+
 REDUCERS = {"min": F.min, "max": F.max, "sum": F.sum}
 
 
@@ -152,8 +166,15 @@ def chains(
 
 def numbered(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn",
-    *, width: int = BLOCK_CM,
+    *, width: int = BLOCK_CM, dense: bool = False,
 ) -> DataFrame:
-    """``row_number`` per key in ``order`` without one task per key."""
+    """``row_number`` per key in ``order`` without one task per key.
+
+    ``dense`` is for tables where one stretch of ``width`` positions can hold more rows
+    than a task should: blocks are then cut by row count instead of position.
+    """
     one = df.withColumn("__one", F.lit(1).cast("bigint"))
+    if dense:
+        placed = balanced_positions(one, keys, order)
+        return running(placed, keys, ["__at"], {name: ("sum", "__one")}, width=BALANCED, inclusive=True).drop("__one", "__at")
     return running(one, keys, order, {name: ("sum", "__one")}, width=width, inclusive=True).drop("__one")

@@ -647,3 +647,39 @@ def context(t: Tables) -> DataFrame:
 def digest(t: Tables) -> DataFrame:
     """Order-free digest of the sample table: partition digests of sorted buckets, then one digest."""
     return V.table_digest(t.records(), ["hash", "label", "well"])
+
+
+@query("K1_delimited_rows", "SELECT layer_id, well || ';' || top_cm || ';' || base_cm || ';' || label AS line FROM layers")
+def delimited_rows(t: Tables) -> DataFrame:
+    return t.layers().select("layer_id", F.to_csv(F.struct("well", "top_cm", "base_cm", "label"), {"sep": ";"}).alias("line"))
+
+
+def stream_folder(t: Tables) -> str:
+    """A fresh folder next to the session's checkpoints."""
+    import uuid
+
+    from depthlake.session import ensure_checkpoint_dir
+
+    return f"{ensure_checkpoint_dir(t.spark)}/{uuid.uuid4().hex}"
+
+
+@query("T2_T3_resumable_batches", """
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'failed' ELSE 'done' END AS status, CASE WHEN o_orderstatus = 'P' THEN 'no interval' ELSE '' END AS error FROM orders""")
+def resumable(t: Tables) -> DataFrame:
+    """Orders as a file stream in bounded batches with an outcome per item."""
+    out = stream_folder(t)
+    stream = AR.file_stream(t.spark, f"{t.dir}/orders*.parquet", t.orders.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "))
+    work = AR.status_batch(lambda b: b.withColumn("error", F.when(F.col("o_orderstatus") == "P", "no interval")), f"{out}/status", "o_orderkey")
+    AR.drain(stream, work, f"{out}/state")
+    return AR.latest_status(t.spark.read.parquet(f"{out}/status"), "o_orderkey")
+
+
+@query("T9_streamed_duplicates", "SELECT DISTINCT props FROM events")
+def streamed_duplicates(t: Tables) -> DataFrame:
+    """Events as a stream; a content that returns within the watermark is dropped."""
+    out = stream_folder(t)
+    schema = t.events.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
+    stream = AR.file_stream(t.spark, f"{t.dir}/events*.parquet", schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    fresh = AR.drop_repeats(stream, "props", "ts", "60 days")
+    AR.drain(fresh, lambda b, i: b.write.mode("overwrite").parquet(f"{out}/rows/batch={i}"), f"{out}/state")
+    return t.spark.read.parquet(f"{out}/rows").select("props")
