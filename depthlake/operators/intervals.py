@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from depthlake.operators.scan import BLOCK, BLOCK_CM, balanced_positions, chains, running, with_block
 
 BIN_CM = 1024
-DYADIC_LEVELS = 10
+DYADIC_LEVELS = 8
 SENTINEL = 1 << 60
 
 
@@ -109,7 +109,7 @@ def union_intervals(
     open above it, which one row per block is enough to tell.
     """
     keys = list(keys)
-    spans = with_block(spans_by_top(df, keys, top, base), top, width)
+    spans = with_block(spans_by_top(df, keys, top, base), top, width, keys)
     local = W.partitionBy(*keys, BLOCK).orderBy(top)
     prev = F.max(base).over(local.rowsBetween(W.unboundedPreceding, -1))
     flagged = spans.withColumn("__new", F.when(prev.isNull() | (F.col(top) > prev + tol_cm), 1).otherwise(0))
@@ -364,7 +364,7 @@ def coalesce_adjacent(
         "__known": known, "__from": F.coalesce(top, F.lit(SENTINEL)), "__to": F.coalesce(base, F.lit(-SENTINEL))})
     ranked = ranked.withColumn("__at", F.struct("__from", F.coalesce(base, F.lit(0)), *order))
     ranked = ranked.withColumn("__me", F.struct("__known", *identity))
-    blocked = with_block(ranked, "__from", width)
+    blocked = with_block(ranked, "__from", width, keys)
     local = W.partitionBy(*keys, BLOCK).orderBy("__at")
     upto = local.rowsBetween(W.unboundedPreceding, 0)
     alike = F.coalesce(F.col("__known") & F.lag("__known").over(local) & (F.lag("__me").over(local) == F.col("__me")), F.lit(False))
