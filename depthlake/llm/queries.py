@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import language, quality
+from . import language, quality, toxicity
 
 QUERIES = {
     "op5_language_id": language.op5_language_id,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op8_quality": quality.op8_quality,
 }
 
