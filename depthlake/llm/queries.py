@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import language, quality, toxicity
+from . import language, mixing, quality, toxicity
 
 QUERIES = {
+    "op2_mixing": mixing.op2_mixing,
     "op5_language_id": language.op5_language_id,
     "op6_toxicity": toxicity.op6_toxicity,
     "op8_quality": quality.op8_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_mixing": mixing.OP2_SQL,
+}
