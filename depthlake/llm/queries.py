@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import language, mixing, quality, toxicity
+from . import language, mixing, neardup, quality, toxicity
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op5_language_id": language.op5_language_id,
     "op6_toxicity": toxicity.op6_toxicity,
     "op8_quality": quality.op8_quality,
+    "op9_near_duplicates": neardup.op9_near_duplicates,
 }
 
 ORACLES: dict[str, str] = {
     "op2_mixing": mixing.OP2_SQL,
+    "op9_near_duplicates": neardup.OP9_SQL,
 }
