@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import language, mixing, neardup, quality, toxicity
+from . import decontamination, language, mixing, neardup, quality, toxicity
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op5_language_id": language.op5_language_id,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_decontamination": decontamination.op7_decontamination,
     "op8_quality": quality.op8_quality,
     "op9_near_duplicates": neardup.op9_near_duplicates,
 }

@@ -135,5 +135,11 @@ def gram_hashes(words: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray,
     return value[whole], whole
 
 
-def signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
+def latin_lower(buf: np.ndarray) -> np.ndarray:
+    """Lower case of ASCII and Latin-1 letters in UTF-8 bytes; every length stays."""
+    low = LOWER[buf]
+    if len(buf) > 1:
+        second = buf[1:]
+        low[1:][(buf[:-1] == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97)] += 0x20
+    return low
+

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .tables import durable, fold, per_class_sample, table
-from .textbytes import NO_LETTER, Slice, slices, word_bounds, word_hashes
+from .textbytes import NO_LETTER, Slice, latin_lower, slices, word_bounds, word_hashes
 
 SAMPLE_DOCS = 6000
 TERMS = 2048
@@ -57,17 +57,18 @@ def plain_hash(words: tuple[str, ...]) -> np.ndarray:
 def terms(part: Slice) -> tuple[np.ndarray, np.ndarray]:
     """(hash, row) of each word and of its beginnings; kinds never share a hash but by chance."""
     start, end, row = word_bounds(part, NO_LETTER)
-    found, rows = [word_hashes(part.buf, start, end)], [row]
+    low = latin_lower(part.buf)
+    found, rows = [word_hashes(low, start, end, lower=False)], [row]
     for k in BEGINNINGS:
         long = np.flatnonzero(end - start > k)
-        found.append(word_hashes(part.buf, start[long], start[long] + k) ^ np.uint64(k << 56))
+        found.append(word_hashes(low, start[long], start[long] + k, lower=False) ^ np.uint64(k << 56))
         rows.append(row[long])
     return np.concatenate(found), np.concatenate(rows)
 
 
 def patterns(part: Slice, buf_terms: np.ndarray, row: np.ndarray, address: np.ndarray) -> np.ndarray:
     """Pattern votes of each row: mostly capitals, many signs, a word of address."""
-    upper = (part.buf >= 65) & (part.buf <= 90)
+    upper = latin_lower(part.buf) != part.buf
     sign = ((part.buf >= 33) & (part.buf <= 47)) | ((part.buf >= 58) & (part.buf <= 64))
     letter = ~NO_LETTER[part.buf]
     count = lambda flag: np.diff(np.concatenate([[0], np.cumsum(flag)])[part.offsets])
