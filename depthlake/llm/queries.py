@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, mixing, neardup, quality, toxicity
+from . import decontamination, language, mixing, neardup, quality, substrings, toxicity
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
+    "op3_substring_dedup": substrings.op3_substring_dedup,
     "op5_language_id": language.op5_language_id,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_decontamination": decontamination.op7_decontamination,
@@ -15,5 +16,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_mixing": mixing.OP2_SQL,
+    "op3_substring_dedup": substrings.OP3_SQL,
     "op9_near_duplicates": neardup.OP9_SQL,
 }
