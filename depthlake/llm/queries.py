@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, mixing, neardup, quality, substrings, toxicity
+from . import decontamination, language, mixing, neardup, quality, secrets, substrings, toxicity
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_decontamination": decontamination.op7_decontamination,
     "op8_quality": quality.op8_quality,
     "op9_near_duplicates": neardup.op9_near_duplicates,
+    "op10_secret_scan": secrets.op10_secret_scan,
 }
 
 ORACLES: dict[str, str] = {
