@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, mixing, neardup, quality, secrets, substrings, toxicity
+from . import decontamination, language, mixing, neardup, pages, quality, secrets, substrings, toxicity
 
 QUERIES = {
+    "op1_html_extraction": pages.op1_html_extraction,
     "op2_mixing": mixing.op2_mixing,
     "op3_substring_dedup": substrings.op3_substring_dedup,
     "op5_language_id": language.op5_language_id,
