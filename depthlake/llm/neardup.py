@@ -29,8 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .components import connect
-from .tables import durable, table
+from .components import connect, merged
+from .tables import durable, release, table
 from .textbytes import Slice, gram_hashes, mix, slices, word_bounds, word_hashes
 
 TREES, DEPTH = 32, 4
@@ -246,6 +246,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     classes = durable(rows.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep")))
     sets = rows.join(classes.select(F.col("rep").alias("id"), "s1", "s2", "n"), ["id", "s1", "s2", "n"]).dropDuplicates(["id", "s1", "s2"])
     sets = durable(sets.select("id", "keys", "sig"))
+    release(docs.sparkSession)
     sigs = sets.select("id", "sig")
     places = sets.select("id", F.posexplode("keys").alias("tree", "key"))
     regions = durable(places.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("a"), F.max("id").alias("b")).filter("size > 1"))
@@ -261,17 +262,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
         offered = offered.unionByName(sorted_neighbours(sortable, least))
     offered = durable(offered.filter("a <> b").groupBy("a", "b").agg(F.max("agree").alias("agree")))
     best = offered.groupBy("b").agg(F.max(F.struct(F.col("agree"), (-F.col("a")).alias("first")))["first"].alias("a")).select((-F.col("a")).alias("a"), "b")
-    links = durable(confirmed(best, docs, key, text, k, percent))
-    labels = durable(connect(links))
+    release(docs.sparkSession)
+    labels = connect(confirmed(best, docs, key, text, k, percent))
+    release(docs.sparkSession)
     rest = durable(across(offered.select("a", "b"), labels).join(best, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        links = durable(links.unionByName(confirmed(rest, docs, key, text, k, percent)))
-        labels = durable(connect(links))
+        labels = merged(labels, confirmed(rest, docs, key, text, k, percent))
     if crowded:
+        release(docs.sparkSession)
         hidden = durable(across(block_pairs(many, labels, sigs, least), labels).join(offered, ["a", "b"], "left_anti"))
         if not hidden.isEmpty():
-            links = links.unionByName(confirmed(hidden, docs, key, text, k, percent))
-            labels = connect(links)
+            labels = merged(labels, confirmed(hidden, docs, key, text, k, percent))
+    release(docs.sparkSession)
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
     return rows.select("id", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left").select(
         F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from depthlake.session import ensure_checkpoint_dir
@@ -17,6 +19,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what nothing refers to any more, between the phases of a long operator.
+
+    Spark's cleaner removes shuffle files, broadcasts and checkpoints only once the driver has
+    collected the objects that stand for them, which it would else do when its heap is full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fold(doc_id, n: int):
     """crc32 of the id's decimal text, modulo n: the held-out rule of the classifiers."""
     return F.crc32(F.col(doc_id).cast("string")) % n
