@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, mixing, neardup, pages, quality, secrets, substrings, toxicity
+from . import audio, decontamination, language, mixing, neardup, pages, quality, secrets, substrings, toxicity
 
 QUERIES = {
     "op1_html_extraction": pages.op1_html_extraction,
     "op2_mixing": mixing.op2_mixing,
     "op3_substring_dedup": substrings.op3_substring_dedup,
+    "op4_audio_fingerprints": audio.op4_audio_fingerprints,
     "op5_language_id": language.op5_language_id,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_decontamination": decontamination.op7_decontamination,
