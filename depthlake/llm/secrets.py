@@ -68,7 +68,7 @@ def _value(kind: str) -> Column:
 
 def template_findings(spark: SparkSession, each: int = PER_TEMPLATE) -> DataFrame:
     """Labelled findings (before, value, after, label): ``each`` values of every template."""
-    ids = spark.range(each)
+    ids = spark.range(0, each, 1, 1)
     return reduce(DataFrame.unionByName, [
         ids.select(F.lit(before).alias("before"), _value(kind).alias("value"), F.lit(after).alias("after"), F.lit(label).alias("label")) for before, kind, after, label in TEMPLATES])
 
