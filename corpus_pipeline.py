@@ -7,7 +7,8 @@ again as the next stage's ``docs``.  All but the last return the columns of ``do
 Defined cases, for every stage: null and empty texts pass (they are not toxic, have no shingle, no
 seed and no secret; the mix takes none of them, as it has no word of theirs to take); rows without
 an id pass and are judged by their text; rows equal in all columns are judged alike; an empty table
-gives an empty one; columns beside those of ``documents`` pass through.
+gives an empty one; columns beside those of ``documents`` pass through, but for one named
+``copies``, which the last stage writes anew.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from depthlake.session import ensure_checkpoint_dir
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose score stays below the threshold."""
     model = toxicity.learnt_from(spark, docs.select("doc_id", "text"), sf_dir)
-    return toxicity.score(docs, model, keep=tuple(docs.columns)).filter("predicted = 0").select(*docs.columns)
+    rows = docs.select(F.col("text").alias("__text"), F.struct(*docs.columns).alias("__row"))
+    return toxicity.score(rows, model, text="__text", keep=("__row",)).filter("predicted = 0").select("__row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +56,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that the mix takes, with the number of their copies."""
     placed = docs.withColumn("__at", F.xxhash64(*docs.columns))
-    taken = mixing.mix(placed, key="__at").groupBy("__at").agg(F.sum("copies").alias("copies")).filter("copies > 0")
-    return placed.dropDuplicates(["__at"]).join(taken, "__at").select(*docs.columns, F.col("copies").cast("long").alias("copies"))
+    taken = mixing.mix(placed, key="__at").groupBy("__at").agg(F.sum("copies").alias("__copies")).filter("__copies > 0")
+    kept = placed.dropDuplicates(["__at"]).join(taken, "__at")
+    return kept.select(*[c for c in docs.columns if c != "copies"], F.col("__copies").cast("long").alias("copies"))
 
 
 STAGES = [

@@ -11,7 +11,7 @@ Test items are worked through in blocks of at most ``BLOCK_SEEDS`` seeds (one it
 each block against all documents, so what a task holds of them is bounded.
 
 Defined cases: null or empty documents and items match nothing; items with fewer words than a seed
-are one seed of their whole length; repeated rows count once per (document, item); of equal scores
+match only texts of just those words; repeated rows count once per (document, item); of equal scores
 the earliest place wins; extra columns are ignored.
 """
 

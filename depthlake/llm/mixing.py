@@ -68,16 +68,15 @@ def copies(sized: DataFrame, key: str, weights: Sequence[float] = WEIGHTS, most:
     buckets = max(1, -(-(total["docs"] or 0) // BUCKET_ROWS))
     if total["sources"] <= SMALL_SOURCES:
         aims = F.broadcast(aims)
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    ratio = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     u = (F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    mean = F.col("source_size") / F.col("docs")
-    tilt = F.sqrt(F.least(F.lit(4.0), F.greatest(F.lit(0.25), mean / F.col("size"))))
+    longer = F.try_divide(F.try_divide("source_size", "docs"), "size")
+    tilt = F.sqrt(F.least(F.lit(4.0), F.greatest(F.lit(0.25), longer)))
     ranked = (
         sized.join(aims, "__source").withColumn("sure", F.least(F.floor(ratio), F.lit(int(most))))
         .withColumn("rest", F.col("target") - F.col("sure") * F.col("source_size"))
-        .withColumn("part", F.col("rest") / F.col("source_size"))
         .withColumn("u", F.coalesce(u, F.lit(0.5)))
-        # the odds of ``part`` are the same for all of a source, so they move no rank inside it
+        # the odds of the rest's share are the same for all of a source, so they move no rank inside it
         .withColumn("rank", F.when(F.col("size") > 0, F.col("u") / (1 - F.col("u")) / tilt))
         .withColumn("bucket", F.floor(F.col("rank") / (1 + F.col("rank")) * buckets))
     )

@@ -155,9 +155,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     chosen, counts = per_class_sample(labels, key, label, sample)
     fixed = np.concatenate([plain_hash(x) for x in LEXICONS])
     groups = np.repeat(np.arange(len(LEXICONS)), [len(x) for x in LEXICONS])
+    order = np.argsort(fixed)
+    plain = Linear(fixed[order], np.full(len(fixed), 4.0), -2.0, {})
     if len(counts) < 2:
-        order = np.argsort(fixed)
-        return Linear(fixed[order], np.full(len(fixed), 4.0), -2.0, {})
+        return plain
     rows = durable(docs.select(key, text).filter(F.col(text).isNotNull()).join(F.broadcast(chosen), key))  # chosen has about ``sample`` rows
     mined = np.array([t for t in mined_terms(rows, text, label)], np.int64).view(np.uint64)
     mined = mined[~np.isin(mined, fixed)]
@@ -179,6 +180,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     kind = dict(rows.dtypes)
     seen = rows.select(text, key, F.col(label).cast("int")).mapInArrow(hits, f"id {kind[key]}, y int, hits binary, signs binary").collect()
+    if len({r["y"] for r in seen}) < 2:
+        return plain
     seen.sort(key=lambda r: (r["id"], r["y"]))
     x = np.zeros((len(seen), len(vocabulary)), np.float32)
     for i, r in enumerate(seen):
