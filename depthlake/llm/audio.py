@@ -17,7 +17,7 @@ a match; of equal offsets the one with the most equal integers, then the least,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -124,17 +124,27 @@ def align(x: np.ndarray, y: np.ndarray) -> tuple[int, int, int, int]:
     return int(best), int(votes.max()), wrong, int(hi - lo)
 
 
-def fingerprints(media: DataFrame, key: str, pcm: str) -> DataFrame:
-    """(key, class hash, packed integers, seeds) of every recording."""
+def pcm_samples(raw: bytes | None) -> np.ndarray:
+    return np.frombuffer(raw or b"", np.int16).astype(np.float32) / 32768
+
+
+def tones(vector: list[float] | None) -> np.ndarray:
+    """A tone per component, a semitone for each 1/24 of its value around the middle of an octave."""
+    hertz = 2 * LOWEST * 2 ** (np.clip(6 + 24 * np.nan_to_num(np.array(vector or [], np.float64)), 0, 12) / 12)
+    return (0.6 * np.sin(2 * np.pi * hertz[:, None] * (np.arange(NOTE) / RATE)[None, :])).reshape(-1).astype(np.float32)
+
+
+def fingerprints(media: DataFrame, key: str, column: str, samples: Callable = pcm_samples) -> DataFrame:
+    """(key, class hash, packed integers, seeds) of every recording; ``samples`` reads a value of the column."""
     kind = dict(media.dtypes)[key]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = chroma_weights()
         for batch in batches:
-            made = [fingerprint(np.frombuffer(x, np.int16).astype(np.float32) / 32768, weights) if x else np.zeros(0, np.uint32) for x in batch.column(1).to_pylist()]
+            made = [fingerprint(samples(x.as_py()), weights) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.view(np.int32) for x in made], pa.list_(pa.int32())), pa.array([seeds(x) for x in made], pa.list_(pa.int64()))], ["id", "packed", "seeds"])
 
-    found = media.select(key, pcm).mapInArrow(apply, f"id {kind}, packed array<int>, seeds array<long>")
+    found = media.select(key, column).mapInArrow(apply, f"id {kind}, packed array<int>, seeds array<long>")
     return found.withColumn("alike", F.when(F.size("packed") > 0, F.xxhash64("packed", F.size("packed"))).otherwise(F.xxhash64("id", F.lit("empty"))))
 
 
@@ -158,28 +168,24 @@ def search(prints: DataFrame, is_query: F.Column, most_errors: float = MOST_ERRO
     return classes, good
 
 
-def rendered(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """(key, pcm): a tone per component, a semitone for each 1/24 of its value around the middle of an octave."""
+def rendered(vectors: DataFrame, key: str, vector: str, rows: int = 64) -> DataFrame:
+    """(key, pcm): the tones of each vector as a media column, in batches of ``rows`` recordings."""
     kind = dict(vectors.dtypes)[key]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = np.arange(NOTE) / RATE
         for batch in batches:
-            made = []
-            for x in batch.column(1).to_pylist():
-                value = np.nan_to_num(np.array(x or [], np.float64))
-                hertz = 2 * LOWEST * 2 ** (np.clip(6 + 24 * value, 0, 12) / 12)
-                made.append((20000 * np.sin(2 * np.pi * hertz[:, None] * t[None, :])).astype(np.int16).tobytes() if x else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["id", "pcm"])
+            for lo in range(0, batch.num_rows, rows):
+                part = batch.slice(lo, rows)
+                made = [(32000 * tones(x.as_py())).astype(np.int16).tobytes() if x.is_valid else None for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], ["id", "pcm"])
 
-    # a batch of vectors becomes 500 times as many bytes, so it is dealt out before
-    return vectors.select(key, vector).repartition(F.xxhash64(key)).mapInArrow(apply, f"id {kind}, pcm binary").withColumnRenamed("id", key)
+    return vectors.select(key, vector).mapInArrow(apply, f"id {kind}, pcm binary").withColumnRenamed("id", key)
 
 
 def op4_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per recording with its class, and a row per match between a query's class and another one."""
-    media = rendered(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-    prints = durable(fingerprints(media, "vec_id", "pcm"))
+    # the sound of a vector is made where it is read: as a column it would be 250 times as large
+    prints = durable(fingerprints(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", tones))
     classes, matches = search(prints, F.col("id") % QUERY_EVERY == 0)
     members = prints.join(classes.select("alike", "class_id"), "alike").select(
         F.lit("member").alias("kind"), F.col("id").alias("vec_id"), "class_id", F.lit(None).cast("long").alias("offset"), F.lit(None).cast("double").alias("error"), F.size("packed").cast("long").alias("length"))

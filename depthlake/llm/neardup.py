@@ -12,7 +12,8 @@ further.  Documents that agree on the first ``DEPTH`` minima of an order are a r
   threshold).  Of the others, each document's best partner is confirmed first on full sets;
   further pairs only where their ends are not yet connected.
 * What a larger region leaves unconnected is compared exhaustively, in blocks of signatures, so
-  crowding loses no link: a region that is one component needs nothing.
+  crowding loses no link: a region that is one component needs nothing.  Shingles that no other
+  member of such regions has bound what a pair can share, which excludes most pairs exactly.
 
 A link at the threshold 0.85 shares no region of any tree with probability (1 - 0.85^4)^32 = 6e-11.
 
@@ -201,24 +202,46 @@ def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(left, "a", "left").join(right, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
 
 
-def block_pairs(members: DataFrame, labels: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
-    """Unconnected pairs (a, b) of the larger regions whose signatures agree, compared block by block.
+def own_shingles(ids: DataFrame, docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
+    """(id, own): how many shingles of a document no other of ``ids`` has (a repeated id has fewer, which is safe)."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch.column(1)):
+                value, limits = shingle_sets(part, k)
+                row = np.repeat(np.arange(part.lo, part.hi), np.diff(limits))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(value.view(np.int64))], ["id", "shingle"])
+
+    kind = dict(ids.dtypes)["id"]
+    held = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi").mapInArrow(sets, f"id {kind}, shingle long")
+    alone = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("many"), F.min("id").alias("id")).filter("many = 1")
+    return alone.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+
+
+def block_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, least: int, percent: int, docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
+    """Unconnected pairs (a, b) of the larger regions that may be links, compared block by block.
 
     Only regions with several components matter, and there only the members outside the largest
-    one, against all members.
+    one, against all members.  A pair passes if its signatures agree and what both can share,
+    the shingles that are not their own, allows a link.
     """
     kind = dict(members.dtypes)["id"]
     named = members.select("key", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     named = durable(named)
-    mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi")
-    if mixed.isEmpty():
+    mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
+    named = durable(named.join(mixed, "key", "left_semi"))
+    if named.isEmpty():
         return members.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    shares = named.join(mixed.select("key"), "key", "left_semi").groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
-    main = shares.groupBy("key").agg(F.max(F.struct("n", "c"))["c"].alias("main"), F.sum("n").alias("n"))
-    full = named.join(main, "key").join(sigs.select("id", "sig"), "id")
+    shares = named.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
+    main = shares.groupBy("key").agg(F.max(F.struct("m", "c"))["c"].alias("main"), F.sum("m").alias("m"))
+    ids = durable(named.select("id").distinct())
+    bound = durable(ids.join(sets.select("id", "n", "sig"), "id").join(own_shingles(ids, docs, key, text, k), "id", "left").select("id", "n", "sig", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared")))
+    # a document that cannot share enough with any document, however short, is in no link
+    able = bound.filter(100 * F.col("shared") >= percent * F.col("n"))
+    full = durable(named.join(able, "id").join(main, "key"))
     packed = lambda df, name, size: (  # noqa: E731  block sizes are bounded: ids are dealt by hash
-        df.groupBy("key", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / size)).alias("block"))
-        .agg(F.collect_list(F.struct("id", "c", "sig")).alias(name)).select("key", name))
+        df.groupBy("key", F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / size)).alias("block"))
+        .agg(F.collect_list(F.struct("id", "c", "sig", "n", "shared")).alias(name)).select("key", name))
     blocks = packed(full.filter("c <> main"), "x", BLOCK).join(packed(full, "y", BLOCK), "key").select("x", "y").repartition(F.xxhash64("x", "y"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,11 +249,13 @@ def block_pairs(members: DataFrame, labels: DataFrame, sigs: DataFrame, least: i
             for x, y in zip(batch.column(0), batch.column(1), strict=True):
                 x, y = x.values, y.values
                 ids_x, ids_y = x.field("id"), y.field("id")
-                cx, cy = x.field("c").to_numpy(), y.field("c").to_numpy()
+                cx, cy, nx, ny, hx, hy = (side.field(name).to_numpy() for name in ("c", "n", "shared") for side in (x, y))
                 sx, sy = bytes_matrix(x.field("sig")), bytes_matrix(y.field("sig"))
                 left, right = [], []
                 for i in range(len(cx)):
-                    near = np.flatnonzero(((sy == sx[i]).sum(axis=1) >= least) & (cy != cx[i]))
+                    common = np.minimum(hx[i], hy)
+                    may = np.flatnonzero((100 * common >= percent * (nx[i] + ny - common)) & (cy != cx[i]))
+                    near = may[(sy[may] == sx[i]).sum(axis=1) >= least]
                     left.append(np.full(len(near), i))
                     right.append(near)
                 yield pa.RecordBatch.from_arrays([ids_x.take(pa.array(np.concatenate(left))), ids_y.take(pa.array(np.concatenate(right)))], ["a", "b"])
@@ -245,7 +270,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     least = least_agreement(percent / 100)
     classes = durable(rows.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep")))
     sets = rows.join(classes.select(F.col("rep").alias("id"), "s1", "s2", "n"), ["id", "s1", "s2", "n"]).dropDuplicates(["id", "s1", "s2"])
-    sets = durable(sets.select("id", "keys", "sig"))
+    sets = durable(sets.select("id", "n", "keys", "sig"))
     release(docs.sparkSession)
     sigs = sets.select("id", "sig")
     places = sets.select("id", F.posexplode("keys").alias("tree", "key"))
@@ -270,7 +295,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
         labels = merged(labels, confirmed(rest, docs, key, text, k, percent))
     if crowded:
         release(docs.sparkSession)
-        hidden = durable(across(block_pairs(many, labels, sigs, least), labels).join(offered, ["a", "b"], "left_anti"))
+        hidden = durable(across(block_pairs(many, labels, sets, least, percent, docs, key, text, k), labels).join(offered, ["a", "b"], "left_anti"))
         if not hidden.isEmpty():
             labels = merged(labels, confirmed(hidden, docs, key, text, k, percent))
     release(docs.sparkSession)
