@@ -11,9 +11,8 @@ further.  Documents that agree on the first ``DEPTH`` minima of an order are a r
 * Pairs whose signatures agree too little are dropped (five standard deviations below the
   threshold).  Of the others, each document's best partner is confirmed first on full sets;
   further pairs only where their ends are not yet connected.
-* What a larger region leaves unconnected is compared exhaustively, in blocks of signatures, so
-  crowding loses no link: a region that is one component needs nothing.  Shingles that no other
-  member of such regions has bound what a pair can share, which excludes most pairs exactly.
+* What a larger region leaves unconnected is compared exhaustively, block by block on signatures
+  and then on full sets, so crowding loses no link: a region that is one component needs nothing.
 
 A link at the threshold 0.85 shares no region of any tree with probability (1 - 0.85^4)^32 = 6e-11.
 
@@ -163,33 +162,41 @@ def sorted_neighbours(members: DataFrame, least: int) -> DataFrame:
     return made.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "agree")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union, on full sets."""
+def full_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, k: int) -> DataFrame:
+    """(id, held): the sorted shingle hashes of the documents named in ``ids``."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch.column(1)):
                 value, limits = shingle_sets(part, k)
                 made = [value[limits[i]:limits[i + 1]].tobytes() for i in range(len(part))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.lo, len(part)), pa.array(made, pa.large_binary()).cast(pa.binary())], ["id", "held"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.lo, len(part)), pa.array(made, pa.binary())], ["id", "held"])
+
+    kind = dict(ids.dtypes)["id"]
+    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi").mapInArrow(apply, f"id {kind}, held binary")
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union, for sorted sets."""
+    small, large = (x, y) if len(x) < len(y) else (y, x)
+    if 100 * len(small) < percent * len(large) or not len(small):
+        return False
+    at = np.searchsorted(large, small)
+    at[at == len(large)] = 0
+    common = int((large[at] == small).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that are links on full sets."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                small, large = (x, y) if len(x) < len(y) else (y, x)
-                if 100 * len(small) < percent * len(large):
-                    continue
-                at = np.searchsorted(large, small)
-                at[at == len(large)] = 0
-                common = int((large[at] == small).sum()) if len(large) else 0
-                linked[i] = 100 * common >= percent * (len(x) + len(y) - common)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(linked)), batch.column(1).filter(pa.array(linked))], ["a", "b"])
+            good = pa.array([linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], ["a", "b"])
 
     kind = dict(pairs.dtypes)["a"]
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    held = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(needed, "id", "left_semi").mapInArrow(sets, f"id {kind}, held binary")
+    held = full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), key, text, k)
     left = held.select(F.col("id").alias("a"), F.col("held").alias("ha"))
     right = held.select(F.col("id").alias("b"), F.col("held").alias("hb"))
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(compare, f"a {kind}, b {kind}")
@@ -202,66 +209,52 @@ def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(left, "a", "left").join(right, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
 
 
-def own_shingles(ids: DataFrame, docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """(id, own): how many shingles of a document no other of ``ids`` has (a repeated id has fewer, which is safe)."""
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch.column(1)):
-                value, limits = shingle_sets(part, k)
-                row = np.repeat(np.arange(part.lo, part.hi), np.diff(limits))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(value.view(np.int64))], ["id", "shingle"])
-
-    kind = dict(ids.dtypes)["id"]
-    held = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi").mapInArrow(sets, f"id {kind}, shingle long")
-    alone = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("many"), F.min("id").alias("id")).filter("many = 1")
-    return alone.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
-
-
-def block_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, least: int, percent: int, docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """Unconnected pairs (a, b) of the larger regions that may be links, compared block by block.
+def block_links(members: DataFrame, labels: DataFrame, sigs: DataFrame, least: int, percent: int, docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
+    """Links (a, b) between components of the larger regions, by comparing members block by block.
 
     Only regions with several components matter, and there only the members outside the largest
-    one, against all members.  A pair passes if its signatures agree and what both can share,
-    the shingles that are not their own, allows a link.
+    one, against all members.  Regions of several trees with the same largest component are one
+    crowd, so a pair is compared once.  Blocks hold about ``BLOCK`` members; a pair of blocks is a
+    row of its own, and gives one link for each pair of components that it joins.
     """
     kind = dict(members.dtypes)["id"]
     named = members.select("key", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     named = durable(named)
     mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
-    named = durable(named.join(mixed, "key", "left_semi"))
-    if named.isEmpty():
+    named = named.join(mixed, "key", "left_semi")
+    main = named.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max(F.struct("m", "c"))["c"].alias("main"))
+    crowd = durable(named.join(main, "key").groupBy("main", "id").agg(F.first("c").alias("c")))
+    if crowd.isEmpty():
         return members.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    shares = named.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
-    main = shares.groupBy("key").agg(F.max(F.struct("m", "c"))["c"].alias("main"), F.sum("m").alias("m"))
-    ids = durable(named.select("id").distinct())
-    bound = durable(ids.join(sets.select("id", "n", "sig"), "id").join(own_shingles(ids, docs, key, text, k), "id", "left").select("id", "n", "sig", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared")))
-    # a document that cannot share enough with any document, however short, is in no link
-    able = bound.filter(100 * F.col("shared") >= percent * F.col("n"))
-    full = durable(named.join(able, "id").join(main, "key"))
-    packed = lambda df, name, size: (  # noqa: E731  block sizes are bounded: ids are dealt by hash
-        df.groupBy("key", F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / size)).alias("block"))
-        .agg(F.collect_list(F.struct("id", "c", "sig", "n", "shared")).alias(name)).select("key", name))
-    blocks = packed(full.filter("c <> main"), "x", BLOCK).join(packed(full, "y", BLOCK), "key").select("x", "y").repartition(F.xxhash64("x", "y"))
+    sizes = crowd.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    placed = durable(crowd.join(sizes, "main").select("main", "id", "c", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")))  # dealt by hash: no block is much larger
+    ids = placed.select("id").distinct()
+    held = full_sets(docs, ids, key, text, k).dropDuplicates(["id"]).join(sigs, "id")
+    full = placed.join(held, "id").groupBy("main", "block").agg(F.collect_list(F.struct("id", "c", "sig", "held")).alias("rows"))
+    full = durable(full)
+    asking = placed.filter("c <> main").select("main", F.col("block").alias("bx")).distinct()
+    pairs = asking.join(placed.select("main", F.col("block").alias("by")).distinct(), "main")
+    left = full.select("main", F.col("block").alias("bx"), F.col("rows").alias("x"))
+    right = full.select("main", F.col("block").alias("by"), F.col("rows").alias("y"))
+    blocks = pairs.join(left, ["main", "bx"]).join(right, ["main", "by"]).select("main", "x", "y")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x, y in zip(batch.column(0), batch.column(1), strict=True):
+            for main_of, x, y in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 x, y = x.values, y.values
-                ids_x, ids_y = x.field("id"), y.field("id")
-                cx, cy, nx, ny, hx, hy = (side.field(name).to_numpy() for name in ("c", "n", "shared") for side in (x, y))
-                sx, sy = bytes_matrix(x.field("sig")), bytes_matrix(y.field("sig"))
-                left, right = [], []
-                for i in range(len(cx)):
-                    common = np.minimum(hx[i], hy)
-                    may = np.flatnonzero((100 * common >= percent * (nx[i] + ny - common)) & (cy != cx[i]))
-                    near = may[(sy[may] == sx[i]).sum(axis=1) >= least]
-                    left.append(np.full(len(near), i))
-                    right.append(near)
-                yield pa.RecordBatch.from_arrays([ids_x.take(pa.array(np.concatenate(left))), ids_y.take(pa.array(np.concatenate(right)))], ["a", "b"])
-
-    made = blocks.mapInArrow(apply, f"a {kind}, b {kind}")
-    return made.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+                cx, cy = (side.field("c").to_numpy() for side in (x, y))
+                sx, sy = (bytes_matrix(side.field("sig")) for side in (x, y))
+                hx, hy = ([np.frombuffer(h.as_buffer(), np.uint64) for h in side.field("held")] for side in (x, y))
+                seen, a, b = set(), [], []
+                for i in np.flatnonzero(cx != main_of):
+                    for j in np.flatnonzero(((sy == sx[i]).sum(axis=1) >= least) & (cy != cx[i])):
+                        if (cx[i], cy[j]) not in seen and linked(hx[i], hy[j], percent):
+                            seen.add((cx[i], cy[j]))
+                            a.append(i)
+                            b.append(j)
+                yield pa.RecordBatch.from_arrays([x.field("id").take(pa.array(a, pa.int64())), y.field("id").take(pa.array(b, pa.int64()))], ["a", "b"])
+
+    return blocks.mapInArrow(apply, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *, k: int = 5, percent: int = 80) -> DataFrame:
@@ -270,7 +263,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     least = least_agreement(percent / 100)
     classes = durable(rows.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep")))
     sets = rows.join(classes.select(F.col("rep").alias("id"), "s1", "s2", "n"), ["id", "s1", "s2", "n"]).dropDuplicates(["id", "s1", "s2"])
-    sets = durable(sets.select("id", "n", "keys", "sig"))
+    sets = durable(sets.select("id", "keys", "sig"))
     release(docs.sparkSession)
     sigs = sets.select("id", "sig")
     places = sets.select("id", F.posexplode("keys").alias("tree", "key"))
@@ -295,9 +288,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
         labels = merged(labels, confirmed(rest, docs, key, text, k, percent))
     if crowded:
         release(docs.sparkSession)
-        hidden = durable(across(block_pairs(many, labels, sets, least, percent, docs, key, text, k), labels).join(offered, ["a", "b"], "left_anti"))
+        hidden = durable(block_links(many, labels, sigs, least, percent, docs, key, text, k))
         if not hidden.isEmpty():
-            labels = merged(labels, confirmed(hidden, docs, key, text, k, percent))
+            labels = merged(labels, hidden)
     release(docs.sparkSession)
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
     return rows.select("id", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left").select(
