@@ -98,7 +98,7 @@ def natural_key(c: Column) -> Column:
     """Sortable array: digit runs by value, text by folded text, text first."""
     parts = F.regexp_extract_all(c, F.lit(r"(\d+|\D+)"), F.lit(1))
     return F.transform(
-        parts, lambda p: F.when(p.rlike(r"^\d"), F.concat(F.lit("1"), F.lpad(p, 24, "0")))
+        parts, lambda p: F.when(p.rlike(r"^\d"), let(F.regexp_replace(p, r"^0+(?=\d)", ""), lambda n: F.concat(F.lit("1"), F.lpad(F.length(n), 10, "0"), n)))
         .otherwise(F.concat(F.lit("0"), casefold(p))))
 
 
@@ -148,8 +148,7 @@ def parse_filename(path: Column) -> Column:
 
 def parse_strict_filename(path: Column) -> Column:
     """struct<well, top, base> of ``well_top-base``; repairs one wrong first digit."""
-    shape = r"^.*?(.+?)[_\s]+(\d+(?:[.,]\d+)?)\s*[-–—]\s*(\d+(?:[.,]\d+)?)"
-    shape = shape.replace("^.*?", "^", 1)
+    shape = r"^(.+?)[_\s]+(\d+(?:[.,]\d+)?)\s*[-–—]\s*(\d+(?:[.,]\d+)?)"
     stem = file_stem(path)
     well = F.regexp_replace(display_text(F.regexp_extract(stem, shape, 1)), "[ _-]+$", "")
     top_text = F.translate(F.regexp_extract(stem, shape, 2), ",", ".")
@@ -158,8 +157,8 @@ def parse_strict_filename(path: Column) -> Column:
     top_whole, base_whole = F.substring_index(top_text, ".", 1), F.substring_index(base_text, ".", 1)
     typo = (
         (F.length(top_whole) == F.length(base_whole)) & base_text.contains(".")
-        & (F.substring(top_whole, 2, 99) == F.substring(base_whole, 2, 99)))
-    repaired = F.concat(F.substring(top_text, 1, 1), F.substring(base_text, 2, 99)).try_cast("double")
+        & (F.substring(top_whole, F.lit(2), F.length(top_whole)) == F.substring(base_whole, F.lit(2), F.length(base_whole))))
+    repaired = F.concat(F.substring(top_text, 1, 1), F.substring(base_text, F.lit(2), F.length(base_text))).try_cast("double")
     base = F.when(base > top, base).when(typo, repaired).otherwise(base)
     good = (well != "") & (base > top)
     return F.struct(F.when(good, well).alias("well"), F.when(good, top).alias("top"), F.when(good, base).alias("base"))
@@ -203,11 +202,11 @@ def caption_candidates(c: Column) -> Column:
     def pieces(line):
         ends = [
             F.when(line.rlike(f"(?iU){p}"), F.length(F.regexp_extract(line, f"(?iU)^(.*?{p})", 1)))
-            .otherwise(F.lit(1 << 20)) for p in (cue, label)]
+            .otherwise(F.length(line) + 1) for p in (cue, label)]  # beyond the line: not found
         first, second = F.least(*ends), F.greatest(*ends)
         cut = lambda a, b: F.struct(
             F.substring(line, a + 1, b - a).alias("text"), (a >= ends[0]).alias("adjusted"), (a >= ends[1]).alias("labelled"))
-        return F.array(cut(F.lit(0), first), cut(first, second), cut(second, F.lit(1 << 21)))
+        return F.array(cut(F.lit(0), first), cut(first, second), cut(second, F.length(line) + 1))
 
     def numbers(piece, pattern):
         return F.transform(F.regexp_extract_all(piece["text"], F.lit(f"(?iU){pattern}"), F.lit(0)), lambda m: F.struct(

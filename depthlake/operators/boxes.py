@@ -232,32 +232,11 @@ def _text_rows(tokens, tolerance: float) -> list[int]:
     return out
 
 
-def _lanes(boxes) -> list[list[int]]:
-    """Envelopes of boxes given in (left, top, ident) order, each joining the first lane it fits."""
-    lanes: list[list[int]] = []
-    for b in boxes:
-        left, top, right, bottom = b["left"], b["top"], b["right"], b["bottom"]
-        for lane in lanes:
-            narrow = min(right - left, lane[2] - lane[0])
-            shared = min(right, lane[2]) - max(left, lane[0])
-            if narrow > 0 and shared >= narrow * 0.55 and abs((left + right) / 2 - (lane[0] + lane[2]) / 2) <= max(5.0, narrow * 0.48):
-                lane[:] = [min(lane[0], left), min(lane[1], top), max(lane[2], right), max(lane[3], bottom)]
-                break
-        else:
-            lanes.append([left, top, right, bottom])
-    return lanes
-
-
 @pandas_udf(ArrayType(LongType()))
 def _places_udf(rows: pd.Series) -> pd.Series:
     return rows.map(_reading_places)
 
 
-@pandas_udf(ArrayType(ArrayType(LongType())))
-def _lanes_udf(rows: pd.Series) -> pd.Series:
-    return rows.map(_lanes)
-
-
 def reading_order(df: DataFrame, order: str, *, photo: str = "photo") -> DataFrame:
     """Place of each box: columns of near centres left to right, then top to bottom."""
     shaped = df.withColumns({"cx": (F.col("left") + F.col("right")) / 2, "w": (F.col("right") - F.col("left")).cast("double"), "ident": F.col(order)})
@@ -276,12 +255,30 @@ def token_rows(df: DataFrame, tolerance: float, *, photo: str = "photo", y: str
     return _per_photo(named, photo, ["y", "__tie"], rows_udf, "text_row").drop("y", "__tie").withColumnRenamed("__keep", y)
 
 
-def merge_lanes(df: DataFrame, order: str, *, photo: str = "photo") -> DataFrame:
-    """Fuse column proposals of one lane into their envelope, first fit in order."""
-    fields = ["left", "top", order, "right", "bottom"]
-    rows = df.groupBy(photo).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("rows"))
-    lanes = rows.select(photo, F.explode(_lanes_udf("rows")).alias("b"))
-    return lanes.select(photo, *[F.get("b", i).alias(c) for i, c in enumerate(BOX)])
+def merge_lanes(df: DataFrame, order: str, *, photo: str = "photo", share: float = 0.55, centre: float = 0.48, least: float = 5.0) -> DataFrame:
+    """Fuse column proposals of one lane into their envelope, first fit in order.
+
+    A box fits a lane when they share ``share`` of the narrower width and their centres are within
+    ``centre`` of it (``least`` pixels at least).  The fold's state is the photo's envelopes so far.
+    """
+    def fits(lane, b):
+        narrow = F.least(b["right"] - b["left"], lane["right"] - lane["left"])
+        shared = F.least(b["right"], lane["right"]) - F.greatest(b["left"], lane["left"])
+        apart = F.abs((b["left"] + b["right"]) / 2 - (lane["left"] + lane["right"]) / 2)
+        return (narrow > 0) & (shared >= narrow * share) & (apart <= F.greatest(F.lit(least), narrow * centre))
+
+    def envelope(lane, b):
+        return F.struct(*[(F.least if side in ("left", "top") else F.greatest)(lane[side], b[side]).alias(side) for side in BOX])
+
+    def place(lanes, b):
+        first = F.array_position(F.transform(lanes, lambda lane: fits(lane, b)), True)
+        grown = F.transform(lanes, lambda lane, i: F.when(i + 1 == first, envelope(lane, b)).otherwise(lane))
+        return F.when(first > 0, grown).otherwise(F.concat(lanes, F.array(F.struct(*[b[side].alias(side) for side in BOX]))))
+
+    sides = df.select(photo, order, *[F.col(side).cast("bigint").alias(side) for side in BOX])
+    rows = sides.groupBy(photo).agg(F.sort_array(F.collect_list(F.struct("left", "top", order, "right", "bottom"))).alias("rows"))
+    empty = F.expr("cast(array() AS array<struct<" + ",".join(f"`{side}`:bigint" for side in BOX) + ">>)")
+    return rows.select(photo, F.explode(F.aggregate("rows", empty, place)).alias("b")).select(photo, *[F.col(f"b.{side}").alias(side) for side in BOX])
 
 
 def drop_same_boxes(df: DataFrame, ident: str, *, photo: str = "photo", least: float = 0.68) -> DataFrame:

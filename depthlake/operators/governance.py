@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from depthlake.functions import geometry as G
-from depthlake.functions.numbers import clamp
 
 # Placeholder and background class names.
 PLACEHOLDERS = ("", "Новый контур")
@@ -47,7 +46,7 @@ def confident(value: Column, threshold: float) -> Column:
     return value >= max(0.01, min(0.99, threshold))
 
 
-def components(members: DataFrame, node: str, groups: Sequence[str], *, max_rounds: int = 64) -> DataFrame:
+def components(members: DataFrame, node: str, groups: Sequence[str]) -> DataFrame:
     """Connected components over shared group values (G1): (node, component), the least node id.
 
     Nodes meet only through their groups: a round takes the least label per group (a
@@ -63,7 +62,7 @@ def components(members: DataFrame, node: str, groups: Sequence[str], *, max_roun
         members.filter(F.col(g).isNotNull() & (F.col(g).cast("string") != "")).select(F.col(node).alias("__n"), F.concat(F.lit(f"{i}:"), F.col(g).cast("string")).alias("__g"))
         for i, g in enumerate(groups)]).distinct().checkpoint()
     labels = members.select(F.col(node).alias("__n")).distinct().withColumn("__c", F.col("__n")).checkpoint()
-    for _ in range(max_rounds):
+    while True:
         least = links.join(labels, "__n").groupBy("__g").agg(F.min("__c").alias("__m"))
         offered = links.join(least, "__g").groupBy("__n").agg(F.min("__m").alias("__m"))
         nearer = labels.join(offered, "__n", "left").select("__n", F.col("__c").alias("__old"), F.least("__c", F.coalesce("__m", "__c")).alias("__c"))
@@ -73,8 +72,6 @@ def components(members: DataFrame, node: str, groups: Sequence[str], *, max_roun
         labels = step.select("__n", "__c")
         if moved:
             break
-    else:
-        raise RuntimeError("components did not settle")
     return labels.select(F.col("__n").alias(node), F.col("__c").alias("component"))
 
 

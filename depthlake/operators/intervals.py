@@ -141,7 +141,7 @@ def union_length(
         df.filter(F.col(base) > F.col(top)).groupBy(*keys, top)
         .agg(F.max(base).alias(base), F.sum(F.col(base) - F.col(top)).alias("__raw"))
     )
-    prev = running(raw, keys, [top], {"__prev": ("max", base)}, width=width)
+    prev = running(raw, keys, [top], {"__prev": ("max", base)}, width=width, nulls=False)
     fresh = F.greatest(F.lit(0), F.col(base) - F.greatest(F.col(top), F.col("__prev")))
     return (
         prev.groupBy(*keys)
@@ -168,7 +168,7 @@ def key_gaps(
         inside.select(*keys, st, sb).unionByName(edges)
         .groupBy(*keys, st).agg(F.max(sb).alias(sb))
     )
-    prev = running(marks, keys, [st], {"__prev": ("max", sb)}, width=width)
+    prev = running(marks, keys, [st], {"__prev": ("max", sb)}, width=width, nulls=False)
     return (
         prev.filter(F.col(st) > F.col("__prev"))
         .select(*keys, F.col("__prev").alias(out[0]), F.col(st).alias(out[1]))
@@ -251,7 +251,7 @@ def elementary_segments(
     keys = list(keys)
     marks = df.select(*keys, F.explode(F.array(top, base)).alias("seg_top")).distinct()
     marks = marks.withColumn("__at", F.col("seg_top"))
-    nxt = running(marks, keys, ["seg_top"], {"seg_base": ("last", "__at")}, width=width, reverse=True)
+    nxt = running(marks, keys, ["seg_top"], {"seg_base": ("last", "__at")}, width=width, reverse=True, nulls=False)
     return nxt.filter(F.col("seg_base").isNotNull()).drop("__at")
 
 
@@ -300,7 +300,7 @@ def merge_runs(
             ok = ok & prev[c].eqNullSafe(cur[c])
         return ok
 
-    return chains(segments, keys, [top], linked, {top: ("min", top), base: ("max", base), **(aggs or {})}, keep=same, width=width)
+    return chains(segments, keys, [top], linked, {top: ("min", top), base: ("max", base), **(aggs or {})}, keep=same, width=width, nulls=False)
 
 
 def resolve_overlaps(

@@ -24,16 +24,18 @@ from depthlake.session import ensure_checkpoint_dir
 BLOCK = "__block"
 BALANCED = 1 << 33  # one block per sorted partition of ``balanced_positions``
 BLOCK_CM = 1024
+UNPLACED = -(1 << 60)  # block of the rows without a position
 
 
-def with_block(df: DataFrame, position: str, width: int = BLOCK_CM, keys: Sequence[str] = ()) -> DataFrame:
-    """Add the block of a row.
+def with_block(df: DataFrame, position: str, width: int = BLOCK_CM, keys: Sequence[str] = (), nulls: bool = False) -> DataFrame:
+    """Add the block of a row; rows without a position are the first block with ``nulls``, else they go.
 
-    The explicit null filter gives both users of a blocked frame the same plan below their
-    shuffle, so Spark runs that shuffle once.
+    Rows without a key have no order to stand in and always go.  The explicit filter gives both
+    users of a blocked frame the same plan below their shuffle, so Spark runs that shuffle once.
     """
-    blocked = df.withColumn(BLOCK, F.floor(F.col(position) / F.lit(width)).cast("bigint"))
-    known = F.col(position).isNotNull() & F.col(BLOCK).isNotNull()
+    block = F.floor(F.col(position) / F.lit(width)).cast("bigint")
+    blocked = df.withColumn(BLOCK, F.coalesce(block, F.lit(UNPLACED)) if nulls else block)
+    known = F.col(BLOCK).isNotNull()
     for key in keys:
         known = known & F.col(key).isNotNull()
     return blocked.filter(known)
@@ -62,14 +64,16 @@ def running(
     width: int = BLOCK_CM,
     reverse: bool = False,
     inclusive: bool = False,
+    nulls: bool = True,
 ) -> DataFrame:
     """Add prefix aggregates over the rows before (or after, ``reverse``) each row.
 
     ``values`` maps an output name to ``(kind, column)``; kinds are max, min, sum and
-    last (the nearest non-null value).  ``order[0]`` is the block axis.
+    last (the nearest non-null value).  ``order[0]`` is the block axis; rows without it come
+    first, unless ``nulls`` is off.
     """
     keys, order = list(keys), list(order)
-    blocked = with_block(df, order[0], width, keys)
+    blocked = with_block(df, order[0], width, keys, nulls)
     direction = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
     frame = (
         W.partitionBy(*keys, BLOCK).orderBy(*direction)
@@ -133,6 +137,7 @@ def chains(
     *,
     keep: Sequence[str] = (),
     width: int = BLOCK_CM,
+    nulls: bool = True,
 ) -> DataFrame:
     """Reduce maximal chains of neighbours: a row joins the row before it when ``linked``.
 
@@ -144,7 +149,7 @@ def chains(
     keys, order, keep = list(keys), list(order), list(keep)
     row = F.struct(*[F.col(c) for c in df.columns])
     at = F.struct(*[F.col(c) for c in order])
-    blocked = with_block(df, order[0], width, keys).select("*", row.alias("__row"), at.alias("__at"))
+    blocked = with_block(df, order[0], width, keys, nulls).select("*", row.alias("__row"), at.alias("__at"))
     local = W.partitionBy(*keys, BLOCK).orderBy("__at")
     before = F.lag("__row").over(local)
     marked = blocked.withColumn("__before", before)

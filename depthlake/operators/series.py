@@ -23,10 +23,10 @@ def resample(
     """Linear values of ``source`` at the ``target`` depths, edge values held.
 
     A target depth that is also a source depth takes the source value.  Source depths are
-    unique per key.
+    unique per key; samples without a depth or a value are no neighbours.
     """
     keys = list(keys)
-    marks = source.select(*keys, depth, F.lit(1).alias("__src"), F.struct(F.col(depth).alias("d"), F.col(value).cast("double").alias("v")).alias("__p"))
+    marks = source.filter(F.col(depth).isNotNull() & F.col(value).isNotNull()).select(*keys, depth, F.lit(1).alias("__src"), F.struct(F.col(depth).alias("d"), F.col(value).cast("double").alias("v")).alias("__p"))
     asks = target.select(*keys, depth).distinct().select(*keys, depth, F.lit(0).alias("__src"), F.lit(None).cast(marks.schema["__p"].dataType).alias("__p"))
     both = marks.unionByName(asks)
     left = running(both, keys, [depth, "__src"], {"__lo": ("last", "__p")}, width=width)
@@ -41,15 +41,23 @@ def resample(
 def merge_logs(
     base: DataFrame, incoming: DataFrame, well: Sequence[str], *, curve: str = "curve", depth: str = "depth", value: str = "v",
 ) -> DataFrame:
-    """Add the curves of another log on the first log's grid; equal names get ``_n``."""
+    """Add the curves of another log on the first log's grid.
+
+    A name that is taken gets the first number from 2 that neither log uses with it.
+    """
     well = list(well)
     grid = base.select(*well, depth).distinct()
     names = incoming.select(*well, curve).distinct()
     targets = names.join(grid, well)
     values = resample(incoming, targets, [*well, curve], depth=depth, value=value)
     taken = base.select(*well, curve).distinct().withColumn("__taken", F.lit(True))
-    renamed = names.join(taken, [*well, curve], "left").select(
-        *well, curve, F.when(F.col("__taken"), F.concat(curve, F.lit("_2"))).otherwise(F.col(curve)).alias("__name"))
+    stem, number = (F.regexp_extract(curve, r"^(.*)_([1-9]\d{0,8})$", i) for i in (1, 2))
+    used = taken.select(*well, curve).unionByName(names).select(*well, stem.alias(curve), number.try_cast("int").alias("__n")).filter("__n IS NOT NULL")
+    used = used.groupBy(*well, curve).agg(F.collect_set("__n").alias("__used"))  # numbers of one name
+    numbers = F.coalesce("__used", F.expr("cast(array() AS array<int>)"))
+    free = F.array_min(F.array_except(F.sequence(F.lit(2), F.size(numbers) + 2), numbers))
+    renamed = names.join(taken, [*well, curve], "left").join(used, [*well, curve], "left").select(
+        *well, curve, F.when(F.col("__taken"), F.concat(curve, F.lit("_"), free.cast("string"))).otherwise(F.col(curve)).alias("__name"))
     added = values.join(renamed, [*well, curve]).select(*well, F.col("__name").alias(curve), depth, value)
     return base.select(*well, curve, depth, F.col(value).cast("double").alias(value)).unionByName(added)
 

@@ -80,7 +80,7 @@ SELECT vec_id, array_to_string(list_transform(least(
 def canonical(t: Tables) -> DataFrame:
     open_only = t.polygons().filter(F.get("polygon", 0) != F.element_at("polygon", -1))
     # Each ring is turned and reversed first; its canonical form must not change.
-    turned = F.reverse(F.concat(F.slice("polygon", 8, 64), F.slice("polygon", 1, 7)))
+    turned = F.reverse(F.concat(F.slice("polygon", F.lit(8), F.size("polygon")), F.slice("polygon", 1, 7)))
     return open_only.select("vec_id", G.polygon_text(G.canonical_polygon(turned)).alias("ring"))
 
 

@@ -133,7 +133,7 @@ def folder_key(t: Tables) -> DataFrame:
 
 @query("F13_natural_order", r"""
 SELECT n, row_number() OVER (ORDER BY list_transform(regexp_extract_all(n, '(\d+|\D+)', 1),
-  lambda p: CASE WHEN regexp_matches(p, '^\d') THEN '1' || lpad(p, 24, '0') ELSE '0' || lower(p) END)) AS pos
+  lambda p: CASE WHEN regexp_matches(p, '^\d') THEN '1' || lpad(CAST(length(regexp_replace(p, '^0+(.)', '\1')) AS VARCHAR), 10, '0') || regexp_replace(p, '^0+(.)', '\1') ELSE '0' || lower(p) END)) AS pos
 FROM (SELECT DISTINCT 'Photo ' || p_size || '-' || p_brand || '.jpg' AS n FROM part)""")
 def natural_order(t: Tables) -> DataFrame:
     """Natural order of the distinct names (sizes x brands) of the catalog dimension."""

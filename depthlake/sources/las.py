@@ -27,13 +27,11 @@ def _items(lines: DataFrame) -> DataFrame:
     dotted = left.contains(".")
     mnemonic = F.when(dotted, F.substring_index(left, ".", 1)).otherwise(F.regexp_extract(left, r"^(\S+)", 1))
     tail = F.trim(F.when(dotted, F.regexp_extract(left, r"^[^.]*\.(.*)$", 1)).otherwise(F.regexp_extract(left, r"^\S+\s+(.*)$", 1)))
-    spaced = F.regexp_extract(left, r"^[^.]*\.(\s)", 1) != ""
     parts = F.filter(F.split(tail, r"\s+"), lambda p: p != "")
     name = F.regexp_replace(F.regexp_replace(F.upper(mnemonic), r"(?U)[^\w]", "_"), "^_+|_+$", "")
-    del spaced
     return lines.select(
         "file", "letter", "line_no", name.alias("mnemonic"), F.coalesce(F.get(parts, 0), F.lit("")).alias("unit"),
-        F.array_join(F.slice(parts, 2, 1000), " ").alias("value"), F.trim(F.regexp_extract("line", r"^[^:]*:(.*)$", 1)).alias("description"))
+        F.array_join(F.slice(parts, F.lit(2), F.greatest(F.size(parts), F.lit(1))), " ").alias("value"), F.trim(F.regexp_extract("line", r"^[^:]*:(.*)$", 1)).alias("description"))
 
 
 def parse_las(lines: DataFrame) -> tuple[DataFrame, DataFrame]:

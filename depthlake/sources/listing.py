@@ -40,14 +40,16 @@ def read_outcomes(files: DataFrame, rows: DataFrame, *, path: str = "path") -> t
     return good, silent.select(F.col(path).alias("source"), F.lit("error").alias("severity"), F.lit("no readable rows").alias("message"))
 
 
-def photo_groups(images: DataFrame, root: str, *, depth: int = 4, generic: Sequence[str] = PHOTO_FOLDERS) -> DataFrame:
+def photo_groups(images: DataFrame, root: str, *, depth: int | None = None, generic: Sequence[str] = PHOTO_FOLDERS) -> DataFrame:
     """Group by the first folder under the root; a lone generic wrapper is opened, level by level.
 
     Whether a level is opened is one fact about the whole tree, found by an aggregate over
-    folder names, so images themselves are never gathered.
+    folder names, so images themselves are never gathered; ``depth`` levels are looked at, or
+    as many as the deepest path has.
     """
-    parts = F.split(F.substring(F.col("path"), len(root.rstrip("/")) + 2, 4096), "/")
+    parts = F.split(F.substring(F.col("path"), F.lit(len(root.rstrip("/")) + 2), F.length("path")), "/")
     rows = images.withColumn("__p", parts)
+    depth = depth or max(1, rows.agg(F.max(F.size("__p"))).first()[0] or 1)
     facts = []
     for level in range(depth):
         own = F.when(F.size("__p") > level + 1, F.get("__p", level))
