@@ -415,29 +415,44 @@ def coalesce_adjacent(
 def merge_fragments(
     boxes: DataFrame, keys: Sequence[str], identity: Sequence[str], order: Sequence[str], *,
     min_height: Column, top: str = "top", base: str = "bottom", left: str = "left", right: str = "right",
-    confidence: str = "confidence", gap: tuple[int, int] = (-2, 8), share: float = 0.65,
-    width: int = BLOCK_CM,
+    confidence: str = "confidence", gap: tuple[int, int] = (-2, 8), share: float = 0.65, reviewed: Column | None = None,
 ) -> DataFrame:
-    """Drop small fragments, then merge near neighbours of one class down a column.
+    """Drop small fragments, then grow bands of one class down a column.
 
-    A fragment joins the fragment above it when their vertical gap is inside ``gap`` and
-    they share at least ``share`` of the narrower width.  A kept fragment is higher than the
-    allowed overlap, so the fragment above always holds the band's lowest edge.
+    A fragment joins the band above it when its gap to the band's lower edge is inside ``gap``
+    and they share at least ``share`` of the narrower width; the band grows to their common
+    box and keeps the least confidence.  Reviewed boxes come back untouched.  The fold's state is
+    one column's bands, which its pixel height bounds.
     """
-    kept = boxes.filter((F.col(base) - F.col(top)) >= min_height)
-
-    def linked(prev, cur):
-        shared = F.least(prev[right], cur[right]) - F.greatest(prev[left], cur[left])
-        narrow = F.least(prev[right] - prev[left], cur[right] - cur[left])
-        delta = cur[top] - prev[base]
-        ok = (shared >= narrow * share) & (delta >= gap[0]) & (delta <= gap[1])
+    told = F.lit(False) if reviewed is None else F.coalesce(reviewed, F.lit(False))
+    kept = boxes.filter(~told & ((F.col(base) - F.col(top)) >= min_height))
+    fields = [top, *order, base, left, right, confidence, *identity]
+
+    def joins(band, b):
+        shared = F.least(band[right], b[right]) - F.greatest(band[left], b[left])
+        narrow = F.least(band[right] - band[left], b[right] - b[left])
+        ok = (F.greatest(shared, F.lit(0)) >= narrow * share) & (b[top] - band[base]).between(*gap)
         for c in identity:
-            ok = ok & prev[c].eqNullSafe(cur[c])
-        return ok
-
-    aggs = {top: ("min", top), base: ("max", base), left: ("min", left), right: ("max", right),
-            confidence: ("min", confidence), "merged_rows": ("sum", "__one")}
-    return chains(kept.withColumn("__one", F.lit(1).cast("bigint")), keys, [top, *order], linked, aggs, keep=identity, width=width)
+            ok = ok & band[c].eqNullSafe(b[c])
+        return F.coalesce(ok, F.lit(False))
+
+    def grown(band, b):
+        edges = {top: F.least, base: F.greatest, left: F.least, right: F.greatest, confidence: F.least}
+        return F.struct(*[(edges[c](band[c], b[c]) if c in edges else band[c]).alias(c) for c in fields], (band["merged_rows"] + 1).alias("merged_rows"))
+
+    def place(bands, b):
+        n = F.size(bands)
+        last = F.get(bands, n - 1)
+        joined = F.concat(F.slice(bands, F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(grown(last, b)))
+        return F.when((n > 0) & joins(last, b), joined).otherwise(F.concat(bands, F.array(b)))
+
+    row = F.struct(*[F.col(c) for c in fields], F.lit(1).cast("bigint").alias("merged_rows"))
+    lists = kept.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("__rows"))
+    bands = lists.select(*keys, F.explode(F.aggregate("__rows", F.slice("__rows", 1, 0), place)).alias("__b"))
+    made = bands.select(*keys, *[F.col(f"__b.{c}").alias(c) for c in (*identity, top, base, left, right, confidence, "merged_rows")])
+    if reviewed is None:
+        return made
+    return made.unionByName(boxes.filter(told).withColumn("merged_rows", F.lit(1).cast("bigint")).select(*made.columns))
 
 
 def tie_in(

@@ -260,18 +260,18 @@ def coalesce(t: Tables) -> DataFrame:
 
 
 @query("W5_merge_fragments", """
-WITH o AS (SELECT *, CASE WHEN lag(label) OVER w = label
-   AND least("right", lag("right") OVER w) - greatest("left", lag("left") OVER w)
-     >= 0.65 * least("right" - "left", lag("right") OVER w - lag("left") OVER w)
-   AND top - lag(bottom) OVER w BETWEEN -2 AND 8 THEN 0 ELSE 1 END AS n
-   FROM detections WHERE bottom - top >= 5 AND NOT reviewed WINDOW w AS (PARTITION BY photo ORDER BY top, det)),
- i AS (SELECT *, sum(n) OVER (PARTITION BY photo ORDER BY top, det ROWS UNBOUNDED PRECEDING) AS isl FROM o)
-SELECT photo, label, min(top) AS top, max(bottom) AS bottom, min("left") AS "left", max("right") AS "right",
-  min(conf) AS conf, count(*) AS merged_rows FROM i GROUP BY photo, isl, label""")
+WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY photo ORDER BY top, det) AS rn FROM detections WHERE bottom - top >= 5 AND NOT reviewed),
+ f AS (SELECT photo, rn, 1 AS band, label, top, bottom, "left", "right", conf, 1::BIGINT AS n FROM o WHERE rn = 1
+  UNION ALL SELECT photo, rn, CASE WHEN j THEN band ELSE band + 1 END, label, CASE WHEN j THEN least(top, ft) ELSE top END, CASE WHEN j THEN greatest(bottom, fb) ELSE bottom END,
+   CASE WHEN j THEN least("left", fl) ELSE "left" END, CASE WHEN j THEN greatest("right", fr) ELSE "right" END, CASE WHEN j THEN least(conf, fc) ELSE conf END, CASE WHEN j THEN n + 1 ELSE 1 END
+  FROM (SELECT o.photo, o.rn, f.band, o.label, o.top, o.bottom, o."left", o."right", o.conf, f.n, f.top AS ft, f.bottom AS fb, f."left" AS fl, f."right" AS fr, f.conf AS fc,
+    f.label = o.label AND o.top - f.bottom BETWEEN -2 AND 8 AND greatest(least(f."right", o."right") - greatest(f."left", o."left"), 0) >= 0.65 * least(f."right" - f."left", o."right" - o."left") AS j
+    FROM f JOIN o ON o.photo = f.photo AND o.rn = f.rn + 1))
+SELECT photo, label, top, bottom, "left", "right", conf, n AS merged_rows FROM (SELECT *, row_number() OVER (PARTITION BY photo, band ORDER BY rn DESC) AS last FROM f) WHERE last = 1
+UNION ALL SELECT photo, label, top, bottom, "left", "right", conf, 1 FROM detections WHERE reviewed""")
 def fragments(t: Tables) -> DataFrame:
     return iv.merge_fragments(
-        t.detections().filter(~F.col("reviewed")), ["photo"], ["label"], ["det"], min_height=F.lit(5),
-        confidence="conf",
+        t.detections(), ["photo"], ["label"], ["det"], min_height=F.lit(5), confidence="conf", reviewed=F.col("reviewed"),
     ).select("photo", "label", "top", "bottom", "left", "right", "conf", "merged_rows")
 
 

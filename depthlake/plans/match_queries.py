@@ -11,16 +11,16 @@ from depthlake.plans.proxies import Tables
 from depthlake.plans.registry import query
 
 PAIRED = """
- lay AS (SELECT layer_id, well, top_cm AS t, base_cm AS b, top_cm - well % 7 AS gt, base_cm - well % 7 AS gb, conf % 5 = 0 AS primary_gis, conf % 3 <> 0 AS valid FROM layers),
- un AS (SELECT layer_id, well, CASE WHEN primary_gis THEN 'gis' ELSE 'drilling' END AS basis, t, b FROM lay WHERE valid AND b > t
+ lay AS MATERIALIZED (SELECT layer_id, well, top_cm AS t, base_cm AS b, top_cm - well % 7 AS gt, base_cm - well % 7 AS gb, conf % 5 = 0 AS primary_gis, conf % 3 <> 0 AS valid FROM layers),
+ un AS MATERIALIZED (SELECT layer_id, well, CASE WHEN primary_gis THEN 'gis' ELSE 'drilling' END AS basis, t, b FROM lay WHERE valid AND b > t
    UNION ALL SELECT layer_id, well, 'gis', gt, gb FROM lay WHERE NOT primary_gis AND gb > gt),
- ph AS (SELECT *, CASE WHEN photo % 4 = 0 THEN 'gis' WHEN photo % 4 = 1 THEN 'drilling' ELSE 'unknown' END AS want FROM photos WHERE confirmed),
- pr AS (SELECT p.photo, p.well, u.layer_id, u.basis, greatest(p.top_cm, u.t) AS ot, least(p.base_cm, u.b) AS ob FROM ph p JOIN un u ON p.well = u.well AND u.b > p.top_cm AND u.t < p.base_cm
+ ph AS MATERIALIZED (SELECT *, CASE WHEN photo % 4 = 0 THEN 'gis' WHEN photo % 4 = 1 THEN 'drilling' ELSE 'unknown' END AS want FROM photos WHERE confirmed),
+ pr AS MATERIALIZED (SELECT p.photo, p.well, u.layer_id, u.basis, greatest(p.top_cm, u.t) AS ot, least(p.base_cm, u.b) AS ob FROM ph p JOIN un u ON p.well = u.well AND u.b > p.top_cm AND u.t < p.base_cm
    WHERE p.want = 'unknown' OR p.want = u.basis),
- seen AS (SELECT *, max(ob) OVER (PARTITION BY photo, basis ORDER BY ot, ob, layer_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM pr),
- sc AS (SELECT photo, basis, sum(ob - ot) AS raw, sum(greatest(0, ob - greatest(ot, coalesce(prev, ot)))) AS uni FROM seen GROUP BY ALL),
- best AS (SELECT photo, arg_max(basis, struct_pack(s := uni - (raw - uni), c := uni - raw, d := basis = 'drilling')) AS basis FROM sc GROUP BY photo),
- matched AS (SELECT pr.* FROM pr JOIN best USING (photo, basis))"""
+ seen AS MATERIALIZED (SELECT *, max(ob) OVER (PARTITION BY photo, basis ORDER BY ot, ob, layer_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM pr),
+ sc AS MATERIALIZED (SELECT photo, basis, sum(ob - ot) AS raw, sum(greatest(0, ob - greatest(ot, coalesce(prev, ot)))) AS uni FROM seen GROUP BY ALL),
+ best AS MATERIALIZED (SELECT photo, arg_max(basis, struct_pack(s := uni - (raw - uni), c := uni - raw, d := basis = 'drilling')) AS basis FROM sc GROUP BY photo),
+ matched AS MATERIALIZED (SELECT pr.* FROM pr JOIN best USING (photo, basis))"""
 
 
 def two_systems(t: Tables) -> DataFrame:

@@ -89,3 +89,11 @@ def test_import_rules(spark):
         row = spark.range(1).select(*[cells.import_role_score(F.lit(text), role).alias(role) for role in wanted]).first()
         assert row.asDict() == wanted
 
+
+def test_a_band_grows_before_the_next_fragment_is_compared(spark):
+    from depthlake.operators import intervals
+
+    rows = [(1, 1, "a", 0, 50, 0, 100, 9, False), (1, 2, "a", 52, 90, 60, 100, 7, False), (1, 3, "a", 92, 130, 0, 65, 8, False), (1, 4, "a", 131, 134, 0, 65, 1, False), (1, 5, "a", 10, 12, 0, 9, 5, True)]
+    df = spark.createDataFrame(rows, "photo long, det long, label string, top long, bottom long, left long, right long, conf long, reviewed boolean")
+    got = intervals.merge_fragments(df, ["photo"], ["label"], ["det"], min_height=F.lit(5), confidence="conf", reviewed=F.col("reviewed")).collect()
+    assert sorted((r.top, r.bottom, r.left, r.right, r.conf, r.merged_rows) for r in got) == [(0, 130, 0, 100, 7, 3), (10, 12, 0, 9, 5, 1)]
