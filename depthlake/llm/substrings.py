@@ -30,7 +30,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .tables import durable, table
+from .tables import durable, release, table
 from .textbytes import _GRAMS, Slice, gram_hashes, mix, slices, word_bounds, word_hashes
 
 WINDOW, GRAM = 35, 5
@@ -253,6 +253,8 @@ def repeated_segments(docs: DataFrame, text: str, texts: DataFrame, window: int,
     found = durable(occurrences(docs, text, window, gram))
     anchors = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("many"), F.min("seg").alias("lo"), F.max("seg").alias("hi")).filter("many > 1")
     again = durable(found.join(anchors.select("anchor", (F.col("lo") == F.col("hi")).alias("equal")), "anchor"))
+    del found, anchors
+    release(docs.sparkSession)
     whole = F.expr("shiftleft(1L, cast(n AS int)) - 1")
     equal = again.filter("equal").select("dk", "pos", whole.alias("mask"))
     mixed = again.filter("not equal")
@@ -260,6 +262,8 @@ def repeated_segments(docs: DataFrame, text: str, texts: DataFrame, window: int,
     crowd = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).withColumn("crowded", F.col("kinds") > shard).select("anchor", "crowded")
     placed = distinct.join(crowd, "anchor").select("anchor", "seg", "c", "crowded", "at.dk", "at.pos", "at.n")
     crowded = durable(placed)
+    del distinct, crowd, placed
+    release(docs.sparkSession)
     usual = segment_words(crowded.filter("not crowded"), texts, window).repartition("anchor").sortWithinPartitions("anchor", "seg")
     masks = usual.mapInArrow(lambda batches: shard_masks(batches, window), "anchor long, seg long, mask long")
     if not crowded.filter("crowded").isEmpty():
