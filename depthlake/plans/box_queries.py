@@ -233,30 +233,53 @@ def column_filter(t: Tables) -> DataFrame:
     return B.drop_width_outliers(inside).select("photo", "det", "left", "right")
 
 
-@query("P14_suppressed_overlaps", """
+SUPPRESSED = """
 WITH RECURSIVE d AS (SELECT *, row_number() OVER (PARTITION BY photo ORDER BY conf DESC, det) AS k, "right" - "left" AS w, bottom - top AS h FROM detections),
  f AS (SELECT photo, k, list_value(k) AS kept FROM d WHERE k = 1
   UNION ALL SELECT d.photo, d.k, CASE WHEN EXISTS (SELECT 1 FROM d e WHERE e.photo = d.photo AND list_contains(f.kept, e.k)
      AND greatest(0, least(d."right", e."right") - greatest(d."left", e."left")) * greatest(0, least(d.bottom, e.bottom) - greatest(d.top, e.top)) >= 0.12 * least(d.w * d.h, e.w * e.h))
      THEN f.kept ELSE list_append(f.kept, d.k) END FROM f JOIN d ON d.photo = f.photo AND d.k = f.k + 1),
- z AS (SELECT photo, arg_max(kept, k) AS kept FROM f GROUP BY photo)
-SELECT d.photo, d.det FROM d JOIN z ON z.photo = d.photo AND list_contains(z.kept, d.k)""")
+ z AS (SELECT photo, arg_max(kept, k) AS kept FROM f GROUP BY photo)"""
+
+
+@query("P14_suppressed_overlaps", f"{SUPPRESSED} SELECT d.photo, d.det FROM d JOIN z ON z.photo = d.photo AND list_contains(z.kept, d.k)")
 def suppressed(t: Tables) -> DataFrame:
     kept, _ = B.suppress_overlaps(t.detections(), "det")
     return kept.select("photo", "det")
 
 
-@query("P14_silenced_alternatives")
+@query("P14_silenced_alternatives", f"""{SUPPRESSED},
+ b AS (SELECT d.photo, d.det, any_value(d.label) AS label, any_value(d.conf) AS conf, min(e.k) AS k FROM d JOIN z ON z.photo = d.photo JOIN d e ON e.photo = d.photo AND e.k < d.k AND list_contains(z.kept, e.k)
+   WHERE greatest(0, least(d."right", e."right") - greatest(d."left", e."left")) * greatest(0, least(d.bottom, e.bottom) - greatest(d.top, e.top)) >= 0.12 * least(d.w * d.h, e.w * e.h) GROUP BY d.photo, d.det)
+SELECT b.photo, e.det, b.label AS alternative, max(b.conf) AS alternative_conf FROM b JOIN d e ON e.photo = b.photo AND e.k = b.k WHERE e.label <> b.label GROUP BY b.photo, e.det, b.label""")
 def alternatives(t: Tables) -> DataFrame:
     return B.suppress_overlaps(t.detections(), "det")[1]
 
 
-@query("P13_merged_lanes")
+@query("P13_merged_lanes", """
+WITH RECURSIVE d AS (SELECT photo, row_number() OVER (PARTITION BY photo ORDER BY "left", top, det) AS k,
+  struct_pack(l := "left"::BIGINT, t := top::BIGINT, r := "right"::BIGINT, b := bottom::BIGINT) AS x FROM detections),
+ f AS (SELECT photo, k, [x] AS lanes FROM d WHERE k = 1
+  UNION ALL SELECT photo, k, CASE WHEN coalesce(p, 0) = 0 THEN list_append(lanes, x)
+    ELSE list_transform(lanes, lambda y, i: CASE WHEN i = p THEN struct_pack(l := least(y.l, x.l), t := least(y.t, x.t), r := greatest(y.r, x.r), b := greatest(y.b, x.b)) ELSE y END) END
+  FROM (SELECT d.photo, d.k, d.x, f.lanes, list_position(list_transform(f.lanes, lambda y: least(d.x.r - d.x.l, y.r - y.l) > 0
+      AND least(d.x.r, y.r) - greatest(d.x.l, y.l) >= least(d.x.r - d.x.l, y.r - y.l) * 0.55::DOUBLE
+      AND abs((d.x.l + d.x.r) / 2.0::DOUBLE - (y.l + y.r) / 2.0::DOUBLE) <= greatest(5.0::DOUBLE, least(d.x.r - d.x.l, y.r - y.l) * 0.48::DOUBLE)), true) AS p
+    FROM f JOIN d ON d.photo = f.photo AND d.k = f.k + 1)),
+ z AS (SELECT photo, arg_max(lanes, k) AS lanes FROM f GROUP BY photo)
+SELECT photo, u.l AS "left", u.t AS top, u.r AS "right", u.b AS bottom FROM (SELECT photo, unnest(lanes) AS u FROM z)""")
 def merged_lanes(t: Tables) -> DataFrame:
     return B.merge_lanes(t.detections().select("photo", "det", *B.BOX), "det")
 
 
-@query("P13_same_boxes")
+@query("P13_same_boxes", """
+WITH RECURSIVE d AS (SELECT *, row_number() OVER (PARTITION BY photo ORDER BY "left", top, top - bottom, det) AS k, ("right" - "left") * (bottom - top) AS area FROM detections),
+ f AS (SELECT photo, k, list_value(k) AS kept FROM d WHERE k = 1
+  UNION ALL SELECT d.photo, d.k, CASE WHEN EXISTS (SELECT 1 FROM (SELECT e.area, greatest(0, least(d."right", e."right") - greatest(d."left", e."left")) * greatest(0, least(d.bottom, e.bottom) - greatest(d.top, e.top)) AS i
+     FROM d e WHERE e.photo = d.photo AND list_contains(f.kept, e.k)) WHERE i > 0 AND CAST(i AS DOUBLE) / CAST(area + d.area - i AS DOUBLE) >= 0.68::DOUBLE)
+    THEN f.kept ELSE list_append(f.kept, d.k) END FROM f JOIN d ON d.photo = f.photo AND d.k = f.k + 1),
+ z AS (SELECT photo, arg_max(kept, k) AS kept FROM f GROUP BY photo)
+SELECT d.photo, d.det FROM d JOIN z ON z.photo = d.photo AND list_contains(z.kept, d.k)""")
 def same_boxes(t: Tables) -> DataFrame:
     return B.drop_same_boxes(t.detections().select("photo", "det", *B.BOX), "det").select("photo", "det")
 
