@@ -9,11 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, LongType
 
 from depthlake.functions import geometry as G
 from depthlake.session import ensure_checkpoint_dir
@@ -185,10 +181,7 @@ def review_queue(df: DataFrame, *, limit: int = 100, confidence: str = "confiden
 
 
 def _per_photo(df: DataFrame, photo: str, fields: Sequence[str], helper, out: str) -> DataFrame:
-    """Add ``out`` from a helper that sees one photo's rows as an array of structs.
-
-    Photos travel as arrays in Arrow batches, so a task handles many photos per call.
-    """
+    """Add ``out`` from a helper that turns one photo's sorted rows, an array of structs, into an array of values."""
     others = [c for c in df.columns if c != photo]
     rows = df.groupBy(photo).agg(F.sort_array(F.collect_list(F.struct(*fields, F.struct(*others).alias("__row")))).alias("__rows"))
     numbered = rows.withColumn("__v", helper(F.transform("__rows", lambda r: F.struct(*[r[f].alias(f) for f in fields]))))
@@ -197,62 +190,57 @@ def _per_photo(df: DataFrame, photo: str, fields: Sequence[str], helper, out: st
         photo, *[F.col(f"__e.__rows.__row.{c}").alias(c) for c in others], F.col("__e.__v").alias(out))
 
 
-def _reading_places(boxes) -> list[int]:
-    """Places of boxes given in (centre, top, ident, left, width) order."""
-    widths = sorted(max(1.0, b["w"]) for b in boxes)
-    tol = max(12.0, widths[len(widths) // 2] * 0.65)
-    centres: list[float] = []
-    members: list[list[float]] = []
-    lanes = []
-    for b in boxes:
-        gaps = [abs(b["cx"] - c) for c in centres]
-        at = gaps.index(min(gaps)) if gaps else -1
-        if at < 0 or gaps[at] > tol:
-            at = len(centres)
-            centres.append(b["cx"])
-            members.append([])
-        members[at].append(b["cx"])
-        centres[at] = sum(members[at]) / len(members[at])
-        lanes.append(at)
-    order = sorted(range(len(boxes)), key=lambda i: (centres[lanes[i]], lanes[i], boxes[i]["top"], boxes[i]["left"], boxes[i]["ident"]))
-    places = [0] * len(boxes)
-    for place, i in enumerate(order):
-        places[i] = place
-    return places
-
-
-def _text_rows(tokens, tolerance: float) -> list[int]:
-    """Row numbers of tokens given in y order."""
-    out, open_row, number = [], [], -1
-    for token in tokens:
-        if not open_row or token["y"] - float(np.median(open_row)) > tolerance:
-            open_row, number = [], number + 1
-        open_row.append(token["y"])
-        out.append(number)
-    return out
-
-
-@pandas_udf(ArrayType(LongType()))
-def _places_udf(rows: pd.Series) -> pd.Series:
-    return rows.map(_reading_places)
+def _reading_places(rows: Column) -> Column:
+    """Places of boxes sorted by (centre, top, ident, left, w): a fold that grows columns of near centres.
+
+    The state is the columns so far, as sums and counts of centres, and the column of each box.
+    """
+    widths = F.sort_array(F.transform(rows, lambda b: F.greatest(F.lit(1.0), b["w"])))
+    reach = F.greatest(F.lit(12.0), F.get(widths, F.floor(F.size(widths) / 2).cast("int")) * 0.65)
+
+    def place(s, b):
+        gaps = F.transform(s["columns"], lambda c, i: F.struct(F.abs(b["cx"] - c["total"] / c["n"]).alias("gap"), i.alias("i")))
+        near = F.array_min(gaps)
+        fresh = F.coalesce(near["gap"] > reach, F.lit(True))
+        one = F.struct(b["cx"].cast("double").alias("total"), F.lit(1).alias("n"))
+        grown = F.transform(s["columns"], lambda c, i: F.when(i == near["i"], F.struct((c["total"] + b["cx"]).alias("total"), (c["n"] + 1).alias("n"))).otherwise(c))
+        return F.struct(F.when(fresh, F.concat(s["columns"], F.array(one))).otherwise(grown).alias("columns"),
+                        F.concat(s["at"], F.array(F.when(fresh, F.size(s["columns"])).otherwise(near["i"]))).alias("at"))
+
+    def ranked(s):
+        keys = F.transform(rows, lambda b, i: F.struct((F.get(s["columns"], F.get(s["at"], i))["total"] / F.get(s["columns"], F.get(s["at"], i))["n"]).alias("c"), F.get(s["at"], i).alias("a"), b["top"], b["left"], b["ident"], i.alias("i")))
+        order = F.transform(F.sort_array(keys), lambda k: k["i"])
+        return F.transform(rows, lambda b, i: F.array_position(order, i) - 1)
+
+    empty = F.struct(F.expr("cast(array() AS array<struct<total:double,n:int>>)").alias("columns"), F.expr("cast(array() AS array<int>)").alias("at"))
+    return F.aggregate(rows, empty, place, ranked)
+
+
+def _text_rows(rows: Column, tolerance: float) -> Column:
+    """Row numbers of tokens in y order; the state is the open row's heights and the numbers so far."""
+    def place(s, token):
+        n = F.size(s["open"])
+        middle = (F.get(s["open"], F.floor((n - 1) / 2).cast("int")) + F.get(s["open"], F.floor(n / 2).cast("int"))) / 2
+        fresh = F.coalesce(token["y"] - middle > tolerance, F.lit(True))
+        number = F.coalesce(F.get(s["numbers"], F.size(s["numbers"]) - 1), F.lit(-1).cast("bigint")) + F.when(fresh, 1).otherwise(0)
+        return F.struct(F.when(fresh, F.array(token["y"])).otherwise(F.concat(s["open"], F.array(token["y"]))).alias("open"), F.concat(s["numbers"], F.array(number)).alias("numbers"))
+
+    empty = F.struct(F.expr("cast(array() AS array<double>)").alias("open"), F.expr("cast(array() AS array<bigint>)").alias("numbers"))
+    return F.aggregate(rows, empty, place, lambda s: s["numbers"])
 
 
 def reading_order(df: DataFrame, order: str, *, photo: str = "photo") -> DataFrame:
     """Place of each box: columns of near centres left to right, then top to bottom."""
     shaped = df.withColumns({"cx": (F.col("left") + F.col("right")) / 2, "w": (F.col("right") - F.col("left")).cast("double"), "ident": F.col(order)})
-    got = _per_photo(shaped, photo, ["cx", "top", "ident", "left", "w"], _places_udf, "place")
+    got = _per_photo(shaped, photo, ["cx", "top", "ident", "left", "w"], _reading_places, "place")
     return got.drop("cx", "w", "ident")
 
 
 def token_rows(df: DataFrame, tolerance: float, *, photo: str = "photo", y: str = "y", tie: str = "token") -> DataFrame:
     """Text rows: a token opens a row when it lies below the open row's median by more than the tolerance."""
-    @pandas_udf(ArrayType(LongType()))
-    def rows_udf(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda r: _text_rows(r, tolerance))
-
     shaped = df.withColumns({"__y": F.col(y).cast("double"), "__tie": F.col(tie)})
     named = shaped.withColumnsRenamed({y: "__keep"}).withColumnRenamed("__y", "y")
-    return _per_photo(named, photo, ["y", "__tie"], rows_udf, "text_row").drop("y", "__tie").withColumnRenamed("__keep", y)
+    return _per_photo(named, photo, ["y", "__tie"], lambda rows: _text_rows(rows, tolerance), "text_row").drop("y", "__tie").withColumnRenamed("__keep", y)
 
 
 def merge_lanes(df: DataFrame, order: str, *, photo: str = "photo", share: float = 0.55, centre: float = 0.48, least: float = 5.0) -> DataFrame:

@@ -358,12 +358,27 @@ def stack_order(t: Tables) -> DataFrame:
     return R.stacked(d, ["photo"], "stack_order", "det").select("photo", "det", "place")
 
 
-@query("W14_reading_order")
+@query("W14_reading_order", """
+WITH RECURSIVE s AS (SELECT photo, det, "left", top, ("left" + "right") / 2.0::DOUBLE AS cx, ("right" - "left")::DOUBLE AS w FROM detections),
+ h AS (SELECT photo, greatest(12.0::DOUBLE, list_sort(list(greatest(1.0::DOUBLE, w)))[1 + count(*) // 2] * 0.65::DOUBLE) AS reach FROM s GROUP BY photo),
+ d AS (SELECT s.*, reach, row_number() OVER (PARTITION BY s.photo ORDER BY cx, top, det, "left", w) AS k FROM s JOIN h ON h.photo = s.photo),
+ f AS (SELECT photo, k, 1::BIGINT AS a, [struct_pack(s := cx, n := 1::BIGINT)] AS cols FROM d WHERE k = 1
+  UNION ALL SELECT photo, k, CASE WHEN m.g > reach THEN len(cols) + 1 ELSE m.i END, CASE WHEN m.g > reach THEN list_append(cols, struct_pack(s := cx, n := 1::BIGINT))
+    ELSE list_transform(cols, lambda c, i: CASE WHEN i = m.i THEN struct_pack(s := c.s + cx, n := c.n + 1) ELSE c END) END
+  FROM (SELECT d.photo, d.k, d.cx, d.reach, f.cols, list_min(list_transform(f.cols, lambda c, i: struct_pack(g := abs(d.cx - c.s / c.n), i := i))) AS m FROM f JOIN d ON d.photo = f.photo AND d.k = f.k + 1)),
+ z AS (SELECT photo, arg_max(cols, k) AS cols FROM f GROUP BY photo)
+SELECT d.photo, d.det, row_number() OVER (PARTITION BY d.photo ORDER BY z.cols[f.a].s / z.cols[f.a].n, f.a, d.top, d."left", d.det) - 1 AS place
+FROM d JOIN f ON f.photo = d.photo AND f.k = d.k JOIN z ON z.photo = d.photo""")
 def reading(t: Tables) -> DataFrame:
     return B.reading_order(t.detections().select("photo", "det", *B.BOX), "det").select("photo", "det", "place")
 
 
-@query("W15_token_rows")
+@query("W15_token_rows", """
+WITH RECURSIVE d AS (SELECT photo, det, top::DOUBLE AS y, row_number() OVER (PARTITION BY photo ORDER BY top, det) AS k FROM detections),
+ f AS (SELECT photo, k, det, 0::BIGINT AS r, [y] AS held FROM d WHERE k = 1
+  UNION ALL SELECT d.photo, d.k, d.det, CASE WHEN d.y - list_aggregate(f.held, 'median') > 12.0 THEN f.r + 1 ELSE f.r END, CASE WHEN d.y - list_aggregate(f.held, 'median') > 12.0 THEN [d.y] ELSE list_append(f.held, d.y) END
+  FROM f JOIN d ON d.photo = f.photo AND d.k = f.k + 1)
+SELECT photo, det AS token, r AS text_row FROM f""")
 def tokens(t: Tables) -> DataFrame:
     d = t.detections().select("photo", F.col("det").alias("token"), F.col("top").cast("double").alias("y"))
     return B.token_rows(d, 12.0).select("photo", "token", "text_row")
