@@ -34,6 +34,18 @@ MAX_RANGE_M = 500
 EMPTY_CANDIDATES = (
     "cast(array() as array<struct<priority:int,top:decimal(12,4),base:decimal(12,4),basis:string>>)")
 
+# Patterns of wells, file names and captions.
+NAMED_WELL = r"(?iu)(?:скв(?:ажина)?\.?|well)\s*(?:№|n|#)?\s*([a-zа-я0-9][a-zа-я0-9._/-]{0,30})"
+SHORT_WELL = r"(?iu)^[a-zа-я]{0,4}[-_ ]?\d{1,5}[a-zа-я]{0,4}$"
+STRICT_NAME = r"^(.+?)[_\s]+(\d+(?:[.,]\d+)?)\s*[-–—]\s*(\d+(?:[.,]\d+)?)"
+PHOTO_WORD = r"(?iu)^(?:фото|photo|img|image)[ _-]*"
+FIGURE = r"(?:рис(?:унок)?|fig(?:ure)?)\s*\.?\s*"
+WIDE_RANGE = r"(\d{3,5}(?:\.\d{1,3})?)\D{1,18}(\d{3,5}(?:\.\d{1,3})?)"
+CAPTION_NUMBER = r"\d{2,6}(?:\.\d{1,4})?"
+CAPTION_LABEL = r"(?:интервал\s+(?:отбора\s+)?керна|core\s+interval)"
+CAPTION_CUE = r"(?:после\s+увязк\w*|по\s+увязк\w*|с\s+уч[её]том\s+увязк\w*)"
+METRES_WORD = r"(?iU)(?:\sм\.?(?:\s|$)|\bметр)"
+
 
 def casefold(c: Column) -> Column:
     return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
@@ -105,7 +117,7 @@ def natural_key(c: Column) -> Column:
 def extract_well(c: Column) -> Column:
     """Well named in a text, without a figure suffix (F16)."""
     found = F.regexp_extract(
-        display_text(c), r"(?iu)(?:скв(?:ажина)?\.?|well)\s*(?:№|n|#)?\s*([a-zа-я0-9][a-zа-я0-9._/-]{0,30})", 1)
+        display_text(c), NAMED_WELL, 1)
     bare = F.regexp_replace(found, r"^[._/\- ]+|[._/\- ]+$", "")
     return F.regexp_replace(bare, r"[-_]\d{3,6}$", "")
 
@@ -114,7 +126,7 @@ def well_hint(c: Column) -> Column:
     """Explicit well, or the whole text when it looks like a short identifier (F16)."""
     explicit = extract_well(c)
     short = F.regexp_replace(display_text(c), r"^[ _\-.,;()\[\]]+|[ _\-.,;()\[\]]+$", "")
-    fits = short.rlike(r"(?iu)^[a-zа-я]{0,4}[-_ ]?\d{1,5}[a-zа-я]{0,4}$")
+    fits = short.rlike(SHORT_WELL)
     return F.when(explicit != "", explicit).when(fits, short).otherwise(F.lit(""))
 
 
@@ -129,7 +141,7 @@ def parse_filename(path: Column) -> Column:
     def before(clean, last):
         tail = F.call_function("substring_index", clean, last, F.lit(-1))
         prefix = F.substring(clean, F.lit(1), F.length(clean) - F.length(tail) - F.length(last))
-        return F.regexp_replace(F.regexp_replace(prefix, trim, ""), r"(?iu)^(?:фото|photo|img|image)[ _-]*", "")
+        return F.regexp_replace(F.regexp_replace(prefix, trim, ""), PHOTO_WORD, "")
 
     def named(prefix):
         return let(well_hint(prefix), lambda hint: F.when(hint != "", hint).otherwise(display_text(prefix)))
@@ -143,16 +155,15 @@ def parse_filename(path: Column) -> Column:
             last["top"].alias("top"), last["base"].alias("base")))
 
     stem = unify_dashes(file_stem(path))
-    return let(F.regexp_replace(stem, rf"(?iu)((?:рис(?:унок)?|fig(?:ure)?)\s*\.?\s*){pair}", "$1"), ranged)
+    return let(F.regexp_replace(stem, rf"(?iu)({FIGURE}){pair}", "$1"), ranged)
 
 
 def parse_strict_filename(path: Column) -> Column:
     """struct<well, top, base> of ``well_top-base``; repairs one wrong first digit."""
-    shape = r"^(.+?)[_\s]+(\d+(?:[.,]\d+)?)\s*[-–—]\s*(\d+(?:[.,]\d+)?)"
     stem = file_stem(path)
-    well = F.regexp_replace(display_text(F.regexp_extract(stem, shape, 1)), "[ _-]+$", "")
-    top_text = F.translate(F.regexp_extract(stem, shape, 2), ",", ".")
-    base_text = F.translate(F.regexp_extract(stem, shape, 3), ",", ".")
+    well = F.regexp_replace(display_text(F.regexp_extract(stem, STRICT_NAME, 1)), "[ _-]+$", "")
+    top_text = F.translate(F.regexp_extract(stem, STRICT_NAME, 2), ",", ".")
+    base_text = F.translate(F.regexp_extract(stem, STRICT_NAME, 3), ",", ".")
     top, base = top_text.try_cast("double"), base_text.try_cast("double")
     top_whole, base_whole = F.substring_index(top_text, ".", 1), F.substring_index(base_text, ".", 1)
     typo = (
@@ -166,7 +177,7 @@ def parse_strict_filename(path: Column) -> Column:
 
 def widest_range(c: Column, low: float = 0.03, high: float = 100.0) -> Column:
     """Caption range with the widest plausible span; the first wins ties."""
-    pair = r"(\d{3,5}(?:\.\d{1,3})?)\D{1,18}(\d{3,5}(?:\.\d{1,3})?)"
+    pair = WIDE_RANGE
     found = F.regexp_extract_all(F.translate(c, ",", "."), F.lit(f"({pair})"), F.lit(1))
     spans = F.transform(found, lambda m, i: F.struct(
         (F.regexp_extract(m, pair, 2).cast("double") - F.regexp_extract(m, pair, 1).cast("double")).alias("span"),
@@ -183,9 +194,7 @@ def caption_candidates(c: Column) -> Column:
     what follows the cue is in the adjusted system, what follows the label is measured
     depth.  Explicit ranges and neighbouring numbers of one line are candidates.
     """
-    number = r"\d{2,6}(?:\.\d{1,4})?"
-    label = r"(?:интервал\s+(?:отбора\s+)?керна|core\s+interval)"
-    cue = r"(?:после\s+увязк\w*|по\s+увязк\w*|с\s+уч[её]том\s+увязк\w*)"
+    number, label, cue = CAPTION_NUMBER, CAPTION_LABEL, CAPTION_CUE
     plain = rf"(?<!\d)({number})(?!\d)"
     explicit = rf"(?<!\d)(?:{number})\s*(?:-|\bдо\b|\bto\b)\s*(?:{number})(?!\d)"
     raw = F.split(unify_dashes(F.coalesce(c, F.lit(""))), r"\r\n|\n|\r")
@@ -220,7 +229,7 @@ def caption_candidates(c: Column) -> Column:
             F.when(adjusted, F.lit("gis")).when(item["labelled"], F.lit("drilling")).otherwise(F.lit("unknown")).alias("basis"))
 
     def one(line, around):
-        unit = F.when(line.rlike(r"(?iU)(?:\sм\.?(?:\s|$)|\bметр)"), F.lit(100)).otherwise(F.lit(0))
+        unit = F.when(line.rlike(METRES_WORD), F.lit(100)).otherwise(F.lit(0))
 
         def collect(cuts):
             ranges = F.flatten(F.transform(cuts, lambda p: numbers(p, explicit)))
