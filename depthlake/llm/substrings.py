@@ -252,7 +252,8 @@ def repeated_segments(docs: DataFrame, text: str, texts: DataFrame, window: int,
     """(dk, pos, mask): segments with repeated windows; bit i is the window at ``pos + i``."""
     found = durable(occurrences(docs, text, window, gram))
     anchors = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("many"), F.min("seg").alias("lo"), F.max("seg").alias("hi")).filter("many > 1")
-    again = durable(found.join(anchors.select("anchor", (F.col("lo") == F.col("hi")).alias("equal")), "anchor"))
+    anchors = durable(anchors.select("anchor", (F.col("lo") == F.col("hi")).alias("equal")))  # so the join is free to split a crowded anchor
+    again = durable(found.join(anchors, "anchor"))
     del found, anchors
     release(docs.sparkSession)
     whole = F.expr("shiftleft(1L, cast(n AS int)) - 1")
