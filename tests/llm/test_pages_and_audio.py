@@ -23,9 +23,10 @@ def test_structure(spark):
             '<div class="ad">Buy</div><div class="cookie-notice">We use cookies</div><article><h1>Head &amp; tail</h1><p><b>One\n  two<br>three<p>four &lt;five&gt; <i>six</i>seven'
             '<!-- gone --><form><input><button>Send</button></form><section class="comments"><article class="comment">Nice</article></section></article>'
             '<aside>See also</aside><div id="comments"><p>First!</p></div><footer>&copy; me')
-    rows = [(1, "http://a.b/1", page), (2, None, None), (3, "http://a.b/3", ""), (4, "http://a.b/4", "<p>only &eacute;"), (5, "http://a.b/5", '<div id="content"><p>x</p></div><div>y</div>'), (1, "http://a.b/1", page)]
+    rows = [(1, "http://a.b/1", page), (2, None, None), (3, "http://a.b/3", ""), (4, "http://a.b/4", "<p>only &eacute;"), (5, "http://a.b/5", '<div id="content"><p>x</p></div><div>y</div>'),
+            (6, "http://a.b/6", '<article><div class="entry-header"><h1>H</h1></div><div class="text-widget" data-hidden="1">b</div><div class="site-notice">n</div><div hidden>z</div></article>'), (1, "http://a.b/1", page)]
     made = texts_of(spark, rows)
-    assert made == {1: "Head & tail\nOne two three\nfour <five> sixseven", 2: "", 3: "", 4: "only é", 5: "x"}
+    assert made == {1: "Head & tail\nOne two three\nfour <five> sixseven", 2: "", 3: "", 4: "only é", 5: "x", 6: "H\nb"}
 
 
 def test_suffix_array_of_a_host(spark):
