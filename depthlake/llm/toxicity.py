@@ -28,6 +28,7 @@ from .textbytes import NO_LETTER, Slice, latin_lower, slices, word_bounds, word_
 
 SAMPLE_DOCS = 6000
 TERMS = 2048
+LEAST_SUPPORT = 0.02   # share of the labelled toxic documents that hold a mined term
 LEAST_EVIDENCE = 10.0  # nats by which a mined term's split over the labels differs from the split of all
 MINED_VOTERS = 12
 BEGINNINGS = (5, 7)  # bytes of a word's beginning that count as a term of their own
@@ -98,7 +99,7 @@ def mined_terms(sample: DataFrame, text: str, label: str) -> list[int]:
     part = lambda n, usual: F.when(n > 0, n * F.log(n / every / usual)).otherwise(0.0)
     evidence = part(F.col("yes"), share) + part(F.col("no"), 1 - share)
     counted = sample.select(text, F.col(label).cast("int")).mapInArrow(unique, "term long, y int").groupBy("term").agg(F.sum("y").alias("yes"), F.sum(1 - F.col("y")).alias("no"))
-    best = counted.filter(F.col("yes") > share * every).withColumn("evidence", evidence).filter(F.col("evidence") >= LEAST_EVIDENCE)
+    best = counted.filter((F.col("yes") > share * every) & (F.col("yes") >= LEAST_SUPPORT * sizes[1])).withColumn("evidence", evidence).filter(F.col("evidence") >= LEAST_EVIDENCE)
     return [r["term"] for r in best.orderBy(F.col("evidence").desc(), "term").limit(TERMS).collect()]
 
 
@@ -160,7 +161,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     if len(counts) < 2:
         return plain
     rows = durable(docs.select(key, text).filter(F.col(text).isNotNull()).join(F.broadcast(chosen), key))  # chosen has about ``sample`` rows
-    mined = np.array([t for t in mined_terms(rows, text, label)], np.int64).view(np.uint64)
+    # terms are mined in one half and weighed in the other, where chance finds hit clean documents too
+    half = F.pmod(F.xxhash64(key, F.lit("half")), F.lit(2))
+    mined = np.array([t for t in mined_terms(rows.filter(half == 0), text, label)], np.int64).view(np.uint64)
+    rows = rows.filter(half == 1)
     mined = mined[~np.isin(mined, fixed)]
     voters = np.concatenate([groups, len(LEXICONS) + np.arange(len(mined)) % MINED_VOTERS])
     vocabulary = np.concatenate([fixed, mined])
