@@ -4,8 +4,11 @@ Each source has a target of words.  Its documents all get ``floor(target / size)
 copies; the rest is a sample of further whole copies.  Documents of a source are ranked by their
 random odds over their inclusion odds, ``u / (1 - u) / (p / (1 - p) * tilt)`` with ``tilt`` the
 bounded root of mean size over size (short documents are likelier, so the sample is an unequal
-one), and taken in that order while their words fit; one last document is the one whose size is
-nearest to the words still missing.  ``u`` comes from the MD5 of the id, so reruns agree.
+one), and taken in that order where their words fit: a document longer than the words still missing is
+passed by, in rounds that sum up the rest anew, until no document left fits.  One last document is
+the one whose size is nearest to the words still missing; what it has too much goes back from the
+end of the order, where it fits.  The registered query follows its SQL,
+whose order ends at the first document that does not fit (``walk=False``).  ``u`` comes from the MD5 of the id, so reruns agree.
 
 A source is never one task: ranks fall into buckets of about ``BUCKET_ROWS`` rows, a window adds up
 the rows of a bucket, and another one the buckets of a source.
@@ -17,7 +20,8 @@ table gives an empty one; extra columns are ignored by ``mix`` and kept by ``tak
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -62,8 +66,45 @@ def targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, most: float =
     return listed.withColumn("target", F.when(F.lit(bool(words)), target).otherwise(F.lit(0.0))), total.asDict()
 
 
-def copies(sized: DataFrame, key: str, weights: Sequence[float] = WEIGHTS, most: float = MOST) -> DataFrame:
-    """``sized`` has the key, source, size and __source; adds source_size, target and the whole copies to take."""
+def summed(drawn: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """``columns`` and __sum, the running words of each source in the order of rank and key."""
+    local = W.partitionBy("__source", "bucket").orderBy("rank", F.col(key).asc_nulls_last()).rowsBetween(W.unboundedPreceding, 0)
+    per_bucket = drawn.groupBy("__source", "bucket").agg(F.sum("size").alias("__n"))
+    before = F.sum("__n").over(W.partitionBy("__source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
+    per_bucket = per_bucket.select("__source", "bucket", F.coalesce(before, F.lit(0)).alias("__before"))
+    run = drawn.withColumn("__sum", F.sum("size").over(local)).join(per_bucket, ["__source", "bucket"]).withColumn("__sum", F.col("__sum") + F.col("__before"))
+    return durable(run.select(*columns, "__sum"))
+
+
+def draw(drawn: DataFrame, key: str, names: Sequence[str], few: Callable[[DataFrame], DataFrame], walk: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows taken in the order of rank while they fit __lack, the words wanted of each source; and rows passed by.
+
+    A walk goes on past what does not fit: each round leaves out what is longer than the words still
+    missing, so a source that has rows left takes one at least.
+    """
+    taken, passed = [], []
+    while True:
+        run = summed(drawn, key, [*names, "__lack"])
+        fits = F.col("__sum") <= F.col("__lack")
+        taken.append(run.filter(fits).select(*names))
+        over = run.filter(~fits).withColumn("__round", F.lit(len(passed)))
+        if not walk:
+            passed.append(over.select(*names, "__sum", "__round"))
+            break
+        left = run.groupBy("__source").agg((F.max("__lack") - F.coalesce(F.max(F.when(fits, F.col("__sum"))), F.lit(0))).alias("__left"))
+        over = durable(over.join(few(left), "__source"))
+        passed.append(over.filter("size > __left").select(*names, "__sum", "__round"))
+        drawn = over.filter("size <= __left").select(*names, F.col("__left").alias("__lack"))
+        if drawn.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, taken), reduce(DataFrame.unionByName, passed)
+
+
+def copies(sized: DataFrame, key: str, weights: Sequence[float] = WEIGHTS, most: float = MOST, walk: bool = True) -> DataFrame:
+    """``sized`` has the key, source, size and __source; adds source_size, target and the whole copies to take.
+
+    Without ``walk`` the first document that does not fit ends the order of its source.
+    """
     aims, total = targets(sized, weights, most)
     buckets = max(1, -(-(total["docs"] or 0) // BUCKET_ROWS))
     if total["sources"] <= SMALL_SOURCES:
@@ -82,21 +123,30 @@ def copies(sized: DataFrame, key: str, weights: Sequence[float] = WEIGHTS, most:
     )
     ranked = durable(ranked.drop("u"))
     drawn = ranked.filter((F.col("size") > 0) & (F.col("rest") > 0))
-    local = W.partitionBy("__source", "bucket").orderBy("rank", F.col(key).asc_nulls_last()).rowsBetween(W.unboundedPreceding, 0)
-    per_bucket = drawn.groupBy("__source", "bucket").agg(F.sum("size").alias("__n"))
-    before = F.sum("__n").over(W.partitionBy("__source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
-    per_bucket = per_bucket.select("__source", "bucket", F.coalesce(before, F.lit(0)).alias("__before"))
-    run = drawn.withColumn("__sum", F.sum("size").over(local)).join(per_bucket, ["__source", "bucket"]).withColumn("__sum", F.col("__sum") + F.col("__before"))
-    run = durable(run.select("__source", key, "source", "size", "source_size", "target", "sure", "rest", "__sum"))
-    fits = F.col("__sum") <= F.col("rest")
-    lacking = run.groupBy("__source").agg((F.max("rest") - F.coalesce(F.max(F.when(fits, F.col("__sum"))), F.lit(0))).alias("__lacking"))
-    lacking = F.broadcast(lacking) if total["sources"] <= SMALL_SOURCES else lacking
+    few = F.broadcast if total["sources"] <= SMALL_SOURCES else lambda x: x
+    names = ["__source", key, "source", "size", "source_size", "target", "sure", "rank", "bucket"]
+    shown = [key, "source", "size", "source_size", "target"]
+    taken, passed = draw(drawn.withColumn("__lack", F.col("rest")), key, names, few, walk)
+    used = taken.groupBy("__source").agg(F.sum("size").alias("__used"), F.min("size").alias("__least"))
+    wanted = drawn.groupBy("__source").agg(F.max("rest").alias("__rest")).join(used, "__source", "left")
+    lacking = wanted.select("__source", "__rest", "__least", (F.col("__rest") - F.coalesce("__used", F.lit(0))).alias("__lacking"))
     miss = F.abs(F.col("size") - F.col("__lacking"))
-    last = (run.filter(~fits).join(lacking, "__source").filter(miss < F.col("__lacking"))
-            .groupBy("__source").agg(F.min(F.struct(miss.alias("miss"), F.col("__sum").alias("at")))["at"].alias("__last")))
-    last = F.broadcast(last) if total["sources"] <= SMALL_SOURCES else last
-    more = F.when(fits | (F.col("__sum") == F.col("__last")), 1).otherwise(0)  # sums are distinct: sizes are positive
-    chosen = run.join(last, "__source", "left").select(key, "source", "size", "source_size", "target", (F.col("sure") + more).alias("copies"))
+    nearer = miss < F.col("__lacking")
+    if walk:  # a longer one is worth its place where shorter ones can make room for it
+        nearer |= (F.col("size") <= F.col("__rest")) & (F.col("__lacking") >= F.col("__least"))
+    at = F.struct("__round", "__sum")  # sums of a round are distinct: sizes are positive
+    last = (passed.join(few(lacking), "__source").filter(nearer)
+            .groupBy("__source").agg(F.min(F.struct(miss.alias("miss"), at.alias("at"), (F.col("size") - F.col("__lacking")).alias("over"))).alias("__x"))
+            .select("__source", F.col("__x.at").alias("__last"), F.col("__x.over").alias("__over")))
+    more = F.when(at == F.col("__last"), 1).otherwise(0)
+    chosen = passed.join(few(last), "__source", "left").select(*shown, (F.col("sure") + more).alias("copies"))
+    if walk:  # what the last one has too much goes back, from the end of the order
+        last = durable(last)
+        back = taken.join(few(last), "__source").filter("size <= __over").withColumns({"rank": -F.col("rank"), "bucket": -F.col("bucket"), "__lack": F.col("__over").cast("double")})
+        given, held = draw(back.select(*names, "__lack"), key, names, few, walk)
+        chosen = chosen.unionByName(given.select(*shown, F.col("sure").alias("copies"))).unionByName(held.select(*shown, (F.col("sure") + 1).alias("copies")))
+        taken = taken.join(few(last), "__source", "left").filter("__over IS NULL OR size > __over")
+    chosen = chosen.unionByName(taken.select(*shown, (F.col("sure") + 1).alias("copies")))
     others = ranked.filter(~((F.col("size") > 0) & (F.col("rest") > 0))).select(key, "source", "size", "source_size", "target", F.col("sure").alias("copies"))
     return chosen.unionByName(others)
 
@@ -106,13 +156,13 @@ def sized(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     return durable(docs.select(F.col(key), F.col(source).alias("source"), size.alias("size"), F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")).alias("__source")))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = WEIGHTS, most: float = MOST) -> DataFrame:
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = WEIGHTS, most: float = MOST, walk: bool = True) -> DataFrame:
     """Per row: key, source, size, source_size, target, copies."""
-    return copies(sized(docs, key, text, source), key, weights, most)
+    return copies(sized(docs, key, text, source), key, weights, most, walk)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = mix(table(spark, sf_dir, "documents"))
+    made = mix(table(spark, sf_dir, "documents"), walk=False)  # as OP2_SQL states the draw
     return made.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 

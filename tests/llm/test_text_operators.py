@@ -158,6 +158,20 @@ def test_mixing_targets(spark, docs):
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(docs.repartition(5)).collect()))
 
 
+def test_mixing_walks_past_documents_that_do_not_fit(spark):
+    sources = {f"s{k:02}": [25_000] + [50] * 300 for k in range(6)} | {"t": [3], "u": [4], "v": [400] * 40}
+    rows = [(1000 * k + i, "ba " * n, "en", s) for k, (s, sizes) in enumerate(sources.items()) for i, n in enumerate(sizes)]
+    by = defaultdict(lambda: [0, 0.0])
+    table = frame(spark, rows)
+    made = mixing.mix(table).collect()
+    assert len(made) == len(rows)
+    for r in made:
+        by[r.source][0] += r.size * r.copies
+        by[r.source][1] = r.target
+    assert all(abs(by[s][0] - by[s][1]) <= 2 * min(sources[s]) for s in sources)
+    assert sorted(map(str, made)) == sorted(map(str, mixing.mix(table.repartition(7)).collect()))
+
+
 def test_secrets_are_found_and_redacted(spark):
     key, sha = "AKIA" + "Q7HD2KX9ZPLM4TRW", hashlib.sha1(b"x").hexdigest()
     rows = [(1, f'set token = "{sha}" now'), (2, f"commit {sha} fixes it"), (3, f"use {key} and password=9855ae4fa49702326c."), (4, None), (5, ""), (6, "card 9807915762804490 of"), (7, "plain words only"), (1, f'set token = "{sha}" now')]
