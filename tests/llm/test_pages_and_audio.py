@@ -29,6 +29,17 @@ def test_structure(spark):
     assert made == {1: "Head & tail\nOne two three\nfour <five> sixseven", 2: "", 3: "", 4: "only é", 5: "x", 6: "H\nb"}
 
 
+def test_main_zones_inside_layouts(spark):
+    story = "<p>a story of the day that is long enough</p>"
+    side = "<div class='sidebar'>latest</div>"
+    rows = [(1, None, f"<main><h1>Title</h1>{story}<article>a card</article></main>"), (2, None, f"<main><p>crumbs</p><article>{story}</article></main>"),
+            (3, None, f"<p>skip</p><div class='layout has-sidebar'>{side}<article>{story}</article></div>"), (4, None, f"<main class='content-with-sidebar'>{story}{side}</main>"),
+            (5, None, f"<article>{story}</article><div class='related'><article>another card</article></div>"), (6, None, f"<article><svg class='icon'/>{story}</article><svg><p>x</p></svg>"),
+            (7, None, f"<div>{story}</div><div class='comments'><article>nice</article></div>"), (8, None, f"<aside><div class='has-sidebar'><article>{story}</article></div></aside>")]
+    body = "a story of the day that is long enough"
+    assert texts_of(spark, rows) == {1: f"Title\n{body}\na card", 2: body, 3: body, 4: body, 5: body, 6: body, 7: body, 8: ""}
+
+
 def test_suffix_array_of_a_host(spark):
     rng = random.Random(1)
     word = lambda n: " ".join("w%d" % rng.randrange(500) for _ in range(n))
