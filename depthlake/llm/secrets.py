@@ -1,7 +1,7 @@
 """Secret scan with a random forest that removes false positives (operator 10), in DataFrame functions only.
 
-Candidates come from one pattern: long tokens with a digit, and values assigned to a credential
-word.  Splitting a text at its candidates gives what stands before and after each of them, so
+Candidates come from one pattern: long tokens with a digit, values assigned to a credential word, and
+tokens with a known beginning wherever they start in a path.  Splitting a text at its candidates gives what stands before and after each of them, so
 features of length, character transitions, dictionary coverage, path and neighbouring words are
 plain columns.  A random forest is trained on labelled findings (before, value, after, label),
 given by the caller or made from ``TEMPLATES``, and its probability decides.
@@ -28,8 +28,13 @@ DIGEST = "commit|sha1|sha256|md5|checksum|digest|hash|revision|uuid|etag|fingerp
 DICTIONARY = ("example|sample|dummy|placeholder|changeme|your|here|test|demo|password|secret|token|default|value|name|user|admin|"
               "image|static|version|release|build|index|page|post|article|photo|file|path|data|config|service|client|server|"
               "january|february|march|april|june|july|august|september|october|november|december|report|annual|the|and|for|with")
-CANDIDATE = (rf"(?:(?i:{CREDENTIAL})[\"']?\s{{0,2}}[=:]\s{{0,2}}[\"']?[^\s\"'<>,;]{{6,}})"
-             r"|(?:(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]{0,60}[0-9])[A-Za-z0-9+/_\-]{16,})")
+RUN = r"[A-Za-z0-9+/_\-]"
+# Tokens with a known beginning, which may start after a sign inside a run such as a path.
+KNOWN = (r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA|gh[pousr]_|AIza)[A-Za-z0-9_\-]{12,}|xox[abp]-[A-Za-z0-9_\-]{11,}"
+         r"|sk_(?=[A-Za-z_\-]*[0-9])[A-Za-z0-9_\-]{13,}|eyJ(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{13,})")
+# Any other run starts after another sign or a known token, goes on to its end or to a known token and has a digit.
+CANDIDATE = (rf"(?:(?i:{CREDENTIAL})[\"']?\s*[=:]\s*[\"']?[^\s\"'<>,;]{{6,}})|{KNOWN}"
+             rf"|(?:(?:(?<!{RUN})|\G)(?!{RUN}{{0,15}}{KNOWN})(?![A-Za-z+/_\-]*?{KNOWN})(?=[A-Za-z+/_\-]*[0-9]){RUN}{{16,}}?(?:(?!{RUN})|(?={KNOWN})))")
 ASSIGNED = rf"^(?i:({CREDENTIAL})([\"']?\s*[=:]\s*[\"']?))(.+)$"
 NEAR = 48            # characters of context on either side that features look at
 THRESHOLD = 0.5
@@ -124,7 +129,7 @@ def candidates(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
     assigned = F.col("c.match").rlike(ASSIGNED)
     return each.select(
         *keep, "n", (F.col("c.start") + F.when(assigned, F.length(key) + F.length(glue)).otherwise(0)).alias("start"), F.when(assigned, F.lower(key)).otherwise("token shape").alias("kind"),
-        F.when(assigned, F.concat("c.before", key, glue)).otherwise(F.col("c.before")).alias("before"), F.when(assigned, own).otherwise(F.col("c.match")).alias("value"), F.col("c.after").alias("after"))
+        F.when(assigned, F.concat("c.before", key, F.regexp_replace(glue, r"\s+", " "))).otherwise(F.col("c.before")).alias("before"), F.when(assigned, own).otherwise(F.col("c.match")).alias("value"), F.col("c.after").alias("after"))
 
 
 def findings(docs: DataFrame, forest, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

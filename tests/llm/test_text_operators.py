@@ -187,6 +187,21 @@ def test_secrets_are_found_and_redacted(spark):
     assert kept[1] == 'set token = "[SECRET]" now' and kept[2] == texts[2] and kept[4] is None and key not in kept[3]
 
 
+def test_secrets_in_paths_and_aligned_lines(spark):
+    token, word = "ghp_" + "a9Kd03LmQx7ZtR5vBn2Wc8Ye4Uf6Hg1Jp0Ss", "9855ae4fa49702326c"
+    path = "https://git.example/organisation/a-team-with-a-name/that/goes/on/without/any/number/for/long/"
+    key, sha = "AKIA" + "Q7HD2KX9ZPLM4TRW", hashlib.sha1(b"x").hexdigest()
+    rows = [(1, f"see {path}{token} now"), (2, f"password      = {word}"), (3, f"password{' ' * 60}:  {word} and"), (4, f"/a/{key}/tree/{token}"),
+            (5, f"see {path}v2/readme"), (6, f"commit {sha} and {path}"), (7, "/" + "a" * 200_000 + "1"), (8, "_" + "sk_/" * 20_000)]
+    forest = secrets.train(secrets.template_findings(spark, 40))
+    table = frame(spark, [(i, t, None, None) for i, t in rows])
+    clean = {r.doc_id: r.text for r in secrets.redact(table, forest).collect()}
+    assert clean[1] == f"see {path}[SECRET] now" and clean[2] == "password      = [SECRET]" and word not in clean[3] and clean[4] == "/a/[SECRET]/tree/[SECRET]"
+    assert clean[5] == rows[4][1] and clean[6] == rows[5][1] and clean[8] == rows[7][1]
+    held = {r.doc_id for r in secrets.candidates(table, "text", ("doc_id",)).select("doc_id").collect()}
+    assert {5, 7} <= held
+
+
 def test_classifiers_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     truth = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id", "left")
