@@ -30,11 +30,11 @@ DICTIONARY = ("example|sample|dummy|placeholder|changeme|your|here|test|demo|pas
               "january|february|march|april|june|july|august|september|october|november|december|report|annual|the|and|for|with")
 RUN = r"[A-Za-z0-9+/_\-]"
 # Tokens with a known beginning, which may start after a sign inside a run such as a path.
-KNOWN = (r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA|gh[pousr]_|AIza)[A-Za-z0-9_\-]{12,}|xox[abp]-[A-Za-z0-9_\-]{11,}"
+KNOWN = (r"(?<![A-Za-z0-9])(?=[Agxse])(?:(?:AKIA|ASIA|gh[pousr]_|AIza)[A-Za-z0-9_\-]{12,}|xox[abp]-[A-Za-z0-9_\-]{11,}"
          r"|sk_(?=[A-Za-z_\-]*[0-9])[A-Za-z0-9_\-]{13,}|eyJ(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{13,})")
 # Any other run starts after another sign or a known token, goes on to its end or to a known token and has a digit.
 CANDIDATE = (rf"(?:(?i:{CREDENTIAL})[\"']?\s*[=:]\s*[\"']?[^\s\"'<>,;]{{6,}})|{KNOWN}"
-             rf"|(?:(?:(?<!{RUN})|\G)(?!{RUN}{{0,15}}{KNOWN})(?![A-Za-z+/_\-]*?{KNOWN})(?=[A-Za-z+/_\-]*[0-9]){RUN}{{16,}}?(?:(?!{RUN})|(?={KNOWN})))")
+             rf"|(?:(?:(?<!{RUN})|\G)(?={RUN}{{16}})(?=[A-Za-z+/_\-]*[0-9])(?!{RUN}{{0,15}}{KNOWN})(?![A-Za-z+/_\-]*?{KNOWN}){RUN}{{16,}}?(?:(?!{RUN})|(?={KNOWN})))")
 ASSIGNED = rf"^(?i:({CREDENTIAL})([\"']?\s*[=:]\s*[\"']?))(.+)$"
 NEAR = 48            # characters of context on either side that features look at
 THRESHOLD = 0.5
