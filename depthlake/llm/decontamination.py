@@ -1,11 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment (operator 7).
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment (operator 7).
 
-Words are runs of letters, digits and multi-byte characters, without case.  The n-grams of each
-test item are seeds; their frequency is counted over all documents, and each item keeps its rarest
-share (relative to the item, so an item that was copied everywhere keeps seeds too).  A document
-passage that holds a kept seed is aligned with the item word by word; the score is the local
-alignment's, over that of a perfect copy.  Passages are aligned where they are read: only results
-are shuffled.
+Words are runs of letters, digits and multi-byte characters, without case.  All n-grams of each
+test item are seeds.  A document passage that holds a seed is aligned with the item word by word;
+the score is the local alignment's, over that of a perfect copy.  A document holds an item if the
+score reaches the threshold, or if it holds a passage of ``PASSAGE_WORDS`` words, verbatim or with
+few edits inside its own span, whatever the item's length (its score is then below the threshold).
+Passages are aligned where they are read: only results are shuffled.
 
 Test items are worked through in blocks of at most ``BLOCK_SEEDS`` seeds (one item may exceed it),
 each block against all documents, so what a task holds of them is bounded.
@@ -28,10 +28,11 @@ from .tables import durable, table
 from .textbytes import Slice, gram_hashes, mix, slices, word_bounds, word_hashes
 
 SEED_WORDS = 3
-RARE_SHARE, RARE_LEAST = 0.6, 12   # share of an item's seeds that are kept, rarest first, and how many at least
 BLOCK_SEEDS = 400_000
 MATCH, MISMATCH, GAP = 2, -1, 1
 THRESHOLD = 0.5
+PASSAGE_WORDS = 13                 # so many words of an item count as a passage of it, whatever its length
+PASSAGE_SHARE = 0.8                # score of a passage with edits over that of a perfect copy of its own span
 CELLS = 1 << 20                    # cells of one batch of alignments
 
 NO_WORD = np.ones(256, bool)
@@ -93,24 +94,6 @@ def door_of(seeds: np.ndarray) -> np.ndarray:
     return door
 
 
-def seed_frequency(docs: DataFrame, text: str, seeds: np.ndarray) -> dict[int, int]:
-    """Occurrences of each seed over all documents: summed per slice, then by Spark."""
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        door = door_of(seeds)
-        total = np.zeros(len(seeds), np.int64)
-        for batch in batches:
-            for part in slices(batch.column(0)):
-                words, row = words_of(part)
-                _, at = hits(seeds_of(words, row, len(part))[0], seeds, door)
-                total += np.bincount(at, minlength=len(seeds))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["at", "n"])
-
-    counted = docs.select(F.lower(text)).mapInArrow(apply, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
-    return {r["at"]: r["n"] for r in counted.collect()}  # at most a row per seed of the block
-
-
 def smith_waterman(passages: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(best score, 1-based end in the passage) of the local alignment of each row of word hashes.
 
@@ -134,9 +117,20 @@ def smith_waterman(passages: np.ndarray, items: np.ndarray) -> tuple[np.ndarray,
     return best, end
 
 
+def longest_run(passages: np.ndarray, items: np.ndarray) -> np.ndarray:
+    """Words of the longest verbatim run that each pair shares."""
+    last, best = np.zeros(passages.shape, np.int32), np.zeros(len(passages), np.int32)
+    for i in range(items.shape[1]):
+        now = (passages == items[:, i:i + 1]).astype(np.int32)
+        now[:, 1:] *= last[:, :-1] + 1
+        best = np.maximum(best, now.max(axis=1, initial=0))
+        last = now
+    return best
+
+
 @dataclass
 class Block:
-    """Kept seeds of a block of items: sorted seeds, and for each its (item, place) entries."""
+    """Seeds of a block of items: sorted seeds, and for each its (item, place) entries."""
 
     ids: list
     words: list[np.ndarray]
@@ -146,7 +140,7 @@ class Block:
     place: np.ndarray
 
     def passages(self, part: Slice) -> list[tuple[int, int, int, int]]:
-        """(row, item, from, to): stretches of words around kept seeds, one per group of near diagonals."""
+        """(row, item, from, to): stretches of words around seeds, one per group of near diagonals."""
         words, row = words_of(part)
         found, first = seeds_of(words, row, len(part))
         at, which = hits(found, self.seeds, door_of(self.seeds))
@@ -187,26 +181,20 @@ class Block:
                 item[k, :len(self.words[x[1]])] = self.words[x[1]]
             best, end = smith_waterman(text, item)
             share = best / (MATCH * np.array([len(self.words[x[1]]) for x in group]))
-            good = np.flatnonzero(share >= threshold)
+            good = np.flatnonzero((share >= threshold) | (best >= MATCH * PASSAGE_WORDS))
             if len(good):
                 back, behind = smith_waterman(text[good][:, ::-1], item[good][:, ::-1])
-                for k, rear in zip(good, behind, strict=True):
+                span = end[good] - (wide - behind)
+                held = (share[good] >= threshold) | (best[good] >= PASSAGE_SHARE * MATCH * span) | (longest_run(text[good], item[good]) >= PASSAGE_WORDS)
+                for k, rear in zip(good[held], behind[held], strict=True):
                     x = group[k]
                     out.append((x[0], x[1], float(share[k]), x[4] + wide - int(rear), x[4] + int(end[k]) - 1))
         return out
 
 
-def kept_seeds(ids: list, words: list[np.ndarray], seeds: list[np.ndarray], places: list[np.ndarray], frequency: dict[int, int], every: np.ndarray) -> Block:
-    kept_seed, kept_item, kept_place = [], [], []
-    count = np.zeros(len(every), np.int64)
-    for at, n in frequency.items():
-        count[at] = n
-    for i, (seed, place) in enumerate(zip(seeds, places, strict=True)):
-        order = np.lexsort((place, count[np.searchsorted(every, seed)]))[:max(RARE_LEAST, int(np.ceil(RARE_SHARE * len(seed))))]
-        kept_seed.append(seed[order])
-        kept_item.append(np.full(len(order), i))
-        kept_place.append(place[order])
-    seed, item, place = (np.concatenate(x) for x in (kept_seed, kept_item, kept_place))
+def block_of(ids: list, words: list[np.ndarray], seeds: list[np.ndarray], places: list[np.ndarray]) -> Block:
+    seed, place = np.concatenate(seeds), np.concatenate(places)
+    item = np.repeat(np.arange(len(seeds)), [len(x) for x in seeds])
     order = np.lexsort((place, item, seed))
     distinct, first = np.unique(seed[order], return_index=True)
     return Block(ids, words, distinct, np.append(first, len(seed)), item[order], place[order])
@@ -225,8 +213,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
         if not rows:
             continue
         seeds = [np.array(r["seeds"], np.int64).view(np.uint64) for r in rows]
-        every = np.unique(np.concatenate(seeds))
-        block = kept_seeds([r["item"] for r in rows], [np.frombuffer(r["words"], np.uint64) for r in rows], seeds, [np.array(r["places"]) for r in rows], seed_frequency(docs, text, every), every)
+        block = block_of([r["item"] for r in rows], [np.frombuffer(r["words"], np.uint64) for r in rows], seeds, [np.array(r["places"], np.int64) for r in rows])
 
         def apply(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
             for batch in batches:

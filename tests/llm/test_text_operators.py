@@ -131,6 +131,19 @@ def test_decontamination_finds_copies_and_edits(spark):
     assert got[1, 0] == 1.0 and 0.6 < got[2, 2] < 0.9
 
 
+def test_decontamination_finds_passages_of_long_items(spark):
+    rng = random.Random(4)
+    item = prose(rng, 300).split()
+    edited = item[60:100]
+    edited[20] = "changed"
+    common = " ".join(item[200:216])
+    texts = {1: item[100:128], 2: item[7:156], 3: edited, 4: item[40:47], 5: item[200:216]}
+    rows = [(i, prose(rng, 30) + " " + " ".join(w) + " " + prose(rng, 30)) for i, w in texts.items()]
+    rows += [(10 + i, common) for i in range(40)] + [(60, prose(rng, 3000))]  # 40 copies: the commonest seeds of the item
+    got = {r.doc_id: r.score for r in decontamination.contaminated(frame(spark, [(i, t, None, None) for i, t in rows]), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    assert set(got) == {1, 2, 3, 5, *range(10, 50)} and max(got.values()) < 0.55
+
+
 def test_smith_waterman_against_plain_recurrence():
     rng = np.random.default_rng(1)
     for _ in range(20):
