@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, decontamination, language, mixing, neardup, pages, quality, secrets, substrings, toxicity
+from . import audio, bpe, decontamination, language, mixing, neardup, pages, quality, secrets, substrings, toxicity
 
 QUERIES = {
     "op1_html_extraction": pages.op1_html_extraction,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_near_duplicates": neardup.op9_near_duplicates,
     "op10_secret_scan": secrets.op10_secret_scan,
+    "op12_bpe_round_trip": bpe.op12_bpe_round_trip,
 }
 
 ORACLES: dict[str, str] = {
