@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, bpe, decontamination, language, mixing, neardup, pages, quality, secrets, substrings, toxicity, trie
+from . import audio, bpe, decontamination, divergence, language, mixing, neardup, pages, quality, secrets, substrings, toxicity, trie
 
 QUERIES = {
     "op1_html_extraction": pages.op1_html_extraction,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_near_duplicates": neardup.op9_near_duplicates,
     "op10_secret_scan": secrets.op10_secret_scan,
+    "op11_source_divergence": divergence.op11_source_divergence,
     "op12_bpe_round_trip": bpe.op12_bpe_round_trip,
     "op13_prefix_trie": trie.op13_prefix_trie,
 }
@@ -23,5 +24,6 @@ ORACLES: dict[str, str] = {
     "op2_mixing": mixing.OP2_SQL,
     "op3_substring_dedup": substrings.OP3_SQL,
     "op9_near_duplicates": neardup.OP9_SQL,
+    "op11_source_divergence": divergence.OP11_SQL,
     "op13_prefix_trie": trie.OP13_SQL,
 }
