@@ -13,8 +13,9 @@ lies outside such a window is then exactly the encoding of the whole:
   away from the join (no contraction and no special token is longer), never next to an apostrophe,
   never inside a character, never before a character that composes with the one before it.
 
-Between ASCII white space the pieces of a text are encoded independently of each other, so the
-pieces of a batch are dictionary-coded and every distinct one is encoded once.
+ASCII white space and the edges between ASCII letters, digits and symbols part words whatever else the
+text holds (but for contractions and special tokens), so the pieces between them are encoded
+independently of each other: a batch is dictionary-coded and every distinct piece is encoded once.
 
 Defined cases: a null text is an empty one; an empty text has no token and decodes to the empty
 string; rows that are equal in key and text each give a row; an empty table gives an empty one; the
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import unicodedata
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
@@ -35,16 +37,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .tables import table
-from .textbytes import SPACE, Slice, slices, word_bounds
+from .textbytes import LOWER, SPACE, Slice, slices
 
 LEAF = 1 << 14
 FIRST_WINDOW = 16
-SLICE_BYTES = 4 << 20
-CACHED_PIECES = 1 << 17
+#: Characters at each end of a part whose token places are kept; a window that grows further takes the rest.
+RIM = 256
+SLICE_BYTES = 2 << 20
+CACHED_PIECES = 1 << 18
+BATCH_PIECES = 1 << 13
+BLANK = re.compile("[ \t-\r]")
 #: Letters that compose with the letter before them (all other composing characters are marks).
 COMPOSING_LETTERS = ((0x1100, 0x11FF), (0x16D63, 0x16D6A))
 
 
+def _kinds() -> np.ndarray:
+    """Per byte: 0 white space, 1 undecided (control and non-ASCII bytes), 2 letter, 3 digit, 4 symbol."""
+    kinds = np.ones(256, np.uint8)
+    kinds[33:127], kinds[48:58], kinds[65:91], kinds[97:123], kinds[SPACE] = 4, 3, 2, 2, 0
+    return kinds
+
+
+KINDS, APOSTROPHE = _kinds(), ord("'")
+
+
+def piece_starts(part: Slice, whole: bool) -> np.ndarray:
+    """First bytes of the pieces of a slice; ``whole`` cuts at white space and row edges only."""
+    kind = KINDS[part.buf]
+    fresh = kind > 0
+    if len(kind) > 1:
+        edge = kind[:-1] == 0
+        if not whole:
+            edge |= (kind[:-1] > 1) & (kind[1:] > 1) & (kind[:-1] != kind[1:]) & (part.buf[:-1] != APOSTROPHE)
+        at_row = np.zeros(len(kind), bool)
+        rows = part.offsets[1:-1]
+        at_row[rows[rows < len(kind)]] = True
+        fresh[1:] &= edge | at_row[1:]
+    return np.flatnonzero(fresh)
+
+
 class Coder:
     """One tokenizer file in a Python worker, with the encodings of pieces met before."""
 
@@ -62,8 +93,10 @@ class Coder:
         spec["model"]["end_of_word_suffix"] = None
         self.inner = Tokenizer.from_str(json.dumps(spec)).model
         size = self.whole.get_vocab_size(with_added_tokens=True)
+        self.narrow = "<u2" if size <= 1 << 16 else "<u4"
         names = [self.whole.id_to_token(i) or "" for i in range(size)]
         self.ends_word = np.array([n in self.specials or bool(self.suffix) and n.endswith(self.suffix) for n in names])
+        self.lowers = self.whole.normalizer.normalize_str("A") == "a" and not any(s != s.lower() for s in self.specials)
         self.cache: dict[str, list[int]] = {}
 
     def pieces(self, distinct: list[str]) -> list[list[int]]:
@@ -71,16 +104,29 @@ class Coder:
         if len(self.cache) + len(distinct) > CACHED_PIECES:
             self.cache.clear()
         new = [p for p in distinct if p not in self.cache]
-        if new:
-            for piece, found in zip(new, self.whole.encode_batch_fast(new, add_special_tokens=False)):
+        for lo in range(0, len(new), BATCH_PIECES):
+            some = new[lo:lo + BATCH_PIECES]
+            for piece, found in zip(some, self.whole.encode_batch_fast(some, add_special_tokens=False)):
                 self.cache[piece] = found.ids
         return [self.cache[p] for p in distinct]
 
-    def part(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, start, end) of one part, in characters."""
+    def _placed(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         found = self.whole.encode(text, add_special_tokens=False)
-        spans = np.array(found.offsets, np.int64).reshape(-1, 2)
-        return np.array(found.ids, np.uint32), spans[:, 0].copy(), spans[:, 1].copy()
+        return np.array(found.ids, np.uint32), np.array(found.offsets, np.int64).reshape(-1, 2)
+
+    def part(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, head, tail) of one part: rows of (start, end), in characters, of its first and last tokens.
+
+        A part without white space near its ends has all its places in the head, and no tail.
+        """
+        head, tail = BLANK.search(text, RIM), None
+        for tail in BLANK.finditer(text, max(0, len(text) - 2 * RIM), max(0, len(text) - RIM)):
+            pass
+        if not head or not tail or head.end() > tail.start():
+            return *self._placed(text), np.zeros((0, 2), np.int64)
+        raw = np.frombuffer(text.encode(), np.uint8)
+        ids = np.frombuffer(encode_slice(self, Slice(0, 1, raw, np.array([0, len(raw)])))[0].as_py(), "<u4")
+        return ids, self._placed(text[:head.start()])[1], self._placed(text[tail.end():])[1] + tail.end()
 
     def window(self, text: str, open_end: bool) -> list[int]:
         """The ids of a window; with ``open_end`` its last word goes on behind it."""
@@ -125,6 +171,15 @@ class Node:
     def __init__(self, lo: int, hi: int, ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
         self.lo, self.hi, self.ids, self.start, self.end = lo, hi, ids, start, end
 
+    @classmethod
+    def rimmed(cls, lo: int, hi: int, ids: np.ndarray, head: np.ndarray, tail: np.ndarray) -> Node:
+        """A part whose first and last tokens have known places, counted from its own start."""
+        start, end = np.full(len(ids), -1, np.int64), np.full(len(ids), -1, np.int64)
+        for at, places in ((0, head), (len(ids) - len(tail), tail)):
+            start[at:at + len(places)] = places[:, 0] + lo
+            end[at:at + len(places)] = places[:, 1] + lo
+        return cls(lo, hi, ids, start, end)
+
     def clean(self, i: int) -> bool:
         """Whether tokens i - 1 and i have no character in common."""
         return 0 <= self.end[i - 1] <= self.start[i]
@@ -187,10 +242,13 @@ def _packed(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
 
 def encode_slice(found: Coder, part: Slice) -> pa.Array:
     """The packed ids of each row of a slice; every distinct piece is encoded once."""
-    start, end, row = word_bounds(part)
-    offsets = np.concatenate([[0], np.cumsum(end - start, dtype=np.int64)])
-    data = part.buf[~SPACE[part.buf]]
-    words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data)))
+    raw = part.buf.tobytes()
+    start = piece_starts(part, whole=any(s.encode() in raw for s in found.specials))
+    inside = ~SPACE[part.buf]
+    data = (LOWER[part.buf] if found.lowers else part.buf)[inside]
+    offsets = np.append(np.cumsum(inside, dtype=np.int64)[start] - 1, len(data))
+    row = np.searchsorted(part.offsets, start, "right") - 1
+    words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(data))
     coded = words.dictionary_encode()
     lists = found.pieces(coded.dictionary.to_pylist())
     sizes = np.fromiter((len(x) for x in lists), np.int64, len(lists))
@@ -239,10 +297,10 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", key: Sequence[str]
         found = coder(path)
         for batch in batches:
             for at in range(batch.num_rows):
-                ids, start, end = found.part(batch.column("__body")[at].as_py())
+                ids, head, tail = found.part(batch.column("__body")[at].as_py())
                 row = batch.slice(at, 1)
-                extra = [pa.array([x.tobytes()], pa.binary()) for x in (ids, start.astype(np.int32), end.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([*row.columns, *extra], [*row.schema.names, "ids", "start", "end"])
+                extra = [pa.array([x.tobytes()], pa.binary()) for x in (ids.astype(found.narrow), head.astype("<i4"), tail.astype("<i4"))]
+                yield pa.RecordBatch.from_arrays([*row.columns, *extra], [*row.schema.names, "ids", "head", "tail"])
 
     def joined(group: pa.Table) -> pa.Table:
         found = coder(path)
@@ -253,9 +311,9 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", key: Sequence[str]
         bodies = [group.column("__body")[int(i)].as_py() for i in first]
         nodes, lo = [], 0
         for i, part in zip(first, bodies):
-            ids = np.frombuffer(group.column("ids")[int(i)].as_py(), np.uint32)
-            start, end = (np.frombuffer(group.column(c)[int(i)].as_py(), np.int32).astype(np.int64) + lo for c in ("start", "end"))
-            nodes.append(Node(lo, lo + len(part), ids, start, end))
+            ids = np.frombuffer(group.column("ids")[int(i)].as_py(), found.narrow).astype(np.uint32)
+            head, tail = (np.frombuffer(group.column(c)[int(i)].as_py(), "<i4").reshape(-1, 2) for c in ("head", "tail"))
+            nodes.append(Node.rimmed(lo, lo + len(part), ids, head, tail))
             lo += len(part)
         ids = concatenate(found, "".join(bodies), nodes).astype("<u4").tobytes()
         of_rows = group.slice(0, copies)
@@ -263,7 +321,7 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", key: Sequence[str]
 
     identity = T.StructType([T.StructField("__text", T.StringType()), *fields])
     part_schema = T.StructType([*identity.fields, T.StructField("__part", T.IntegerType()), T.StructField("__body", T.StringType())])
-    leaf_schema = T.StructType([*part_schema.fields, *[T.StructField(c, T.BinaryType()) for c in ("ids", "start", "end")]])
+    leaf_schema = T.StructType([*part_schema.fields, *[T.StructField(c, T.BinaryType()) for c in ("ids", "head", "tail")]])
     parts = (
         kept.filter(long_text).select(F.sha2("__body", 256).alias("__text"), *key, "__body")
         .mapInArrow(cut, part_schema).repartition("__text", *key, "__part").mapInArrow(leaves, leaf_schema))

@@ -4,11 +4,13 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from depthlake.llm import bpe  # noqa: E402
+from depthlake.llm.textbytes import slices  # noqa: E402
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 BITS = ["a", "aaaa", "the", "ing", "'", "''", "'s", "'re", "'ll", "LL", "'VE", " ", "\n", " ", "é", "́", "̧́", "İ", "ß", "ﬁ", "漢字", "🙂",
@@ -20,21 +22,31 @@ def coder():
     return bpe.coder(PATH)
 
 
-def test_joined_parts_equal_the_whole(coder):
+def test_joined_parts_equal_the_whole(coder, monkeypatch):
     rng = random.Random(3)
-    for trial in range(400):
+    monkeypatch.setattr(bpe, "RIM", 4)
+    for trial in range(800):
         some = rng.sample(BITS, rng.randint(1, 8))
         text = "".join(rng.choice(some) for _ in range(rng.randint(1, 160)))
-        leaf = rng.choice([3, 5, 17, 40])
+        leaf = rng.choice([3, 5, 17, 40, 70])
         begins = bpe.halves(0, len(text), leaf)
         nodes = []
         for a, b in zip(begins, [*begins[1:], len(text)]):
-            ids, start, end = coder.part(text[a:b])
-            nodes.append(bpe.Node(a, b, ids, start + a, end + a))
+            nodes.append(bpe.Node.rimmed(a, b, *coder.part(text[a:b])))
         want = coder.whole.encode(text, add_special_tokens=False).ids
         assert bpe.concatenate(coder, text, nodes).tolist() == want, (trial, leaf, text)
 
 
+def test_pieces_equal_the_whole(coder):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(BITS + ["A", "Z.", "x,y", "(9)", "\x1c", "\x7f", ".́", "á", "é.", "—.", "I'D", "'Re"]) for _ in range(60)) for _ in range(400)]
+    for part in slices(pa.array([t for t in texts if "<|endoftext|>" not in t and "<|startoftext|>" not in t] + [""]), 3000):
+        some = bpe.encode_slice(coder, part)
+        for i, ids in enumerate(some.to_pylist()):
+            text = part.buf[part.offsets[i]:part.offsets[i + 1]].tobytes().decode()
+            assert np.frombuffer(ids, "<u4").tolist() == coder.whole.encode(text, add_special_tokens=False).ids, text
+
+
 def test_operator_equals_the_library(spark, coder):
     rng = random.Random(4)
     texts = [None, "", " \n", "one", "a" * 5000, "don't " * 3000, "漢字" * 4000, "x'" * 4000, "<|endoftext|>" * 700]
