@@ -1,5 +1,7 @@
 """Files in, files out, streams."""
 
+import csv
+import random
 import tempfile
 
 from pyspark.sql import functions as F
@@ -29,6 +31,45 @@ def test_lines_are_numbered_across_splits(spark):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def csv_rows(path):
+    with open(path, encoding="utf-8-sig", newline="") as f:
+        return {(i + 1, j + 1, v) for i, row in enumerate(csv.reader(f, delimiter=";")) for j, v in enumerate(row) if v}
+
+
+def test_quoted_line_breaks_across_splits(spark):
+    base, rng = folder(), random.Random(3)
+    bits = ['"', '""', ";", ";", "\n", "\r\n", "\r", "a", "bc", " ", 'x"y', '"q;q"', '"l\nl"', ";;"]
+    for n in range(12):
+        text = "h;h;h;h;h;h;h;h\n" * 3 + "".join(rng.choice(bits) for _ in range(rng.choice([5, 60, 900])))
+        with open(f"{base}/f{n}.csv", "w", encoding="utf-8-sig" if n % 2 else "utf-8", newline="") as f:
+            f.write(text)
+    for size in ("512", "1000000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            lines = L.read_broken_lines(spark, base)
+            seps = lines.select("file", F.lit(";").alias("sep")).distinct()
+            got = {}
+            for r in L.delimited_cells(lines, seps).collect():
+                got.setdefault(r["file"].rsplit("/", 1)[1], set()).add((r["row"], r["col"], r["value"]))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        for n in range(12):
+            assert got.get(f"f{n}.csv", set()) == csv_rows(f"{base}/f{n}.csv"), (n, size)
+
+
+def test_failing_files_are_issues(spark):
+    base = folder()
+    good = b"a;b\n\"c\nd\";e\n"
+    files = {"good.csv": good, "latin.csv": b"a;b\n\xe9;c\n", "open.csv": b'a;b\n"' + b"x" * 70000 + b"\n" + b"y" * 70000 + b"\nz\n", "wide.csv": b"a;" + b"w" * 140000 + b"\n"}
+    for name, data in files.items():
+        with open(f"{base}/{name}", "wb") as f:
+            f.write(data)
+    cells, issues = L.read_many(spark, base)
+    assert {(r["row"], r["col"], r["value"]) for r in cells.collect()} == {(1, 1, "a"), (1, 2, "b"), (2, 1, "c\nd"), (2, 2, "e")}
+    found = {r["source"].rsplit("/", 1)[1]: r["message"] for r in issues.collect()}
+    assert found == {"latin.csv": "not UTF-8", "open.csv": "field larger than field limit (131072)", "wide.csv": "field larger than field limit (131072)"}
+
+
 def test_listing_and_sinks(spark):
     base = folder()
     df = spark.createDataFrame([(1, "a", "train"), (2, "b", "val")], "id long, name string, split string")
