@@ -52,21 +52,45 @@ def inherit_only_well(photos: DataFrame, layers: DataFrame, *, well: str = "well
     return photos.withColumn(well, F.coalesce(F.col(well), only))
 
 
-def longest_key(texts: DataFrame, keys: DataFrame, *, ident: str, text: str = "text", key: str = "key") -> DataFrame:
-    """Longest known key contained in a text.
+GRAM = 3
+
 
-    Every substring of the text that has the length of some key is looked up by equality,
-    so no text meets all keys.
+def contained_keys(texts: DataFrame, keys: DataFrame, *, ident: str, text: str = "text", key: str = "key") -> DataFrame:
+    """(ident, key): every known key that a text contains.
+
+    A key is looked up by one of its 3-grams, the one that the fewest texts have; a text offers its
+    distinct 3-grams, and only then is the whole key looked for in it.  Work grows with the length
+    of a text, not with its square, and no text meets all keys.  Keys of one or two characters are
+    their own grams.
     """
-    known = keys.select(key).filter(F.col(key) != "").distinct()
-    lengths = known.agg(F.collect_set(F.length(key))).scalar()
-    each = texts.select(ident, text, F.explode(lengths).alias("__n")).filter(F.length(text) >= F.col("__n"))
-    cuts = F.transform(F.sequence(F.lit(1), F.length(text) - F.col("__n") + 1), lambda i: F.substring(F.col(text), i, F.col("__n")))
-    parts = each.select(ident, F.explode(F.array_distinct(cuts)).alias(key))
-    hits = parts.join(known, key)
+    known = keys.select(F.col(key).alias("__key")).filter(F.col("__key") != "").distinct()
+    short = known.filter(F.length("__key") < GRAM).select(F.collect_set(F.length("__key"))).scalar()
+    cuts = lambda c, n: F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))  # all overlapping cuts in one pass
+    asked_for = lambda n: F.when(F.array_contains("__short", n), cuts(F.col("__text"), n))
+    grams = F.array_distinct(F.flatten(F.array_compact(F.array(cuts(F.col("__text"), GRAM), *[asked_for(n) for n in range(1, GRAM)]))))
+    offered = texts.select(ident, F.col(text).alias("__text"), F.coalesce(short, F.array().cast("array<int>")).alias("__short")).select(ident, F.explode(grams).alias("__gram"))
+    common = offered.groupBy("__gram").agg(F.count(F.lit(1)).alias("__texts"))
+    own = known.select("__key", F.explode(F.when(F.length("__key") < GRAM, F.array("__key")).otherwise(F.array_distinct(cuts(F.col("__key"), GRAM)))).alias("__gram"))
+    anchors = own.join(common, "__gram").groupBy("__key").agg(F.min_by("__gram", F.struct("__texts", "__gram")).alias("__gram"))
+    asked = offered.join(anchors, "__gram").select(ident, "__key")
+    return asked.join(texts.select(ident, F.col(text).alias("__text")).distinct(), ident).filter(F.contains("__text", F.col("__key"))).select(ident, F.col("__key").alias(key)).distinct()
+
+
+def longest_key(texts: DataFrame, keys: DataFrame, *, ident: str, text: str = "text", key: str = "key") -> DataFrame:
+    """Longest known key contained in a text."""
+    hits = contained_keys(texts, keys, ident=ident, text=text, key=key)
     return hits.groupBy(ident).agg(F.max_by(key, F.struct(F.length(key), F.col(key))).alias(key))
 
 
+def resolve_wells(photos: DataFrame, wells: DataFrame, *, photo: str = "photo", well: str = "well", text: str = "text", key: str = "key") -> DataFrame:
+    """``photos`` with ``well`` resolved: the only known key for all, else the longest key in the photo's text, else as it was."""
+    known = wells.select(key).filter(F.col(key) != "").distinct()
+    span = known.agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
+    only = span.select(F.when(F.col("lo") == F.col("hi"), F.col("lo"))).scalar()
+    found = longest_key(photos.select(photo, text), known, ident=photo, text=text, key=key).withColumnRenamed(key, "__found")
+    return photos.join(found, photo, "left").withColumn(well, F.coalesce(only, F.col("__found"), F.col(well))).drop("__found")
+
+
 def unique_or_null(candidates: DataFrame, keys: Sequence[str], score: str, answer: str) -> DataFrame:
     """Best-scored answer per key, NULL unless exactly one answer has that score."""
     keys = list(keys)
@@ -104,8 +128,8 @@ def resolve_class(rows: DataFrame, catalog: DataFrame, ident: Sequence[str], *,
 def legend_lookup(rows: DataFrame, legend: DataFrame, ident: Sequence[str], aliases: dict[str, str], *, label: str = "label", name: str = "name") -> DataFrame:
     """Legend entry of a label by ranked rules: alias, name, alias word inside, containment.
 
-    Aliases are a short fixed list, so they are tested in the row; containment looks up
-    substrings by equality on distinct labels only.
+    Aliases are a short fixed list, so they are tested in the row; containment, either way,
+    is looked up by rare 3-grams of distinct labels and names.
     """
     ident = list(ident)
     text = F.lower(F.trim(F.coalesce(label, F.lit(""))))
@@ -121,12 +145,12 @@ def legend_lookup(rows: DataFrame, legend: DataFrame, ident: Sequence[str], alia
         F.struct(F.when(F.col("__a").isNull(), 1).alias("r"), F.col("__l").alias("k")),
         F.struct(F.lit(2).alias("r"), F.col("__w").alias("k")))).alias("t")).select("__l", F.col("t.r").alias("r"), F.col("t.k").alias("__k"))
     direct = tries.filter("r IS NOT NULL AND __k IS NOT NULL").join(entries, "__k").select("__l", "r", "__name", "__pos")
-    spans = lambda c: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.transform(
-        F.sequence(F.lit(1), F.length(c) - i + 1), lambda n: F.substring(c, i, n)))))
-    inside = labels.filter("__l <> ''").select("__l", F.explode(spans(F.col("__l"))).alias("__k")).join(entries, "__k").select("__l", F.lit(3).alias("r"), "__name", "__pos")
-    around = entries.select("__name", "__pos", F.explode(spans(F.col("__k"))).alias("__l")).join(labels.filter("__l <> ''").select("__l"), "__l").select(
-        "__l", F.lit(3).alias("r"), "__name", "__pos")
-    best = direct.unionByName(inside).unionByName(around).groupBy("__l").agg(F.min(F.struct("r", "__pos", "__name")).alias("__b"))
+    asking = labels.filter("__l <> ''").select("__l")
+    of_label = contained_keys(asking, entries, ident="__l", text="__l", key="__k")
+    of_entry = contained_keys(entries.select("__k").filter("__k <> ''").distinct(), asking, ident="__k", text="__k", key="__l")
+    touching = of_label.select("__l", "__k").unionByName(of_entry.select("__l", "__k")).distinct()
+    around = touching.join(entries, "__k").select("__l", F.lit(3).alias("r"), "__name", "__pos")
+    best = direct.unionByName(around).groupBy("__l").agg(F.min(F.struct("r", "__pos", "__name")).alias("__b"))
     return rows.withColumn("__l", text).join(best.select("__l", F.col("__b.__name").alias("entry")), "__l", "left").select(*ident, label, "entry")
 
 

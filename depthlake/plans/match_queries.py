@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from depthlake.functions import text as T
 from depthlake.operators import boxes as B, calibrate as K, joins as J, intervals as iv
 from depthlake.operators.scan import numbered
+from depthlake.session import ensure_checkpoint_dir
 from depthlake.plans.proxies import Tables
 from depthlake.plans.registry import query
 
@@ -58,6 +59,34 @@ def longest_key(t: Tables) -> DataFrame:
     return J.longest_key(texts, t.part.select(F.col("p_name").alias("key")), ident="p_partkey")
 
 
+@query("J6_longest_passage", """
+SELECT d.doc_id, arg_max(b.text, struct_pack(l := length(b.text), k := b.text)) AS passage
+FROM documents d JOIN (SELECT DISTINCT text FROM benchmark WHERE text <> '') b ON contains(d.text, b.text) GROUP BY d.doc_id""")
+def longest_passage(t: Tables) -> DataFrame:
+    """The longest test item that a whole document holds."""
+    keys = t.benchmark.select(F.col("text").alias("key"))
+    return J.longest_key(t.documents.select("doc_id", "text"), keys, ident="doc_id").select("doc_id", F.col("key").alias("passage"))
+
+
+@query("J6_only_well", "SELECT photo, '7' AS well FROM photos")
+def only_well(t: Tables) -> DataFrame:
+    """With one known well every photo is of that well, whatever its name says."""
+    wells = t.layers().filter("well = 7").select(F.col("well").cast("string").alias("key"))
+    photos = t.photos().select("photo", F.col("well").cast("string").alias("well"), F.concat(F.lit("p"), "well").alias("text"))
+    return J.resolve_wells(photos, wells).select("photo", "well")
+
+
+@query("J16_long_labels", """
+WITH e AS (SELECT text AS name, row_number() OVER (ORDER BY text) AS pos FROM (SELECT DISTINCT text FROM benchmark WHERE text <> '')),
+ t AS (SELECT d.doc_id, name, pos, CASE WHEN lower(trim(d.text)) = lower(name) THEN 1 ELSE 3 END AS k FROM documents d JOIN e ON contains(lower(trim(d.text)), lower(name)) OR (trim(d.text) <> '' AND contains(lower(name), lower(trim(d.text)))))
+SELECT d.doc_id, (SELECT arg_min(name, struct_pack(k := k, p := pos)) FROM t WHERE t.doc_id = d.doc_id) AS entry FROM documents d""")
+def long_labels(t: Tables) -> DataFrame:
+    """Whole documents as labels, test items as the legend."""
+    names = t.benchmark.select(F.col("text").alias("name")).filter("name <> ''").distinct()
+    entries = numbered(names.withColumn("__z", F.lit(0)), ["__z"], ["__z", "name"], "pos").drop("__z")
+    return J.legend_lookup(t.documents.select("doc_id", "text"), entries, ["doc_id"], {}, label="text").select("doc_id", "entry")
+
+
 CORES = "cores AS (SELECT DISTINCT well, 600 * CAST(floor(top_cm / 600) AS BIGINT) AS ct, 600 * CAST(floor(top_cm / 600) AS BIGINT) + 300 AS cb FROM layers)"
 
 
@@ -409,12 +438,149 @@ def free(t: Tables) -> DataFrame:
     return K.free_ranges(cores(t, "top_cm", "base_cm"), t.photos().filter("confirmed"))
 
 
-@query("P9_inference_stages")
+#: Photos of 150 a well: what each photo says of its depth depends on its well and place, so every stage has work and refusals.
+INFER_SQL = """b AS (SELECT photo, well, row_number() OVER (PARTITION BY well ORDER BY photo) AS pos FROM photos),
+ c AS (SELECT *, 1000 * ((pos - 1) // 2) + 100 * ((pos - 1) % 2) AS spot, CASE
+   WHEN well % 30 = 0 THEN CASE WHEN pos IN (1, 3, 4) THEN 'none' ELSE 'old' END
+   WHEN well % 6 = 1 AND pos % 9 = 4 THEN 'manual' WHEN well % 6 = 2 AND pos = 3 THEN 'manual off'
+   WHEN well % 6 = 3 AND pos % 8 IN (1, 2) THEN 'caption' WHEN well % 6 = 3 AND pos = 6 THEN 'gis'
+   WHEN well % 6 = 4 AND pos % 3 = 0 THEN 'figure' WHEN well % 6 = 4 AND pos % 3 = 1 THEN 'name'
+   WHEN well % 6 = 5 AND pos = 2 THEN 'labels' WHEN well % 6 = 0 AND pos % 5 = 1 THEN 'whole' ELSE 'none' END AS says FROM b),
+ raw AS (SELECT photo, CASE photo % 5 WHEN 0 THEN '' WHEN 1 THEN 'zz' ELSE CAST(well AS VARCHAR) END AS well, 'p' || well AS name, pos,
+   CASE WHEN well % 30 = 0 AND pos = 3 THEN 200 ELSE 100 END AS cap,
+   CASE says WHEN 'old' THEN spot WHEN 'manual' THEN spot + 1 WHEN 'manual off' THEN spot + 50 WHEN 'caption' THEN spot // 1000 * 1000 WHEN 'figure' THEN 90000000 WHEN 'name' THEN spot WHEN 'whole' THEN spot // 1000 * 1000 + 2 END AS top,
+   CASE says WHEN 'old' THEN spot + 100 WHEN 'manual' THEN spot + 99 WHEN 'manual off' THEN spot + 150 WHEN 'caption' THEN spot // 1000 * 1000 + 200 WHEN 'figure' THEN 90000100 WHEN 'name' THEN spot + 100 WHEN 'whole' THEN spot // 1000 * 1000 + 199 END AS base,
+   CASE says WHEN 'old' THEN 'legacy' WHEN 'manual' THEN 'manual' WHEN 'manual off' THEN 'manual' WHEN 'caption' THEN 'ocr' WHEN 'whole' THEN 'ocr_verified' WHEN 'figure' THEN 'filename' WHEN 'name' THEN 'filename' ELSE 'not_found' END AS source,
+   says IN ('manual', 'manual off', 'name', 'whole', 'figure') AS confirmed, CASE says WHEN 'gis' THEN 'gis' ELSE 'unknown' END AS basis,
+   CASE WHEN says = 'labels' THEN spot + CASE WHEN well % 12 = 5 THEN 10 ELSE 1 END END AS label_top, CASE WHEN says = 'labels' THEN spot + 100 END AS label_base FROM c),
+ cr AS (SELECT CAST(well AS VARCHAR) AS well, spot // 1000 * 1000 AS ct, spot // 1000 * 1000 + 100 * count(*) AS cb FROM c
+   WHERE NOT (well % 5 = 0 AND pos <= 2) AND well <> 0 GROUP BY well, spot // 1000),
+ core AS (SELECT *, row_number() OVER (PARTITION BY well ORDER BY ct, cb) - 1 AS k, count(*) OVER (PARTITION BY well) AS cores FROM cr)"""
+
+
+def inferred(t: Tables) -> tuple[DataFrame, DataFrame]:
+    b = numbered(t.photos().select("photo", "well"), ["well"], ["photo"], "pos").withColumn("at", F.expr("1000 * ((pos - 1) div 2) + 100 * ((pos - 1) % 2)"))
+    c = b.withColumn("says", F.expr("""CASE WHEN well % 30 = 0 THEN CASE WHEN pos IN (1, 3, 4) THEN 'none' ELSE 'old' END
+      WHEN well % 6 = 1 AND pos % 9 = 4 THEN 'manual' WHEN well % 6 = 2 AND pos = 3 THEN 'manual off'
+      WHEN well % 6 = 3 AND pos % 8 IN (1, 2) THEN 'caption' WHEN well % 6 = 3 AND pos = 6 THEN 'gis'
+      WHEN well % 6 = 4 AND pos % 3 = 0 THEN 'figure' WHEN well % 6 = 4 AND pos % 3 = 1 THEN 'name'
+      WHEN well % 6 = 5 AND pos = 2 THEN 'labels' WHEN well % 6 = 0 AND pos % 5 = 1 THEN 'whole' ELSE 'none' END""")).withColumn("core", F.expr("at div 1000 * 1000"))
+    photos = c.select(
+        "photo", F.expr("CASE photo % 5 WHEN 0 THEN '' WHEN 1 THEN 'zz' ELSE CAST(well AS STRING) END").alias("well"), F.concat(F.lit("p"), "well").alias("name"), "pos",
+        F.expr("CASE WHEN well % 30 = 0 AND pos = 3 THEN 200L ELSE 100L END").alias("capacity_cm"),
+        F.expr("CASE says WHEN 'old' THEN at WHEN 'manual' THEN at + 1 WHEN 'manual off' THEN at + 50 WHEN 'caption' THEN core WHEN 'figure' THEN 90000000 WHEN 'name' THEN at WHEN 'whole' THEN core + 2 END").alias("top_cm"),
+        F.expr("CASE says WHEN 'old' THEN at + 100 WHEN 'manual' THEN at + 99 WHEN 'manual off' THEN at + 150 WHEN 'caption' THEN core + 200 WHEN 'figure' THEN 90000100 WHEN 'name' THEN at + 100 WHEN 'whole' THEN core + 199 END").alias("base_cm"),
+        F.expr("CASE says WHEN 'old' THEN 'legacy' WHEN 'manual' THEN 'manual' WHEN 'manual off' THEN 'manual' WHEN 'caption' THEN 'ocr' WHEN 'whole' THEN 'ocr_verified' WHEN 'figure' THEN 'filename' WHEN 'name' THEN 'filename' ELSE 'not_found' END").alias("source"),
+        F.col("says").isin("manual", "manual off", "name", "whole", "figure").alias("confirmed"), F.when(F.col("says") == "gis", "gis").otherwise("unknown").alias("depth_basis"),
+        F.expr("CASE WHEN says = 'labels' THEN at + CASE WHEN well % 12 = 5 THEN 10 ELSE 1 END END").alias("col_top_cm"), F.expr("CASE WHEN says = 'labels' THEN at + 100 END").alias("col_base_cm"))
+    photos = photos.withColumn("text", F.concat("well", "name"))
+    held = c.filter("NOT (well % 5 = 0 AND pos <= 2) AND well <> 0").groupBy(F.col("well").cast("string").alias("well"), F.col("core").alias("core_top_cm")).agg(F.count(F.lit(1)).alias("n"))
+    core = held.withColumn("core_base_cm", F.col("core_top_cm") + 100 * F.col("n"))
+    rows = core.select("well", F.col("core_top_cm").alias("top_cm"), F.col("core_base_cm").alias("base_cm"), "core_top_cm", "core_base_cm",
+                       (F.col("core_top_cm") + 500000).alias("gis_top_cm"), (F.col("core_base_cm") + 500000).alias("gis_base_cm"))
+    return photos, rows
+
+
+def packing_sql(name: str, photos: str, cores: str) -> str:
+    """A fold over the photos ``photos`` (well, i, n, photo, cap) of a well along ``cores`` (well, k, cores, ct, cb)."""
+    return f"""{name}(well, i, n, photo, reached, k, top, base, core, fits) AS (
+  SELECT well, 0::BIGINT, n, NULL::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, true FROM {photos} WHERE i = 1
+  UNION ALL SELECT p.well, p.i, p.n, p.photo, q.base, s.k + CASE WHEN q.base = r.cb THEN 1 ELSE 0 END, q.top, q.base, s.k,
+    p.cap > 0 AND greatest(s.reached, r.ct) + p.cap <= r.cb + 2 AND q.base > q.top
+  FROM {name} s JOIN {photos} p ON p.well = s.well AND p.i = s.i + 1 JOIN {cores} r ON r.well = s.well AND r.k = s.k,
+  LATERAL (SELECT greatest(s.reached, r.ct) AS top, CASE WHEN r.cb - (greatest(s.reached, r.ct) + p.cap) <= 2 THEN r.cb ELSE greatest(s.reached, r.ct) + p.cap END AS base) q WHERE s.fits)"""
+
+
+#: The stages one after another; ``s1`` has wells, ``s2`` lost its foreign file names, and so on.
+STAGES_SQL = f"""WITH RECURSIVE {INFER_SQL},
+ s1 AS (SELECT raw.* REPLACE (coalesce((SELECT arg_max(w, struct_pack(l := length(w), w := w)) FROM (SELECT DISTINCT well AS w FROM cr) WHERE contains(raw.well || raw.name, w)), raw.well) AS well) FROM raw),
+ foreign_names AS (SELECT photo FROM s1 WHERE source = 'filename' AND top IS NOT NULL AND EXISTS (SELECT 1 FROM cr WHERE cr.well = s1.well)
+   AND NOT EXISTS (SELECT 1 FROM cr WHERE cr.well = s1.well AND (least(s1.base, cb) > greatest(s1.top, ct) OR least(s1.base, cb + 500000) > greatest(s1.top, ct + 500000)))),
+ s2 AS (SELECT s1.* REPLACE (CASE WHEN lost THEN NULL ELSE top END AS top, CASE WHEN lost THEN NULL ELSE base END AS base, CASE WHEN lost THEN 'not_found' ELSE source END AS source, confirmed AND NOT lost AS confirmed)
+   FROM (SELECT s1.*, photo IN (SELECT photo FROM foreign_names) AS lost FROM s1) s1),
+ able AS (SELECT well FROM s2 WHERE well <> '' GROUP BY well HAVING bool_and(basis <> 'gis' AND cap > 0 AND (source NOT IN ('legacy', 'manual') OR (source = 'manual' AND confirmed AND top IS NOT NULL)))),
+ p3 AS (SELECT well, photo, cap, row_number() OVER (PARTITION BY well ORDER BY pos, photo) AS i, count(*) OVER (PARTITION BY well) AS n FROM s2 WHERE well IN (SELECT well FROM able) AND well IN (SELECT well FROM cr)),
+ {packing_sql("pk3", "p3", "core")},
+ full3 AS (SELECT pk3.well FROM pk3 JOIN (SELECT DISTINCT well, cores FROM core) x USING (well) WHERE i = n AND fits AND k = cores),
+ canon AS (SELECT photo, arg_min(struct_pack(ct := ct, cb := cb), struct_pack(e := abs(top - ct) + abs(base - cb), ct := ct, cb := cb)) AS m FROM s2 JOIN cr USING (well)
+   WHERE top IS NOT NULL AND abs(top - ct) <= 100 AND abs(base - cb) <= 100 AND (base - top) / (cb - ct)::DOUBLE >= 0.65 GROUP BY photo),
+ judged AS (SELECT s2.well, s2.photo, pk3.top AS pt, pk3.base AS pb, s2.label_top, s2.source, coalesce(
+   abs(label_top - pk3.top) > 2 OR abs(label_base - pk3.base) > 2, false) OR coalesce(source IN ('filename', 'manual') AND confirmed AND (abs(s2.top - pk3.top) > 2 OR abs(s2.base - pk3.base) > 2), false)
+   OR coalesce(source IN ('ocr', 'ocr_verified') AND confirmed AND s2.top IS NOT NULL AND (coalesce(m.ct <> ct OR m.cb <> cb, false)
+     OR (NOT coalesce(abs(s2.top - m.ct) <= 2 AND abs(s2.base - m.cb) <= 2, false) AND (abs(s2.top - pk3.top) > 2 OR abs(s2.base - pk3.base) > 2))), false) AS bad
+   FROM pk3 JOIN s2 USING (photo) JOIN core ON core.well = pk3.well AND core.k = pk3.core LEFT JOIN canon USING (photo) WHERE pk3.well IN (SELECT well FROM full3)),
+ put3 AS (SELECT photo, pt, pb FROM judged WHERE well NOT IN (SELECT well FROM judged WHERE bad) AND label_top IS NULL AND source <> 'manual'),
+ s3 AS (SELECT s2.* REPLACE (coalesce(pt, top) AS top, coalesce(pb, base) AS base, CASE WHEN pt IS NULL THEN source ELSE 'excel_sequenced' END AS source, confirmed OR pt IS NOT NULL AS confirmed) FROM s2 LEFT JOIN put3 USING (photo)),
+ g4 AS (SELECT photo, well, m.ct AS ct, m.cb AS cb, cap, sum(cap) OVER (PARTITION BY well, m.ct, m.cb) AS s, m.ct + coalesce(sum(cap) OVER (PARTITION BY well, m.ct, m.cb ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st
+   FROM s3 JOIN canon USING (photo) WHERE source IN ('ocr', 'ocr_verified') AND top IS NOT NULL AND label_top IS NULL AND basis <> 'gis'),
+ s4 AS (SELECT s3.* REPLACE (CASE WHEN ct IS NULL THEN top WHEN s > cb - ct + 2 THEN NULL WHEN st >= cb THEN top ELSE st END AS top, CASE WHEN ct IS NULL THEN base WHEN s > cb - ct + 2 THEN NULL WHEN st >= cb THEN base ELSE least(cb, st + g4.cap) END AS base,
+   CASE WHEN ct IS NULL THEN source WHEN s > cb - ct + 2 THEN 'ocr_not_found' WHEN st >= cb THEN 'ocr_columns_not_found' ELSE 'ocr_sequenced' END AS source, CASE WHEN ct IS NULL THEN confirmed ELSE s <= cb - ct + 2 AND st < cb AND abs(s - (cb - ct)) <= 2 END AS confirmed)
+   FROM s3 LEFT JOIN (SELECT photo, ct, cb, cap, s, st FROM g4) g4 USING (photo)),
+ free AS (SELECT well, ct, cb FROM cr WHERE NOT EXISTS (SELECT 1 FROM s4 WHERE s4.well = cr.well AND s4.base > ct AND s4.top < cb)),
+ cand AS (SELECT photo, pos, cap, count(*) AS n, min(free.well) AS w, min(ct) AS ct, min(cb) AS cb FROM s4 JOIN free ON contains(s4.name, free.well) WHERE s4.top IS NULL AND basis <> 'gis' GROUP BY photo, pos, cap),
+ put5 AS (SELECT w, ct, cb, arg_min(photo, (pos, photo)) AS photo FROM cand WHERE n = 1 AND abs(cap - (cb - ct)) <= 2 GROUP BY w, ct, cb),
+ s5 AS (SELECT s4.* REPLACE (coalesce(w, well) AS well, coalesce(ct, top) AS top, coalesce(cb, base) AS base, CASE WHEN w IS NULL THEN source ELSE 'excel_suggestion' END AS source) FROM s4 LEFT JOIN put5 USING (photo)),
+ left6 AS (SELECT *, row_number() OVER (PARTITION BY well ORDER BY ct, cb) - 1 AS k, count(*) OVER (PARTITION BY well) AS cores FROM (SELECT well, ct, cb FROM free EXCEPT SELECT w, ct, cb FROM put5)),
+ p6 AS (SELECT well, photo, cap, row_number() OVER (PARTITION BY well ORDER BY pos, photo) AS i, count(*) OVER (PARTITION BY well) AS n FROM s5 WHERE top IS NULL AND basis <> 'gis' AND well IN (SELECT well FROM left6)),
+ {packing_sql("pk6", "p6", "left6")},
+ full6 AS (SELECT pk6.well FROM pk6 JOIN (SELECT DISTINCT well, cores FROM left6) x USING (well) WHERE i = n AND fits AND k = cores),
+ s6 AS (SELECT s5.* REPLACE (coalesce(q.top, s5.top) AS top, coalesce(q.base, s5.base) AS base, CASE WHEN q.photo IS NULL THEN source ELSE 'excel_sequenced' END AS source, confirmed OR q.photo IS NOT NULL AS confirmed)
+   FROM s5 LEFT JOIN (SELECT photo, top, base FROM pk6 WHERE i > 0 AND well IN (SELECT well FROM full6)) q USING (photo))
+"""
+
+
+def _told(stage: str) -> str:
+    return STAGES_SQL + f"SELECT photo, well, CAST(top AS BIGINT) AS top_cm, CAST(base AS BIGINT) AS base_cm, source, confirmed FROM {stage}"
+
+
+INFERRED = ("photo", "well", "top_cm", "base_cm", "source", "confirmed")
+
+
+def staged(photos: DataFrame, rows: DataFrame, upto: int) -> tuple[DataFrame, DataFrame]:
+    """The input after the first ``upto`` stages, each as a table of its own."""
+    ensure_checkpoint_dir(photos.sparkSession)
+    rows = rows.checkpoint()
+    steps = [lambda p: J.resolve_wells(p, rows.select(F.col("well").alias("key"))), lambda p: K.drop_foreign_ranges(p, rows), lambda p: K.sequence_whole_wells(p, rows), lambda p: K.share_captions(p, rows)]
+    for step in steps[:upto]:
+        photos = step(photos.checkpoint())
+    return photos.checkpoint(), rows
+
+
+@query("P9_resolved_wells", _told("s1"))
+def stage_wells(t: Tables) -> DataFrame:
+    photos, rows = inferred(t)
+    return J.resolve_wells(photos, rows.select(F.col("well").alias("key"))).select(*INFERRED)
+
+
+@query("P9_foreign_file_names", _told("s2"))
+def stage_names(t: Tables) -> DataFrame:
+    photos, rows = inferred(t)
+    return K.drop_foreign_ranges(*staged(photos, rows, 1)).select(*INFERRED)
+
+
+@query("P4_anchored_wells", _told("s3"))
+def stage_sequences(t: Tables) -> DataFrame:
+    photos, rows = inferred(t)
+    return K.sequence_whole_wells(*staged(photos, rows, 2)).select(*INFERRED)
+
+
+@query("P5_shared_captions", _told("s4"))
+def stage_captions(t: Tables) -> DataFrame:
+    photos, rows = inferred(t)
+    return K.share_captions(*staged(photos, rows, 3)).select(*INFERRED)
+
+
+@query("P9_named_ranges", STAGES_SQL + "SELECT photo, w AS well, ct AS top_cm, cb AS base_cm FROM put5")
+def stage_claims(t: Tables) -> DataFrame:
+    photos, rows = inferred(t)
+    placed, rows = staged(photos, rows, 4)
+    return K.claim_named_ranges(placed.filter("top_cm IS NULL AND depth_basis <> 'gis'"), K.open_ranges(rows, placed))
+
+
+@query("P9_inference_stages", _told("s6"))
 def stages(t: Tables) -> DataFrame:
-    named = captioned(t).withColumns({
-        "source": F.when(F.col("photo") % 3 == 0, "ocr").otherwise("not_found"), "depth_basis": F.lit("unknown"), "confirmed": F.lit(False)})
-    photos = named.withColumns({c: F.when(F.col("source") == "ocr", F.col(c)) for c in ("top_cm", "base_cm")})
-    return K.suggest_intervals(photos, cores(t, "top_cm", "base_cm"))
+    photos, rows = inferred(t)
+    return K.infer_intervals(photos, rows).select(*INFERRED)
 
 
 @query("P10_projection_audit", """
