@@ -445,7 +445,7 @@ INFER_SQL = """b AS (SELECT photo, well, row_number() OVER (PARTITION BY well OR
    WHEN well % 6 = 1 AND pos % 9 = 4 THEN 'manual' WHEN well % 6 = 2 AND pos = 3 THEN 'manual off'
    WHEN well % 6 = 3 AND pos % 8 IN (1, 2) THEN 'caption' WHEN well % 6 = 3 AND pos = 6 THEN 'gis'
    WHEN well % 6 = 4 AND pos % 3 = 0 THEN 'figure' WHEN well % 6 = 4 AND pos % 3 = 1 THEN 'name'
-   WHEN well % 6 = 5 AND pos = 2 THEN 'labels' WHEN well % 6 = 0 AND pos % 5 = 1 THEN 'whole' ELSE 'none' END AS says FROM b),
+   WHEN well % 6 = 5 AND pos = 2 THEN 'labels' WHEN well % 6 = 0 AND pos % 5 = 1 AND pos < 100 THEN 'whole' ELSE 'none' END AS says FROM b),
  raw AS (SELECT photo, CASE photo % 5 WHEN 0 THEN '' WHEN 1 THEN 'zz' ELSE CAST(well AS VARCHAR) END AS well, 'p' || well AS name, pos,
    CASE WHEN well % 30 = 0 AND pos = 3 THEN 200 ELSE 100 END AS cap,
    CASE says WHEN 'old' THEN spot WHEN 'manual' THEN spot + 1 WHEN 'manual off' THEN spot + 50 WHEN 'caption' THEN spot // 1000 * 1000 WHEN 'figure' THEN 90000000 WHEN 'name' THEN spot WHEN 'whole' THEN spot // 1000 * 1000 + 2 END AS top,
@@ -464,7 +464,7 @@ def inferred(t: Tables) -> tuple[DataFrame, DataFrame]:
       WHEN well % 6 = 1 AND pos % 9 = 4 THEN 'manual' WHEN well % 6 = 2 AND pos = 3 THEN 'manual off'
       WHEN well % 6 = 3 AND pos % 8 IN (1, 2) THEN 'caption' WHEN well % 6 = 3 AND pos = 6 THEN 'gis'
       WHEN well % 6 = 4 AND pos % 3 = 0 THEN 'figure' WHEN well % 6 = 4 AND pos % 3 = 1 THEN 'name'
-      WHEN well % 6 = 5 AND pos = 2 THEN 'labels' WHEN well % 6 = 0 AND pos % 5 = 1 THEN 'whole' ELSE 'none' END""")).withColumn("core", F.expr("at div 1000 * 1000"))
+      WHEN well % 6 = 5 AND pos = 2 THEN 'labels' WHEN well % 6 = 0 AND pos % 5 = 1 AND pos < 100 THEN 'whole' ELSE 'none' END""")).withColumn("core", F.expr("at div 1000 * 1000"))
     photos = c.select(
         "photo", F.expr("CASE photo % 5 WHEN 0 THEN '' WHEN 1 THEN 'zz' ELSE CAST(well AS STRING) END").alias("well"), F.concat(F.lit("p"), "well").alias("name"), "pos",
         F.expr("CASE WHEN well % 30 = 0 AND pos = 3 THEN 200L ELSE 100L END").alias("capacity_cm"),
