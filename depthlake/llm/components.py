@@ -7,6 +7,14 @@ from pyspark.sql import DataFrame, functions as F
 from .tables import durable
 
 
+ROWS_A_TASK = 100_000
+
+
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of about ``rows`` rows in as few tasks as they need, so that late, small rounds stay small jobs."""
+    return df.coalesce(max(1, -(-rows // ROWS_A_TASK)))
+
+
 def connect(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every linked node; the component is its least node.
 
@@ -15,11 +23,12 @@ def connect(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     each round works on what is still open; rounds grow with the logarithm of a path.
     """
     open_links = durable(links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a < b").distinct())
-    labels = None
-    while not open_links.isEmpty():
+    left = first = open_links.count()
+    open_links, labels = sized(open_links, left), None
+    while left:
         ways = open_links.unionByName(open_links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = ways.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("p"))
-        up = durable(up.join(up.select(F.col("a").alias("p"), F.col("p").alias("q")), "p").select("a", F.col("q").alias("p")))
+        up = durable(sized(up.join(up.select(F.col("a").alias("p"), F.col("p").alias("q")), "p").select("a", F.col("q").alias("p")), 2 * left))
         if labels is None:
             labels = up.select(F.col("a").alias("node"), F.col("p").alias("component"))
         else:
@@ -27,10 +36,11 @@ def connect(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             labels = labels.join(moved, "component", "left").select("node", F.coalesce("p", "component").alias("component"))
         ends = up.select(F.col("a").alias("b"), F.col("p").alias("pb"))
         over = open_links.join(up, "a").select("b", F.col("p").alias("pa")).join(ends, "b")
-        open_links = durable(over.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).filter("a < b").distinct())
+        open_links = durable(sized(over.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).filter("a < b").distinct(), left))
+        left = open_links.count()
     if labels is None:
         return links.select(F.col(a).alias("node"), F.col(a).alias("component")).limit(0)
-    return durable(labels)
+    return durable(sized(labels, 2 * first))
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:

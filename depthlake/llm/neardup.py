@@ -261,7 +261,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     """Per row: key, n_shingles and component_id (the least id reachable over links)."""
     rows = durable(signed(docs, key, text, k))
     least = least_agreement(percent / 100)
-    classes = durable(rows.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep")))
+    classes = rows.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"))
     sets = rows.join(classes.select(F.col("rep").alias("id"), "s1", "s2", "n"), ["id", "s1", "s2", "n"]).dropDuplicates(["id", "s1", "s2"])
     sets = durable(sets.select("id", "keys", "sig"))
     release(docs.sparkSession)

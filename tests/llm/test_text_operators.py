@@ -254,3 +254,15 @@ def test_repeated_rows_keep_their_count(spark):
     table = frame(spark, [(1, "a b c", "en", "s")] * 3)
     assert [r.copies for r in mixing.mix(table).collect()] == [1, 1, 1]
     assert {tuple(r) for r in neardup.near_duplicates(table, k=3, percent=85).collect()} == {Row(1, 1, 1)}
+
+
+def test_pipeline_tells_texts_of_one_id_apart(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(8)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(3, a, "en", "s"), (5, a + " more", "en", "s"), (5, b, "en", "s"), (7, c, "en", "s"), (7, b + " more", "en", "s"), (None, c, "en", "s"), (None, c + " more", "en", "s"),
+            (9, "", "en", "s"), (9, None, "en", "s"), (3, a, "en", "s")]
+    docs = frame(spark, rows)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(3, a), (5, b), (7, c), (9, ""), (9, None)], key=str)
+    assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
