@@ -30,12 +30,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group: five-word shingles, similarity of 0.8 or more."""
-    known = docs.filter(F.col("doc_id").isNotNull())
-    found = neardup.near_duplicates(known, k=5, percent=80)
-    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    one = known.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    """Keep one document of each group, the least id: five-word shingles, similarity of 0.8 or more.
+
+    Rows are told apart by id and text together, so texts that share an id are judged each for
+    itself, as are rows without an id; of rows equal in both one stays.
+    """
+    placed = docs.withColumn("__at", F.xxhash64("doc_id", "text"))
+    found = neardup.near_duplicates(placed.select("__at", "text"), key="__at", k=5, percent=80)
+    slim = placed.select("__at", F.col("doc_id").isNull().alias("none"), "doc_id").distinct()
+    first = found.join(slim, "__at").groupBy("component_id").agg(F.min(F.struct("none", "doc_id", "__at"))["__at"].alias("__at"))
+    return placed.join(first.select("__at"), "__at", "left_semi").dropDuplicates(["__at"]).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
