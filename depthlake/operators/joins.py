@@ -271,6 +271,30 @@ def zip_labels(columns: DataFrame, labels: DataFrame, image_width: int, *, photo
     return joined.join(whole.filter("__all").select(photo), photo, "left_semi").select(photo, "col", "top_cm", "base_cm")
 
 
+def nearest_labels(columns: DataFrame, labels: DataFrame, image_width: int, *, photo: str = "photo") -> DataFrame:
+    """Any coherent part of the labels to boxes of their own (J22, second form): photo, col, top_cm, base_cm.
+
+    Each label takes the box with the nearest centre, within 1.25 box widths or 0.48 of the way to
+    the next box, whichever is more.  A photo where a label is no 1 to 150 cm long, lies further
+    off, or meets another label in one box gives nothing.
+    """
+    centre = (F.col("left") + F.col("right")) / 2
+    order = W.partitionBy(photo).orderBy("__centre", "col")
+    width = F.col("right") - F.col("left")
+    lanes = columns.withColumn("__centre", centre).withColumns({"__before": F.lag("__centre").over(order), "__after": F.lead("__centre").over(order)}).select(
+        photo, "col", "__centre", width.alias("__width"),
+        F.coalesce(F.least(F.col("__centre") - F.col("__before"), F.col("__after") - F.col("__centre")), width).alias("__gap"))
+    named = labels.withColumn("__label", F.struct("x", "top_cm", "base_cm"))
+    off = F.abs(F.col("x") * image_width - F.col("__centre"))
+    best = named.join(lanes, photo).groupBy(photo, "__label").agg(F.min(F.struct(off.alias("off"), "__centre", "col", "__width", "__gap")).alias("__b"))
+    span = F.col("__label.base_cm") - F.col("__label.top_cm")
+    good = span.between(1, 150) & (F.col("__b.off") <= F.greatest(F.col("__b.__width") * 1.25, F.col("__b.__gap") * 0.48))
+    counted = labels.groupBy(photo).agg(F.count(F.lit(1)).alias("__labels"))
+    whole = best.groupBy(photo).agg(F.bool_and(good).alias("__good"), F.countDistinct("__b.col").alias("__cols")).join(counted, photo)
+    kept = whole.filter("__good AND __cols = __labels").select(photo)
+    return best.join(kept, photo, "left_semi").select(photo, F.col("__b.col").alias("col"), F.col("__label.top_cm").alias("top_cm"), F.col("__label.base_cm").alias("base_cm"))
+
+
 def enrich_labels(photos: DataFrame, labels: DataFrame, *, photo: str = "photo") -> DataFrame:
     """Photo span from its column labels; confirmed manual bounds win and stale labels go."""
     span = labels.groupBy(photo).agg(F.min("top_cm").alias("__t"), F.max("base_cm").alias("__b"), F.max("basis").alias("__basis"))

@@ -255,6 +255,18 @@ def zip_labels(t: Tables) -> DataFrame:
     return J.zip_labels(three_lanes(t), t.photos().select("photo", F.inline(labels)), 300)
 
 
+@query("J22_nearest_labels", """
+SELECT photo, CAST(c AS BIGINT) AS col, top_cm + 100 * c AS top_cm, top_cm + 100 * c + 100 AS base_cm FROM photos, (VALUES (0), (2)) v(c) WHERE photo % 4 = 0
+UNION ALL SELECT photo, 1, top_cm + 100, top_cm + 200 FROM photos WHERE photo % 4 = 3""")
+def nearest_labels(t: Tables) -> DataFrame:
+    """Two of three lanes labelled; by photo: both near, both at one lane, one too long, only one and that off its lane."""
+    kind = F.col("photo") % 4
+    label = lambda c, x, size: F.struct(F.lit(x).alias("x"), (F.col("top_cm") + 100 * c).alias("top_cm"), (F.col("top_cm") + 100 * c + size).alias("base_cm"))
+    told = F.when(kind == 0, F.array(label(0, 0.15, 100), label(2, 0.80, 100))).when(kind == 1, F.array(label(0, 0.15, 100), label(2, 0.20, 100))).when(
+        kind == 2, F.array(label(0, 0.15, 100), label(2, 0.80, 151))).otherwise(F.array(label(1, 0.52, 100)))
+    return J.nearest_labels(three_lanes(t), t.photos().select("photo", F.inline(told)), 300)
+
+
 UNPLACED = """op AS (SELECT photo, well, row_number() OVER (PARTITION BY well ORDER BY photo) AS n, count(*) OVER (PARTITION BY well) AS np FROM photos WHERE NOT confirmed AND photo % 10 = well % 10),
  av AS (SELECT well, ct, cb, row_number() OVER (PARTITION BY well ORDER BY ct) AS n, count(*) OVER (PARTITION BY well) AS na FROM (SELECT well, 0 AS ct, 1000 AS cb FROM (SELECT DISTINCT well FROM photos)
    UNION ALL SELECT DISTINCT well, 2000 * (1 + photo % 7) AS ct, 2000 * (1 + photo % 7) + 500 AS cb FROM photos WHERE NOT confirmed AND photo % 10 = well % 10 AND well % 2 = 0))"""

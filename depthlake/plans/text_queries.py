@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from depthlake.functions import numbers as N, text as T
+from depthlake.operators import keys as KY
 from depthlake.plans.proxies import Tables
 from depthlake.plans.registry import query
 
@@ -120,6 +121,31 @@ def pair_key(t: Tables) -> DataFrame:
     return t.photos().select("photo", T.pair_key(name).alias("k"))
 
 
+def wide_names(t: Tables) -> DataFrame:
+    """Well names as documents hold them: full-width letters and digits, a ligature, the numero sign glued to a word."""
+    wide = F.translate(F.concat(F.lit("Well "), F.col("well").cast("string")), "Wel0123456789", "Ｗｅｌ０１２３４５６７８９")
+    glued = F.concat(F.lit("Oﬃce№"), F.col("well").cast("string"), F.lit("КО"))
+    return t.photos().select("photo", F.when(F.col("photo") % 2 == 0, wide).otherwise(glued).alias("name"))
+
+
+@query("F7_compatible_text", """
+SELECT photo, CASE WHEN photo % 2 = 0 THEN 'well ' || well ELSE 'officeno' || well || 'ко' END AS folded FROM photos""")
+def compatible_text(t: Tables) -> DataFrame:
+    return KY.with_key(wide_names(t), "name", "folded", T.normalize_text).select("photo", "folded")
+
+
+@query("F9_compatible_well_key", """
+SELECT photo, CASE WHEN photo % 2 = 0 THEN CAST(well AS VARCHAR) ELSE 'officeno' || well || 'ко' END AS k FROM photos""")
+def compatible_well_key(t: Tables) -> DataFrame:
+    return KY.with_key(wide_names(t), "name", "k", T.well_key).select("photo", "k")
+
+
+@query("F10_compatible_pair_key", """
+SELECT photo, CASE WHEN photo % 2 = 0 THEN CAST(well AS VARCHAR) ELSE 'officeno' || well || 'ko' END AS k FROM photos""")
+def compatible_pair_key(t: Tables) -> DataFrame:
+    return KY.with_key(wide_names(t), "name", "k", T.pair_key).select("photo", "k")
+
+
 @query("F11_file_match_key", "SELECT photo, 'well_' || well AS k FROM photos")
 def file_match_key(t: Tables) -> DataFrame:
     path = F.concat(F.lit("/in/Well-"), F.col("well"), F.lit("_Core фото-0"), F.col("photo"), F.lit("_2.LAS"))

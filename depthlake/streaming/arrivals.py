@@ -48,6 +48,20 @@ def latest_status(outcomes: DataFrame, key: str) -> DataFrame:
     return outcomes.groupBy(key).agg(F.max_by(F.struct("status", "error"), "batch").alias("s")).select(key, "s.status", "s.error")
 
 
-def drop_repeats(stream: DataFrame, digest: str, time: str, delay: str = "1 day") -> DataFrame:
-    """Suppress equal content across arrivals within the watermark."""
+def drop_repeats(stream: DataFrame, digest: str, time: str | None = None, delay: str = "1 day") -> DataFrame:
+    """Suppress equal content across arrivals.
+
+    Without ``time`` the state is one row per distinct content and has no end, so a repeat is dropped
+    however late it comes, and a restart from the same checkpoint goes on with it; see
+    :func:`keep_state_on_disk`.  With ``time`` only repeats within the watermark are known.
+    """
+    if time is None:
+        return stream.dropDuplicates([digest])
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([digest])
+
+
+def keep_state_on_disk(spark: SparkSession) -> None:
+    """Streaming state in RocksDB with a change log: executors hold no state in their heap, and a batch
+    writes what it changed, not all that was ever seen."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")

@@ -100,3 +100,19 @@ def test_stream_resumes_without_doubling(spark):
     assert out.count() == 40
     got = {r["id"]: r["status"] for r in AR.latest_status(out, "id").collect()}
     assert len(got) == 40 and sum(v == "failed" for v in got.values()) == 4
+
+
+def test_a_repeat_after_a_year_is_dropped(spark):
+    base = folder()
+
+    def arrive(day, digests):
+        spark.createDataFrame([(d, f"20{day}-01-01") for d in digests], "digest string, day string").write.mode("append").parquet(f"{base}/in")
+        stream = AR.drop_repeats(AR.file_stream(spark, f"{base}/in", "digest string, day string", files=1), "digest")
+        AR.drain(stream, lambda b, i: b.write.mode("overwrite").parquet(f"{base}/out/batch={i}"), f"{base}/state")
+
+    AR.keep_state_on_disk(spark)
+    arrive("20", ["a", "b", "a"])
+    arrive("22", ["a", "c"])
+    arrive("31", ["b", "c", "d"])
+    got = sorted((r["digest"], r["day"]) for r in spark.read.parquet(f"{base}/out").collect())
+    assert got == [("a", "2020-01-01"), ("b", "2020-01-01"), ("c", "2022-01-01"), ("d", "2031-01-01")]
