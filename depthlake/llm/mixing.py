@@ -5,10 +5,12 @@ copies; the rest is a sample of further whole copies.  Documents of a source are
 random odds over their inclusion odds, ``u / (1 - u) / (p / (1 - p) * tilt)`` with ``tilt`` the
 bounded root of mean size over size (short documents are likelier, so the sample is an unequal
 one), and taken in that order where their words fit: a document longer than the words still missing is
-passed by, in rounds that sum up the rest anew, until no document left fits.  One last document is
-the one whose size is nearest to the words still missing; what it has too much goes back from the
-end of the order, where it fits.  The registered query follows its SQL,
-whose order ends at the first document that does not fit (``walk=False``).  ``u`` comes from the MD5 of the id, so reruns agree.
+passed by, in rounds that sum up the rest anew, until no document left fits.  What is still missing is filled
+by second and third whole copies in the same order, up to ``most`` copies of a document.  Then no
+document with copies left fits; one more is taken where that brings the source nearer to its target.
+If all copies that fit are used up and more than a document is missing, the shortest of the longer
+ones comes in and what is then too much goes back from the end of the order, last copies first.
+``u`` comes from the MD5 of the id, so reruns agree; query, pipeline and SQL state the same draw.
 
 A source is never one task: ranks fall into buckets of about ``BUCKET_ROWS`` rows, a window adds up
 the rows of a bucket, and another one the buckets of a source.
@@ -76,35 +78,28 @@ def summed(drawn: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     return durable(run.select(*columns, "__sum"))
 
 
-def draw(drawn: DataFrame, key: str, names: Sequence[str], few: Callable[[DataFrame], DataFrame], walk: bool) -> tuple[DataFrame, DataFrame]:
+def draw(drawn: DataFrame, key: str, names: Sequence[str], few: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Rows taken in the order of rank while they fit __lack, the words wanted of each source; and rows passed by.
 
-    A walk goes on past what does not fit: each round leaves out what is longer than the words still
-    missing, so a source that has rows left takes one at least.
+    Each round leaves out what is longer than the words still missing and goes on past it, so a
+    source that has rows left takes one at least.
     """
     taken, passed = [], []
     while True:
-        run = summed(drawn, key, [*names, "__lack"])
+        run = summed(drawn, key, names)
         fits = F.col("__sum") <= F.col("__lack")
         taken.append(run.filter(fits).select(*names))
-        over = run.filter(~fits).withColumn("__round", F.lit(len(passed)))
-        if not walk:
-            passed.append(over.select(*names, "__sum", "__round"))
-            break
         left = run.groupBy("__source").agg((F.max("__lack") - F.coalesce(F.max(F.when(fits, F.col("__sum"))), F.lit(0))).alias("__left"))
-        over = durable(over.join(few(left), "__source"))
-        passed.append(over.filter("size > __left").select(*names, "__sum", "__round"))
-        drawn = over.filter("size <= __left").select(*names, F.col("__left").alias("__lack"))
+        over = durable(run.filter(~fits).join(few(left), "__source"))
+        passed.append(over.filter("size > __left").select(*names))
+        drawn = over.filter("size <= __left").select(*[F.col("__left").alias("__lack") if c == "__lack" else F.col(c) for c in names])
         if drawn.isEmpty():
             break
     return reduce(DataFrame.unionByName, taken), reduce(DataFrame.unionByName, passed)
 
 
-def copies(sized: DataFrame, key: str, weights: Sequence[float] = WEIGHTS, most: float = MOST, walk: bool = True) -> DataFrame:
-    """``sized`` has the key, source, size and __source; adds source_size, target and the whole copies to take.
-
-    Without ``walk`` the first document that does not fit ends the order of its source.
-    """
+def copies(sized: DataFrame, key: str, weights: Sequence[float] = WEIGHTS, most: float = MOST) -> DataFrame:
+    """``sized`` has the key, source, size and __source; adds source_size, target and the whole copies to take."""
     aims, total = targets(sized, weights, most)
     buckets = max(1, -(-(total["docs"] or 0) // BUCKET_ROWS))
     if total["sources"] <= SMALL_SOURCES:
@@ -124,30 +119,45 @@ def copies(sized: DataFrame, key: str, weights: Sequence[float] = WEIGHTS, most:
     ranked = durable(ranked.drop("u"))
     drawn = ranked.filter((F.col("size") > 0) & (F.col("rest") > 0))
     few = F.broadcast if total["sources"] <= SMALL_SOURCES else lambda x: x
-    names = ["__source", key, "source", "size", "source_size", "target", "sure", "rank", "bucket"]
     shown = [key, "source", "size", "source_size", "target"]
-    taken, passed = draw(drawn.withColumn("__lack", F.col("rest")), key, names, few, walk)
-    used = taken.groupBy("__source").agg(F.sum("size").alias("__used"), F.min("size").alias("__least"))
-    wanted = drawn.groupBy("__source").agg(F.max("rest").alias("__rest")).join(used, "__source", "left")
-    lacking = wanted.select("__source", "__rest", "__least", (F.col("__rest") - F.coalesce("__used", F.lit(0))).alias("__lacking"))
-    miss = F.abs(F.col("size") - F.col("__lacking"))
-    nearer = miss < F.col("__lacking")
-    if walk:  # a longer one is worth its place where shorter ones can make room for it
-        nearer |= (F.col("size") <= F.col("__rest")) & (F.col("__lacking") >= F.col("__least"))
-    at = F.struct("__round", "__sum")  # sums of a round are distinct: sizes are positive
-    last = (passed.join(few(lacking), "__source").filter(nearer)
-            .groupBy("__source").agg(F.min(F.struct(miss.alias("miss"), at.alias("at"), (F.col("size") - F.col("__lacking")).alias("over"))).alias("__x"))
-            .select("__source", F.col("__x.at").alias("__last"), F.col("__x.over").alias("__over")))
-    more = F.when(at == F.col("__last"), 1).otherwise(0)
-    chosen = passed.join(few(last), "__source", "left").select(*shown, (F.col("sure") + more).alias("copies"))
-    if walk:  # what the last one has too much goes back, from the end of the order
-        last = durable(last)
-        back = taken.join(few(last), "__source").filter("size <= __over").withColumns({"rank": -F.col("rank"), "bucket": -F.col("bucket"), "__lack": F.col("__over").cast("double")})
-        given, held = draw(back.select(*names, "__lack"), key, names, few, walk)
-        chosen = chosen.unionByName(given.select(*shown, F.col("sure").alias("copies"))).unionByName(held.select(*shown, (F.col("sure") + 1).alias("copies")))
-        taken = taken.join(few(last), "__source", "left").filter("__over IS NULL OR size > __over")
-    chosen = chosen.unionByName(taken.select(*shown, (F.col("sure") + 1).alias("copies")))
-    others = ranked.filter(~((F.col("size") > 0) & (F.col("rest") > 0))).select(key, "source", "size", "source_size", "target", F.col("sure").alias("copies"))
+    names = ["__source", *shown, "sure", "rank", "bucket", "extra", "__lack"]
+    rows = drawn.withColumns({"extra": F.lit(0), "__lack": F.col("rest")}).select(*names)
+    for number in range(int(most)):
+        can = (F.col("sure") + F.col("extra") < most) & (F.col("size") <= F.col("__lack")) & (F.col("extra") == number)
+        if number and rows.filter(can).isEmpty():
+            break
+        taken, passed = draw(rows.filter(can), key, names, few)
+        used = taken.groupBy("__source").agg(F.sum("size").alias("__used"))
+        whole = rows.filter(~can).unionByName(taken.withColumn("extra", F.col("extra") + 1)).unionByName(passed)
+        lacks = rows.groupBy("__source").agg(F.max("__lack").alias("__had")).join(used, "__source", "left").select(
+            "__source", (F.col("__had") - F.coalesce("__used", F.lit(0))).alias("__lack"))
+        rows = durable(whole.drop("__lack").join(few(lacks), "__source").select(*names))
+    rows = rows.withColumn("__row", F.monotonically_increasing_id())  # of a written table: the same in both uses
+    over = F.col("size") - F.col("__lack")
+    able = (F.col("sure") + F.col("extra") < most) & (over > 0)
+    ends = rows.groupBy("__source").agg(
+        F.min("size").alias("__least"), F.max("__lack").alias("__miss"),
+        F.min(F.when(able, F.struct(over.alias("over"), "extra", "rank", F.col(key).alias("key"), "__row"))).alias("__x"))
+    held = rows.join(few(ends.select("__source", F.col("__x.over").alias("__over"))), "__source").filter("extra > 0 AND size <= __over")
+    spare = held.groupBy("__source").agg(F.sum(F.col("extra") * F.col("size")).alias("__spare"))
+    # all that fits is used up, yet more is missing than a document: a longer one comes in, and copies from the end of the order go
+    swaps = (F.col("__miss") >= F.col("__least")) & (F.col("__x.over") - F.coalesce("__spare", F.lit(0)) < F.col("__miss"))
+    last = durable(ends.join(spare, "__source", "left").filter((F.col("__x.over") < F.col("__miss")) | swaps).select(
+        "__source", F.col("__x.__row").alias("__last"), F.when(F.col("__x.over") >= F.col("__miss"), F.col("__x.over")).alias("__back")))
+    more = F.when(F.col("__row") == F.col("__last"), 1).otherwise(0)
+    rows = durable(rows.join(few(last), "__source", "left").withColumn("extra", F.col("extra") + more).withColumn("__kept", more).withColumn("__lack", F.col("__back")).select(*names, "__kept"))
+    for number in reversed(range(1, int(most) + 1)):
+        can = F.col("__lack").isNotNull() & (F.col("extra") == number) & (F.col("__kept") == 0) & (F.col("size") <= F.col("__lack"))
+        if rows.filter(can).isEmpty():
+            continue
+        given, held = draw(rows.filter(can).withColumns({"rank": -F.col("rank"), "bucket": -F.col("bucket")}), key, [*names, "__kept"], few)
+        used = given.groupBy("__source").agg(F.sum("size").alias("__used"))
+        lacks = rows.groupBy("__source").agg(F.max("__lack").alias("__had")).join(used, "__source", "left").select(
+            "__source", (F.col("__had") - F.coalesce("__used", F.lit(0))).alias("__lack"))
+        turned = given.withColumn("extra", F.col("extra") - 1).unionByName(held).withColumns({"rank": -F.col("rank"), "bucket": -F.col("bucket")})
+        rows = durable(rows.filter(~can | can.isNull()).unionByName(turned).drop("__lack").join(few(lacks), "__source").select(*names, "__kept"))
+    chosen = rows.select(*shown, (F.col("sure") + F.col("extra")).alias("copies"))
+    others = ranked.filter(~((F.col("size") > 0) & (F.col("rest") > 0))).select(*shown, F.col("sure").alias("copies"))
     return chosen.unionByName(others)
 
 
@@ -156,18 +166,18 @@ def sized(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     return durable(docs.select(F.col(key), F.col(source).alias("source"), size.alias("size"), F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")).alias("__source")))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = WEIGHTS, most: float = MOST, walk: bool = True) -> DataFrame:
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = WEIGHTS, most: float = MOST) -> DataFrame:
     """Per row: key, source, size, source_size, target, copies."""
-    return copies(sized(docs, key, text, source), key, weights, most, walk)
+    return copies(sized(docs, key, text, source), key, weights, most)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = mix(table(spark, sf_dir, "documents"), walk=False)  # as OP2_SQL states the draw
+    made = mix(table(spark, sf_dir, "documents"))
     return made.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
 OP2_SQL = """
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) FILTER (size > 0) AS docs FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source COLLATE C ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM s),
 -- the sources that reach 3 times their size are the first in the order of size over weight
@@ -181,9 +191,23 @@ r AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, least(floor(CA
   CASE WHEN size > 0 THEN sqrt(least(4.0::DOUBLE, greatest(0.25::DOUBLE, (source_size::DOUBLE / docs::DOUBLE) / size::DOUBLE))) END AS tilt
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 q AS (SELECT *, target - sure * source_size AS rest, u / (1.0::DOUBLE - u) / tilt AS rank FROM r),
-c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id ROWS UNBOUNDED PRECEDING) AS run FROM q WHERE size > 0 AND rest > 0),
-k AS (SELECT source, max(rest) - coalesce(max(run) FILTER (run <= rest), 0) AS lacking FROM c GROUP BY source),
-f AS (SELECT c.source, arg_min(run, (abs(size - lacking), run)) AS last_run FROM c JOIN k ON c.source IS NOT DISTINCT FROM k.source WHERE run > rest AND abs(size - lacking) < lacking GROUP BY c.source)
-SELECT q.doc_id, q.size, q.source_size, q.target, (q.size * (q.sure + CASE WHEN c.run <= c.rest OR c.run = f.last_run THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM q LEFT JOIN c ON q.doc_id = c.doc_id LEFT JOIN f ON q.source IS NOT DISTINCT FROM f.source
+-- documents in the order of rank, then once more for second and once more for third copies: each is taken if it still fits
+c AS (SELECT coalesce('=' || source, '') AS s, doc_id, size, sure, rank, rest FROM q WHERE size > 0 AND rest > 0),
+i AS (SELECT s, doc_id, size, row_number() OVER (PARTITION BY s ORDER BY p, rank, doc_id) AS i FROM c, (VALUES (1), (2), (3)) v(p) WHERE sure + p <= 3),
+f AS (SELECT s, 0::BIGINT AS i, max(rest) AS lack, NULL::BIGINT AS doc_id, false AS took FROM c GROUP BY s
+  UNION ALL SELECT f.s, i.i, CASE WHEN i.size <= f.lack THEN f.lack - i.size ELSE f.lack END, i.doc_id, i.size <= f.lack FROM f JOIN i ON i.s = f.s AND i.i = f.i + 1),
+e AS (SELECT doc_id, count(*) AS extra FROM f WHERE took GROUP BY doc_id),
+k AS (SELECT s, min(lack) AS lack FROM f GROUP BY s),
+g AS (SELECT c.*, k.lack, coalesce(extra, 0) AS extra FROM c JOIN k ON k.s = c.s LEFT JOIN e ON e.doc_id = c.doc_id),
+-- one more where that is nearer; or, if all that fits is used up, a longer one in place of copies from the end of the order
+x AS (SELECT s, max(lack) AS lack, min(size) AS least, min(struct_pack(o := size - lack, e := extra, r := rank, d := doc_id)) FILTER (WHERE sure + extra < 3 AND size > lack) AS x FROM g GROUP BY s),
+y AS (SELECT x.s, x.x.d AS doc_id, x.x.o AS over, x.x.o >= x.lack AS swap FROM x
+  WHERE x.x.o < x.lack OR (x.lack >= least AND x.x.o - coalesce((SELECT sum(extra * size) FROM g WHERE g.s = x.s AND extra > 0 AND size <= x.x.o), 0) < x.lack)),
+b AS (SELECT g.s, g.doc_id, g.size, y.over, row_number() OVER (PARTITION BY g.s ORDER BY p DESC, rank DESC, g.doc_id) AS i
+  FROM g JOIN y ON y.s = g.s AND swap AND y.doc_id <> g.doc_id, (VALUES (1), (2), (3)) v(p) WHERE p <= extra),
+h AS (SELECT s, 0::BIGINT AS i, max(over) AS over, NULL::BIGINT AS doc_id, false AS gave FROM b GROUP BY s
+  UNION ALL SELECT h.s, b.i, CASE WHEN b.size <= h.over THEN h.over - b.size ELSE h.over END, b.doc_id, b.size <= h.over FROM h JOIN b ON b.s = h.s AND b.i = h.i + 1),
+z AS (SELECT doc_id, count(*) AS back FROM h WHERE gave GROUP BY doc_id)
+SELECT q.doc_id, q.size, q.source_size, q.target, (q.size * (q.sure + coalesce(e.extra, 0) + CASE WHEN y.doc_id IS NULL THEN 0 ELSE 1 END - coalesce(z.back, 0)))::BIGINT AS taken
+FROM q LEFT JOIN e ON e.doc_id = q.doc_id LEFT JOIN y ON y.doc_id = q.doc_id LEFT JOIN z ON z.doc_id = q.doc_id
 """
