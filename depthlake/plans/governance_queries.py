@@ -40,7 +40,20 @@ def strategy(t: Tables) -> DataFrame:
     return marked.select("photo", "split", F.lit(name).alias("strategy"))
 
 
-@query("L3_component_holdout")
+@query("L3_component_holdout", """
+WITH RECURSIVE v AS (SELECT photo, concat_ws('/', well, n_chars % 3) AS place, hash, label FROM records),
+ e AS (SELECT a.photo AS x, b.photo AS y FROM v a JOIN (SELECT hash, min(photo) AS photo FROM v GROUP BY hash) b USING (hash)
+   UNION SELECT a.photo, b.photo FROM v a JOIN (SELECT place, min(photo) AS photo FROM v GROUP BY place) b USING (place)),
+ s AS (SELECT x, y FROM e UNION SELECT y, x FROM e), r AS (SELECT photo AS n, photo AS c FROM v UNION SELECT s.y, r.c FROM r JOIN s ON s.x = r.n),
+ parts AS (SELECT 'well' AS strategy, n AS photo, min(c) AS part FROM r GROUP BY n
+   UNION ALL SELECT 'photo_fallback', v.photo, f.photo FROM v JOIN (SELECT hash, min(photo) AS photo FROM v GROUP BY hash) f USING (hash)),
+ emptied AS (SELECT DISTINCT strategy, part FROM (SELECT strategy, part, label, count(*) AS n FROM parts JOIN v USING (photo) GROUP BY ALL) i JOIN (SELECT label, count(*) AS total FROM v GROUP BY label) USING (label) WHERE n >= total),
+ goal AS (SELECT greatest(1, CAST(round_even(count(*) * 0.2, 0) AS BIGINT)) AS goal FROM v),
+ sizes AS (SELECT strategy, part, count(*) AS size FROM parts GROUP BY ALL),
+ fit AS (SELECT sizes.* FROM sizes ANTI JOIN emptied USING (strategy, part)),
+ best AS (SELECT strategy, arg_min(part, struct_pack(d := abs(size - goal), s := size, c := part)) AS part FROM fit, goal GROUP BY strategy),
+ chosen AS (SELECT max(strategy) AS strategy FROM best)
+SELECT photo, CASE WHEN parts.part = best.part THEN 'val' ELSE 'train' END AS split, strategy FROM parts JOIN best USING (strategy) WHERE strategy = (SELECT strategy FROM chosen)""")
 def component_holdout(t: Tables) -> DataFrame:
     split, name = V.component_holdout(t.records().withColumn("well", F.concat_ws("/", "well", (F.col("n_chars") % 3).cast("string"))))
     return split.withColumn("strategy", F.lit(name))
