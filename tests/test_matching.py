@@ -99,7 +99,7 @@ def test_anchors_refuse_a_plan(spark):
     assert placed(102, 198, "manual", True, "unknown", None, None) == [whole[0], (102, "manual"), whole[2]]
     assert placed(110, 210, "manual", True, "unknown", None, None) == [(None, "not_found"), (110, "manual"), (None, "not_found")]
     assert placed(0, 300, "ocr", True, "unknown", None, None) == whole
-    assert placed(None, None, "not_found", False, "unknown", 130, 200)[0] == (None, "not_found")
+    assert placed(None, None, "not_found", False, "unknown", 130, 200) == whole  # refused at first; the last stage packs what is left
     assert placed(9000, 9100, "filename", True, "unknown", None, None) == whole
     assert placed(None, None, "not_found", False, "gis", None, None)[0] == (None, "not_found")
 
