@@ -27,6 +27,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from .components import sized as few_tasks
 from .tables import durable, table
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -49,11 +50,12 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
 
 def targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST) -> tuple[DataFrame, dict]:
     """Per source: words, rows and target; the excess over ``most`` times a source is reshared by weight."""
-    sums = sized.groupBy("__source").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.sum(F.when(F.col("size") > 0, 1).otherwise(0)).alias("docs"))
+    sums = sized.groupBy("__source").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.sum(F.when(F.col("size") > 0, 1).otherwise(0)).alias("docs"), F.count(F.lit(1)).alias("rows"))
     weight = F.array(*[F.lit(float(w)) for w in weights])
-    listed = numbered(sums, [F.col("source").asc_nulls_last()], "place")
-    listed = durable(listed.select("__source", "source_size", "docs", F.get(weight, (F.col("place") % len(weights)).cast("int")).alias("weight")))
-    total = listed.agg(F.sum("source_size").alias("words"), F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("sources"), F.sum("weight").alias("weight")).first()
+    sums = durable(sums)
+    listed = numbered(few_tasks(sums, sums.count()), [F.col("source").asc_nulls_last()], "place")
+    listed = durable(listed.select("__source", "source_size", "docs", "rows", F.get(weight, (F.col("place") % len(weights)).cast("int")).alias("weight")))
+    total = listed.agg(F.sum("source_size").alias("words"), F.sum("docs").alias("docs"), F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("sources"), F.sum("weight").alias("weight")).first()
     words, left, open_weight, level = total["words"] or 0, total["words"] or 0, total["weight"] or 0.0, 0.0
     capped = F.lit(False)
     while words and open_weight:
@@ -65,7 +67,7 @@ def targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, most: float =
         closed = listed.filter(capped).agg(F.sum("source_size").alias("s"), F.sum("weight").alias("w")).first()
         left, open_weight = words - most * (closed["s"] or 0), total["weight"] - (closed["w"] or 0.0)
     target = F.when(capped, most * F.col("source_size")).otherwise(F.col("weight") * F.lit(float(level)))
-    return listed.withColumn("target", F.when(F.lit(bool(words)), target).otherwise(F.lit(0.0))), total.asDict()
+    return listed.withColumn("target", F.when(F.lit(bool(words)), target).otherwise(F.lit(0.0))).drop("rows"), total.asDict()
 
 
 def summed(drawn: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
@@ -78,30 +80,30 @@ def summed(drawn: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     return durable(run.select(*columns, "__sum"))
 
 
-def draw(drawn: DataFrame, key: str, names: Sequence[str], few: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Rows taken in the order of rank while they fit __lack, the words wanted of each source; and rows passed by.
+def draw(drawn: DataFrame, n: int, key: str, names: Sequence[str], few: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Of ``n`` rows: those taken in the order of rank while they fit __lack, the words wanted of each source; and those passed by.
 
     Each round leaves out what is longer than the words still missing and goes on past it, so a
-    source that has rows left takes one at least.
+    source that has rows left takes one at least.  A round runs in as few tasks as its rows need.
     """
-    taken, passed = [], []
-    while True:
-        run = summed(drawn, key, names)
+    taken, passed, left_rows = [], [], n
+    while left_rows:
+        run = summed(few_tasks(drawn, left_rows), key, names)
         fits = F.col("__sum") <= F.col("__lack")
         taken.append(run.filter(fits).select(*names))
         left = run.groupBy("__source").agg((F.max("__lack") - F.coalesce(F.max(F.when(fits, F.col("__sum"))), F.lit(0))).alias("__left"))
         over = durable(run.filter(~fits).join(few(left), "__source"))
         passed.append(over.filter("size > __left").select(*names))
         drawn = over.filter("size <= __left").select(*[F.col("__left").alias("__lack") if c == "__lack" else F.col(c) for c in names])
-        if drawn.isEmpty():
-            break
-    return reduce(DataFrame.unionByName, taken), reduce(DataFrame.unionByName, passed)
+        left_rows = drawn.count()
+    return few_tasks(reduce(DataFrame.unionByName, taken), n), few_tasks(reduce(DataFrame.unionByName, passed), n)
 
 
 def copies(sized: DataFrame, key: str, weights: Sequence[float] = WEIGHTS, most: float = MOST) -> DataFrame:
     """``sized`` has the key, source, size and __source; adds source_size, target and the whole copies to take."""
     aims, total = targets(sized, weights, most)
-    buckets = max(1, -(-(total["docs"] or 0) // BUCKET_ROWS))
+    docs = total["docs"] or 0
+    buckets = max(1, -(-docs // BUCKET_ROWS))
     if total["sources"] <= SMALL_SOURCES:
         aims = F.broadcast(aims)
     ratio = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
@@ -116,7 +118,7 @@ def copies(sized: DataFrame, key: str, weights: Sequence[float] = WEIGHTS, most:
         .withColumn("rank", F.when(F.col("size") > 0, F.col("u") / (1 - F.col("u")) / tilt))
         .withColumn("bucket", F.floor(F.col("rank") / (1 + F.col("rank")) * buckets))
     )
-    ranked = durable(ranked.drop("u"))
+    ranked = durable(few_tasks(ranked.drop("u"), total["rows"] or 0))
     drawn = ranked.filter((F.col("size") > 0) & (F.col("rest") > 0))
     few = F.broadcast if total["sources"] <= SMALL_SOURCES else lambda x: x
     shown = [key, "source", "size", "source_size", "target"]
@@ -124,14 +126,15 @@ def copies(sized: DataFrame, key: str, weights: Sequence[float] = WEIGHTS, most:
     rows = drawn.withColumns({"extra": F.lit(0), "__lack": F.col("rest")}).select(*names)
     for number in range(int(most)):
         can = (F.col("sure") + F.col("extra") < most) & (F.col("size") <= F.col("__lack")) & (F.col("extra") == number)
-        if number and rows.filter(can).isEmpty():
+        n = rows.filter(can).count()
+        if not n:
             break
-        taken, passed = draw(rows.filter(can), key, names, few)
+        taken, passed = draw(rows.filter(can), n, key, names, few)
         used = taken.groupBy("__source").agg(F.sum("size").alias("__used"))
         whole = rows.filter(~can).unionByName(taken.withColumn("extra", F.col("extra") + 1)).unionByName(passed)
         lacks = rows.groupBy("__source").agg(F.max("__lack").alias("__had")).join(used, "__source", "left").select(
             "__source", (F.col("__had") - F.coalesce("__used", F.lit(0))).alias("__lack"))
-        rows = durable(whole.drop("__lack").join(few(lacks), "__source").select(*names))
+        rows = durable(few_tasks(whole.drop("__lack").join(few(lacks), "__source").select(*names), docs))
     rows = rows.withColumn("__row", F.monotonically_increasing_id())  # of a written table: the same in both uses
     over = F.col("size") - F.col("__lack")
     able = (F.col("sure") + F.col("extra") < most) & (over > 0)
@@ -148,14 +151,15 @@ def copies(sized: DataFrame, key: str, weights: Sequence[float] = WEIGHTS, most:
     rows = durable(rows.join(few(last), "__source", "left").withColumn("extra", F.col("extra") + more).withColumn("__kept", more).withColumn("__lack", F.col("__back")).select(*names, "__kept"))
     for number in reversed(range(1, int(most) + 1)):
         can = F.col("__lack").isNotNull() & (F.col("extra") == number) & (F.col("__kept") == 0) & (F.col("size") <= F.col("__lack"))
-        if rows.filter(can).isEmpty():
+        n = rows.filter(can).count()
+        if not n:
             continue
-        given, held = draw(rows.filter(can).withColumns({"rank": -F.col("rank"), "bucket": -F.col("bucket")}), key, [*names, "__kept"], few)
+        given, held = draw(rows.filter(can).withColumns({"rank": -F.col("rank"), "bucket": -F.col("bucket")}), n, key, [*names, "__kept"], few)
         used = given.groupBy("__source").agg(F.sum("size").alias("__used"))
         lacks = rows.groupBy("__source").agg(F.max("__lack").alias("__had")).join(used, "__source", "left").select(
             "__source", (F.col("__had") - F.coalesce("__used", F.lit(0))).alias("__lack"))
         turned = given.withColumn("extra", F.col("extra") - 1).unionByName(held).withColumns({"rank": -F.col("rank"), "bucket": -F.col("bucket")})
-        rows = durable(rows.filter(~can | can.isNull()).unionByName(turned).drop("__lack").join(few(lacks), "__source").select(*names, "__kept"))
+        rows = durable(few_tasks(rows.filter(~can | can.isNull()).unionByName(turned).drop("__lack").join(few(lacks), "__source").select(*names, "__kept"), docs))
     chosen = rows.select(*shown, (F.col("sure") + F.col("extra")).alias("copies"))
     others = ranked.filter(~((F.col("size") > 0) & (F.col("rest") > 0))).select(*shown, F.col("sure").alias("copies"))
     return chosen.unionByName(others)
