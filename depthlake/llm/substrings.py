@@ -172,7 +172,7 @@ def shard_masks(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.R
             if held and held[0][0] != anchor:
                 yield solve(held)
                 held = []
-            held.append((anchor, seg, c, np.frombuffer(words.as_buffer(), np.uint32).tolist()))
+            held.append((anchor, seg, c, np.frombuffer(words.as_buffer(), np.uint64).tolist()))
     if held:
         yield solve(held)
 
@@ -206,14 +206,14 @@ def unpacked(column: pa.Array) -> Iterator[Slice]:
 
 
 def segment_words(wanted: DataFrame, texts: DataFrame, window: int) -> DataFrame:
-    """(anchor, seg, c, words) of segments named by (dk, pos, n): 4 bytes of each word's hash."""
+    """(anchor, seg, c, words) of segments named by (dk, pos, n): the whole hash of each word, 8 bytes."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(1)
             for part in unpacked(batch.column(0)):
                 start, end, row = word_bounds(part)
-                words = (word_hashes(part.buf, start, end, lower=False) >> np.uint64(32)).astype(np.uint32)
+                words = word_hashes(part.buf, start, end, lower=False)
                 begin = np.searchsorted(row, np.arange(len(part) + 1))
                 anchor, seg, c, cut = [], [], [], []
                 for i in range(len(part)):
@@ -234,7 +234,7 @@ def counted_windows(words: DataFrame, window: int) -> DataFrame:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [np.frombuffer(x.as_buffer(), np.uint32).astype(np.uint64) for x in batch.column(3)]
+            texts = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(3)]
             if not texts:
                 continue
             row = np.repeat(np.arange(len(texts)), [len(x) for x in texts])

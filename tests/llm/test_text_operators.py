@@ -92,6 +92,25 @@ def test_near_duplicates_match_brute_force(docs, texts, k, percent):
     assert got == brute_components(texts, k, percent)
 
 
+@pytest.mark.parametrize("shard", [1500, 1])
+def test_substrings_tell_words_apart_whose_hashes_half_agree(spark, shard):
+    made = ["w%d" % i for i in range(300_000)]
+    raw = "".join(made).encode()
+    end = np.cumsum([len(w) for w in made])
+    upper = substrings.word_hashes(np.frombuffer(raw, np.uint8), end - [len(w) for w in made], end, lower=False) >> np.uint64(32)
+    order = np.argsort(upper)
+    same = np.flatnonzero(upper[order][1:] == upper[order][:-1])
+    pairs = [(made[order[i]], made[order[i + 1]]) for i in same]
+    assert len(pairs) >= 4
+    rng, rows = random.Random(3), []
+    for n, (one, two) in enumerate(pairs):
+        for place in (0, 17, 34):
+            base = prose(rng, 35).split()
+            rows += [(len(rows) + j, " ".join(base[:place] + [w] + base[place + 1:]), None, None) for j, w in enumerate((one, two))]
+    got = substrings.dedup(frame(spark, rows), shard=shard).collect()
+    assert len(got) == len(rows) and all(r.n_removed == 0 for r in got)
+
+
 def test_near_duplicates_in_a_crowded_region(spark, monkeypatch):
     rng = random.Random(8)
     base = prose(rng, 200).split()
