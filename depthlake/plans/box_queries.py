@@ -284,6 +284,35 @@ def same_boxes(t: Tables) -> DataFrame:
     return B.drop_same_boxes(t.detections().select("photo", "det", *B.BOX), "det").select("photo", "det")
 
 
+@query("W4_column_coverage", """
+WITH d AS (SELECT *, CASE WHEN reviewed THEN conf % 3 END AS structure, row_number() OVER (PARTITION BY photo ORDER BY det) AS place FROM detections),
+ c AS (SELECT photo, k AS col, 80.0 * k AS l, 80.0 * k + 80 AS r, 40.0 AS t, 330.0 AS b FROM (SELECT DISTINCT photo FROM detections), (VALUES (0), (1), (2)) v(k)),
+ a AS (SELECT *, greatest(t, top)::DOUBLE AS y0, least(b, bottom)::DOUBLE AS y1, (least("right", r) - greatest("left", l))::DOUBLE / greatest(1.0, least("right" - "left", r - l))::DOUBLE AS share
+   FROM (SELECT c.*, d.* EXCLUDE (photo) FROM c JOIN d ON d.photo = c.photo)
+   WHERE least("right", r) > greatest("left", l) AND least(b, bottom) - greatest(t, top) > 0.25),
+ g AS (SELECT *, conf::DOUBLE / 100 AS q FROM a WHERE share >= 0.15),
+ m AS (SELECT photo, col, unnest([y0, y1]) AS y FROM g UNION SELECT photo, col, unnest([t, b])::DOUBLE FROM c),
+ e AS (SELECT photo, col, y AS s, lead(y) OVER (PARTITION BY photo, col ORDER BY y) AS z FROM m),
+ h AS (SELECT e.photo, e.col, e.s, e.z, g.label, g.structure, g.q, row_number() OVER (PARTITION BY e.photo, e.col, e.s
+     ORDER BY g.structure IS NOT NULL DESC, g.q * g.share DESC, g.share DESC, g.q DESC, g.place) AS best
+   FROM e LEFT JOIN g ON g.photo = e.photo AND g.col = e.col AND g.y0 <= e.s AND g.y1 >= e.z WHERE e.z IS NOT NULL),
+ w AS (SELECT photo, col, s, z, coalesce(label, 'Не определена') AS label, structure, coalesce(q, 0) AS q, label IS NULL AS gap_filled FROM h WHERE best = 1),
+ f AS (SELECT *, CASE WHEN lag(label) OVER k = label AND lag(structure) OVER k IS NOT DISTINCT FROM structure AND lag(gap_filled) OVER k = gap_filled THEN 0 ELSE 1 END AS new
+   FROM w WINDOW k AS (PARTITION BY photo, col ORDER BY s)),
+ n AS (SELECT *, sum(new) OVER (PARTITION BY photo, col ORDER BY s ROWS UNBOUNDED PRECEDING) AS band FROM f)
+SELECT photo, col::INT AS col, label, structure, gap_filled, min(s) AS top, max(z) AS bottom, min(q) AS conf,
+  CASE WHEN col < 2 THEN round_even((photo % 1000)::DOUBLE + (min(s) - 40.0::DOUBLE) / 290.0::DOUBLE * 3.0::DOUBLE, 4) END AS depth_from,
+  CASE WHEN col < 2 THEN round_even((photo % 1000)::DOUBLE + (max(z) - 40.0::DOUBLE) / 290.0::DOUBLE * 3.0::DOUBLE, 4) END AS depth_to
+FROM n GROUP BY photo, col, band, label, structure, gap_filled""")
+def column_coverage(t: Tables) -> DataFrame:
+    d = t.detections().withColumns({"conf": F.col("conf") / 100, "structure": F.when(F.col("reviewed"), F.col("conf") % 3)})
+    columns = d.select("photo").distinct().select("photo", F.explode(F.array(*map(F.lit, range(3)))).alias("col")).withColumns(
+        {"left": F.col("col") * 80.0, "right": F.col("col") * 80.0 + 80, "top": F.lit(40.0), "bottom": F.lit(330.0)})
+    depths = columns.filter("col < 2").select("photo", F.col("col").alias("order"), *B.BOX, (F.col("photo") % 1000).alias("depth_from"), (F.col("photo") % 1000 + 3).alias("depth_to"))
+    bands = B.complete_columns(columns, d, column="col", depths=depths, gap_label="Не определена")
+    return bands.select("photo", "col", "label", "structure", "gap_filled", "top", "bottom", "conf", "depth_from", "depth_to")
+
+
 @query("N27_interval_class", """
 WITH s AS (SELECT photo, label, conf / 100.0::DOUBLE AS c, conf / 100.0::DOUBLE * (0.55 + 0.45 * sqrt(least(1.0, CAST(("right" - "left") * (bottom - top) AS DOUBLE) / 4000.0))) AS s FROM detections),
  p AS (SELECT photo, label, max(struct_pack(s := s, c := c)) AS b, max(c) AS m FROM s GROUP BY ALL), w AS (SELECT photo, max(struct_pack(b := b, l := label)) AS w FROM p GROUP BY photo)
