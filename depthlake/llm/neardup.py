@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .components import connect, merged
-from .tables import durable, release, table
+from .tables import durable, release, small_batches, table
 from .textbytes import Slice, gram_hashes, mix, slices, word_bounds, word_hashes
 
 TREES, DEPTH = 32, 4
@@ -259,6 +259,11 @@ def block_links(members: DataFrame, labels: DataFrame, sigs: DataFrame, least: i
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *, k: int = 5, percent: int = 80) -> DataFrame:
     """Per row: key, n_shingles and component_id (the least id reachable over links)."""
+    with small_batches(docs.sparkSession):  # every job that passes texts or sets to Python runs in here
+        return _components(docs, key, text, k, percent)
+
+
+def _components(docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
     rows = durable(signed(docs, key, text, k))
     least = least_agreement(percent / 100)
     classes = rows.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"))

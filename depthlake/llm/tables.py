@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import gc
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -19,6 +21,25 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+BATCH_BYTES = 8 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run inside pass Arrow batches of about ``BATCH_BYTES``, then the session is as before.
+
+    A task holds a batch several times (in the JVM, in the stream, in Python), so with whole texts or
+    sets in the rows the usual 64 MB are several hundred for an executor.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def release(spark: SparkSession) -> None:
     """Let go of what nothing refers to any more, between the phases of a long operator.
 
