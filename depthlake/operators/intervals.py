@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from depthlake.operators.scan import BLOCK, BLOCK_CM, balanced_positions, chains, running, with_block
+from depthlake.operators.scan import BLOCK, BLOCK_CM, chains, running, with_block
 
 BIN_CM = 1024
 DYADIC_LEVELS = 8
@@ -261,20 +261,16 @@ def segment_winners(
 ) -> DataFrame:
     """Left-join the best covering span to every elementary segment.
 
-    Spans are put in rank order once, so a span is a single number that grows with its
-    rank; they are then cut into dyadic nodes and reduced to the best number per node (a
-    partial hash aggregate).  A segment looks up the few nodes above its first centimetre
-    and the winning number leads back to its span.  No span x segment pairs are formed.
+    Spans are cut into dyadic nodes and reduced to the best (rank, payload) per node; a segment
+    looks up the few nodes above its first centimetre and keeps the best of them.  No span x
+    segment pairs are formed and spans are never put in order as a whole.
     """
-    keys, payload = list(keys), list(payload)
-    names = [f"__r{i}" for i in range(len(rank))]
-    slim = spans.filter(F.col(base) > F.col(top)).select(
-        *keys, F.col(top).alias("__t"), F.col(base).alias("__b"), *[c.alias(n) for n, c in zip(names, rank)], *[c for c in payload if c not in keys])
-    ranked = balanced_positions(slim, [], [*names, *[c for c in payload if c not in keys]], "__at")
+    keys, payload = list(keys), [c for c in payload if c not in keys]
+    best = F.struct(*[c.alias(f"__r{i}") for i, c in enumerate(rank)], *payload)
     nodes = (
-        ranked.select(*keys, "__at", F.explode(dyadic_nodes(F.col("__t"), F.col("__b"))).alias("__n"))
+        spans.filter(F.col(base) > F.col(top)).select(*keys, best.alias("__best"), F.explode(dyadic_nodes(F.col(top), F.col(base))).alias("__n"))
         .groupBy(*keys, F.col("__n.level").alias("__level"), F.col("__n.node").alias("__node"))
-        .agg(F.max("__at").alias("__at"))
+        .agg(F.max("__best").alias("__best"))
     )
     parents = F.array(*[
         F.struct(F.lit(level).alias("level"), F.shiftright(F.col("seg_top"), level).alias("node"))
@@ -283,9 +279,8 @@ def segment_winners(
     asked = segments.select(*keys, "seg_top", "seg_base", F.explode(parents).alias("__p")).select(
         *keys, "seg_top", "seg_base", F.col("__p.level").alias("__level"), F.col("__p.node").alias("__node"))
     found = asked.join(nodes, [*keys, "__level", "__node"], "left")
-    won = found.groupBy(*keys, "seg_top", "seg_base").agg(F.max("__at").alias("__at"))
-    own = ranked.select("__at", *[c for c in payload if c not in keys])
-    return won.join(own, "__at", "left").select(*keys, "seg_top", "seg_base", *payload)
+    won = found.groupBy(*keys, "seg_top", "seg_base").agg(F.max("__best").alias("__best"))
+    return won.select(*keys, "seg_top", "seg_base", *[F.col("__best")[c].alias(c) for c in payload])
 
 
 def merge_runs(
