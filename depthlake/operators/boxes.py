@@ -244,9 +244,12 @@ def token_rows(df: DataFrame, tolerance: float, *, photo: str = "photo", y: str
     return _per_photo(named, photo, ["y", "__tie"], lambda rows: _text_rows(rows, tolerance), "text_row").drop("y", "__tie").withColumnRenamed("__keep", y)
 
 
-def merge_lanes(df: DataFrame, order: str, *, photo: str = "photo", share: float = 0.55, centre: float = 0.48, least: float = 5.0) -> DataFrame:
+def merge_lanes(df: DataFrame, order: str, *, photo: str = "photo", share: float = 0.55, centre: float = 0.48, least: float = 5.0, by: str = "left") -> DataFrame:
     """Fuse column proposals of one lane into their envelope, first fit in order.
 
+    Proposals come by their ``left`` side, or ``by="centre"`` (which fuses partial boxes of several
+    strategies), then by their top and ``order``.
+
     A box fits a lane when they share ``share`` of the narrower width and their centres are within
     ``centre`` of it (``least`` pixels at least).  The fold's state is the photo's envelopes so far.
     """
@@ -265,11 +268,20 @@ def merge_lanes(df: DataFrame, order: str, *, photo: str = "photo", share: float
         return F.when(first > 0, grown).otherwise(F.concat(lanes, F.array(F.struct(*[b[side].alias(side) for side in BOX]))))
 
     sides = df.select(photo, order, *[F.col(side).cast("bigint").alias(side) for side in BOX])
-    rows = sides.groupBy(photo).agg(F.sort_array(F.collect_list(F.struct("left", "top", order, "right", "bottom"))).alias("rows"))
+    first_by = ((F.col("left") + F.col("right")) / 2 if by == "centre" else F.col("left")).alias("by")
+    rows = sides.groupBy(photo).agg(F.sort_array(F.collect_list(F.struct(first_by, "top", order, "left", "right", "bottom"))).alias("rows"))
     empty = F.expr("cast(array() AS array<struct<" + ",".join(f"`{side}`:bigint" for side in BOX) + ">>)")
     return rows.select(photo, F.explode(F.aggregate("rows", empty, place)).alias("b")).select(photo, *[F.col(f"b.{side}").alias(side) for side in BOX])
 
 
+def outside_lanes(found: DataFrame, lanes: DataFrame, *, photo: str = "photo", share: float = 0.58) -> DataFrame:
+    """Boxes that share less than ``share`` of the narrower width with every lane of their photo."""
+    known = lanes.select(F.col(photo).alias("__photo"), F.col("left").alias("__left"), F.col("right").alias("__right"))
+    met = F.least("right", "__right") - F.greatest("left", "__left")
+    narrow = F.least(F.col("right") - F.col("left"), F.col("__right") - F.col("__left"))
+    return found.join(known, (F.col(photo) == F.col("__photo")) & (met >= narrow * share), "left_anti")
+
+
 def drop_same_boxes(df: DataFrame, ident: str, *, photo: str = "photo", least: float = 0.68) -> DataFrame:
     """Keep boxes in (left, top, taller first) order unless one kept is nearly the same."""
     slim = df.select(photo, ident, *BOX)

@@ -256,8 +256,8 @@ def alternatives(t: Tables) -> DataFrame:
     return B.suppress_overlaps(t.detections(), "det")[1]
 
 
-@query("P13_merged_lanes", """
-WITH RECURSIVE d AS (SELECT photo, row_number() OVER (PARTITION BY photo ORDER BY "left", top, det) AS k,
+LANES_BY = """
+WITH RECURSIVE d AS (SELECT photo, row_number() OVER (PARTITION BY photo ORDER BY {order}, top, det) AS k,
   struct_pack(l := "left"::BIGINT, t := top::BIGINT, r := "right"::BIGINT, b := bottom::BIGINT) AS x FROM detections),
  f AS (SELECT photo, k, [x] AS lanes FROM d WHERE k = 1
   UNION ALL SELECT photo, k, CASE WHEN coalesce(p, 0) = 0 THEN list_append(lanes, x)
@@ -267,11 +267,27 @@ WITH RECURSIVE d AS (SELECT photo, row_number() OVER (PARTITION BY photo ORDER B
       AND abs((d.x.l + d.x.r) / 2.0::DOUBLE - (y.l + y.r) / 2.0::DOUBLE) <= greatest(5.0::DOUBLE, least(d.x.r - d.x.l, y.r - y.l) * 0.48::DOUBLE)), true) AS p
     FROM f JOIN d ON d.photo = f.photo AND d.k = f.k + 1)),
  z AS (SELECT photo, arg_max(lanes, k) AS lanes FROM f GROUP BY photo)
-SELECT photo, u.l AS "left", u.t AS top, u.r AS "right", u.b AS bottom FROM (SELECT photo, unnest(lanes) AS u FROM z)""")
+SELECT photo, u.l AS "left", u.t AS top, u.r AS "right", u.b AS bottom FROM (SELECT photo, unnest(lanes) AS u FROM z)"""
+
+
+@query("P13_merged_lanes", LANES_BY.replace("{order}", '"left"'))
 def merged_lanes(t: Tables) -> DataFrame:
     return B.merge_lanes(t.detections().select("photo", "det", *B.BOX), "det")
 
 
+@query("P13_lanes_by_centre", LANES_BY.replace("{order}", '"left" + "right"'))
+def lanes_by_centre(t: Tables) -> DataFrame:
+    return B.merge_lanes(t.detections().select("photo", "det", *B.BOX), "det", by="centre")
+
+
+@query("P13_outside_lanes", """
+SELECT photo, det FROM detections d WHERE reviewed AND NOT EXISTS (SELECT 1 FROM detections l WHERE l.photo = d.photo AND NOT l.reviewed
+  AND least(d."right", l."right") - greatest(d."left", l."left") >= least(d."right" - d."left", l."right" - l."left") * 0.58::DOUBLE)""")
+def outside_lanes(t: Tables) -> DataFrame:
+    d = t.detections()
+    return B.outside_lanes(d.filter("reviewed"), d.filter("not reviewed")).select("photo", "det")
+
+
 @query("P13_same_boxes", """
 WITH RECURSIVE d AS (SELECT *, row_number() OVER (PARTITION BY photo ORDER BY "left", top, top - bottom, det) AS k, ("right" - "left") * (bottom - top) AS area FROM detections),
  f AS (SELECT photo, k, list_value(k) AS kept FROM d WHERE k = 1

@@ -59,20 +59,25 @@ def test_lane_fold_matches_a_loop(spark):
         for i in range(25):
             left, top = rng.randrange(0, 300), rng.randrange(0, 500)
             rows.append((photo, i, left, top, left + rng.randrange(0, 80), top + rng.randrange(1, 90)))
-    want = []
-    for photo in range(6):
-        lanes = []
-        for _, _, l, t, r, b in sorted((x for x in rows if x[0] == photo), key=lambda x: (x[2], x[3], x[1])):  # noqa: E741
-            for k, (a, c, d, e) in enumerate(lanes):
-                narrow = min(r - l, d - a)
-                if narrow > 0 and min(r, d) - max(l, a) >= 0.55 * narrow and abs(l + r - a - d) / 2 <= max(5.0, 0.48 * narrow):
-                    lanes[k] = (min(a, l), min(c, t), max(d, r), max(e, b))
-                    break
-            else:
-                lanes.append((l, t, r, b))
-        want += [(photo, *x) for x in lanes]
     df = spark.createDataFrame(rows, "photo long, i long, left long, top long, right long, bottom long")
-    assert sorted(tuple(r) for r in boxes.merge_lanes(df, "i").collect()) == sorted(want)
+    for by in ("left", "centre"):
+        want = []
+        for photo in range(6):
+            lanes = []
+            for _, _, l, t, r, b in sorted((x for x in rows if x[0] == photo), key=lambda x: (x[2] if by == "left" else x[2] + x[4], x[3], x[1])):  # noqa: E741
+                for k, (a, c, d, e) in enumerate(lanes):
+                    narrow = min(r - l, d - a)
+                    if narrow > 0 and min(r, d) - max(l, a) >= 0.55 * narrow and abs(l + r - a - d) / 2 <= max(5.0, 0.48 * narrow):
+                        lanes[k] = (min(a, l), min(c, t), max(d, r), max(e, b))
+                        break
+                else:
+                    lanes.append((l, t, r, b))
+            want += [(photo, *x) for x in lanes]
+        assert sorted(tuple(r) for r in boxes.merge_lanes(df, "i", by=by).collect()) == sorted(want)
+    lanes, found = [r for r in rows if r[1] < 3], [r for r in rows if r[1] >= 3]
+    free = [f[:2] for f in found if not any(l[0] == f[0] and min(l[4], f[4]) - max(l[2], f[2]) >= 0.58 * min(l[4] - l[2], f[4] - f[2]) for l in lanes)]  # noqa: E741
+    assert 0 < len(free) < len(found)
+    assert sorted((r.photo, r.i) for r in boxes.outside_lanes(df.filter("i >= 3"), df.filter("i < 3")).collect()) == sorted(free)
 
 
 def test_packing_is_all_or_nothing(spark):
