@@ -29,6 +29,41 @@ def project_counters(photos: DataFrame, layers: DataFrame, matches: DataFrame, a
     return out.drop("__k")
 
 
+def coverage_counters(
+    photos: DataFrame, columns: DataFrame, layers: DataFrame, matches: DataFrame, annotations: DataFrame, *, sequenced: Sequence[str],
+) -> DataFrame:
+    """One row of what a project still lacks (N12): photos without columns, labels or masks, layers without a photo, open ground.
+
+    ``photos``: photo, confirmed, top_cm, base_cm, source; ``columns``: photo, verified; ``layers``:
+    layer_id; ``matches``: photo, layer_id, overlap_top_cm, overlap_base_cm, described (bool);
+    ``annotations``: photo, label, target_text.  Open ground is counted in gaps of confirmed photos.
+    Every source is reduced to one row per photo before it meets the photos.
+    """
+    from depthlake.operators.intervals import key_gaps
+
+    boxes = columns.groupBy("photo").agg(F.bool_or(F.coalesce("verified", F.lit(False))).alias("__verified"))
+    labelled = matches.select("photo").distinct().withColumn("__labelled", F.lit(True))
+    masked = annotations.select("photo").distinct().withColumn("__masked", F.lit(True))
+    flags = photos.join(boxes, "photo", "left").join(labelled, "photo", "left").join(masked, "photo", "left")
+    hosts = photos.filter(F.col("confirmed") & (F.col("base_cm") > F.col("top_cm"))).select("photo", F.col("top_cm").alias("host_top_cm"), F.col("base_cm").alias("host_base_cm"))
+    open_ground = lambda spans: key_gaps(hosts, spans.select("photo", F.col("overlap_top_cm").alias("top_cm"), F.col("overlap_base_cm").alias("base_cm")), ["photo"])
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    parts = [
+        flags.agg(
+            F.count_if(F.col("__verified").isNull()).alias("photos_without_core_columns"), F.count_if("__verified").alias("verified_column_photos"),
+            F.count("__labelled").alias("photos_with_labels"), F.count_if(F.col("__labelled").isNull()).alias("photos_without_labels"),
+            F.count_if(F.col("__masked").isNull()).alias("photos_without_masks"), F.count_if(F.col("source").isin(*sequenced)).alias("sequenced_photos")),
+        count(layers.join(matches.select("layer_id").distinct(), "layer_id", "left_anti"), "layers_without_photo"),
+        annotations.agg(
+            F.count_if(F.trim(F.coalesce("target_text", F.lit(""))) != "").alias("annotation_text_targets"),
+            F.array_join(F.transform(F.array_sort(F.collect_set(F.struct(F.lower("label").alias("folded"), "label"))), lambda x: x["label"]), ",").alias("classes")),
+        count(open_ground(matches), "open_label_gaps"), count(open_ground(matches.filter("described")), "open_description_gaps")]
+    out = parts[0].withColumn("__k", F.lit(1))
+    for part in parts[1:]:
+        out = out.join(part.withColumn("__k", F.lit(1)), "__k")
+    return out.drop("__k")
+
+
 def import_summary(layers: DataFrame, core: tuple[str, str] = ("core_top_cm", "core_base_cm")) -> DataFrame:
     """Distinct wells, labels and core intervals of an import and its row counts."""
     return layers.agg(

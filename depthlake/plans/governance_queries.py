@@ -340,6 +340,31 @@ def counters(t: Tables) -> DataFrame:
     return R.project_counters(t.photos(), lay, matches(t), d.withColumn("approved", F.col("reviewed")), issues)
 
 
+@query("N12_coverage_counters", """
+WITH m AS (SELECT p.photo, l.layer_id, greatest(p.top_cm, l.top_cm) AS s, least(p.base_cm, l.base_cm) AS e, l.conf % 4 <> 0 AS described
+   FROM photos p JOIN layers l ON p.well = l.well AND l.base_cm > p.top_cm AND l.top_cm < p.base_cm WHERE p.confirmed),
+ h AS (SELECT photo, unnest([top_cm, base_cm]) AS y FROM photos WHERE confirmed AND base_cm > top_cm),
+ a AS (SELECT photo, s, e FROM m UNION ALL SELECT photo, y, y FROM h), b AS (SELECT photo, s, e FROM m WHERE described UNION ALL SELECT photo, y, y FROM h),
+ ga AS (SELECT s, max(e) OVER (PARTITION BY photo ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM a),
+ gb AS (SELECT s, max(e) OVER (PARTITION BY photo ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM b),
+ c AS (SELECT photo, bool_or(reviewed) AS verified FROM detections WHERE conf < 99 GROUP BY photo)
+SELECT (SELECT count(*) FROM photos WHERE photo NOT IN (SELECT photo FROM c)) AS photos_without_core_columns, (SELECT count(*) FROM photos JOIN c USING (photo) WHERE verified) AS verified_column_photos,
+ (SELECT count(*) FROM photos WHERE photo IN (SELECT photo FROM m)) AS photos_with_labels, (SELECT count(*) FROM photos WHERE photo NOT IN (SELECT photo FROM m)) AS photos_without_labels,
+ (SELECT count(*) FROM photos WHERE photo NOT IN (SELECT photo FROM detections WHERE conf > 95)) AS photos_without_masks, (SELECT count(*) FROM photos WHERE photo % 3 < 2) AS sequenced_photos,
+ (SELECT count(*) FROM layers WHERE layer_id NOT IN (SELECT layer_id FROM m)) AS layers_without_photo, (SELECT count(*) FROM detections WHERE conf > 95 AND reviewed) AS annotation_text_targets,
+ (SELECT string_agg(label, ',' ORDER BY lower(label), label) FROM (SELECT DISTINCT label FROM detections WHERE conf > 95)) AS classes,
+ (SELECT count(*) FROM ga WHERE s > prev) AS open_label_gaps, (SELECT count(*) FROM gb WHERE s > prev) AS open_description_gaps""")
+def coverage_counters(t: Tables) -> DataFrame:
+    from depthlake.operators import intervals as iv
+
+    photos = t.photos().withColumn("source", F.element_at(F.array(*map(F.lit, ("verified", "ordered", "manual"))), (F.col("photo") % 3 + 1).cast("int")))
+    right = t.layers().select("well", "layer_id", F.col("top_cm").alias("r_top_cm"), F.col("base_cm").alias("r_base_cm"), (F.col("conf") % 4 != 0).alias("described"))
+    found = iv.overlap_join(photos.filter("confirmed").select("photo", "well", "top_cm", "base_cm"), right, ["well"])
+    d = t.detections()
+    masks = d.filter("conf > 95").withColumn("target_text", F.when(F.col("reviewed"), "text").otherwise(" "))
+    return R.coverage_counters(photos, d.filter("conf < 99").select("photo", F.col("reviewed").alias("verified")), t.layers(), found, masks, sequenced=("verified", "ordered"))
+
+
 @query("N21_catalog_overview", """
 SELECT source AS project, count(*) AS masks, count(*) FILTER (WHERE quality = 1) AS approved, count(DISTINCT sha256(text)) AS photos, count(DISTINCT lang) AS classes, array_to_string(list_sort(list_distinct(list(lang))), ',') AS wells FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source""")
 def overview(t: Tables) -> DataFrame:
