@@ -79,8 +79,9 @@ SELECT vec_id, array_to_string(list_transform(least(
    lambda p: p.x || ',' || p.y), ';') AS ring FROM f WHERE NOT (polygon[1] = polygon[-1])""")
 def canonical(t: Tables) -> DataFrame:
     open_only = t.polygons().filter(F.get("polygon", 0) != F.element_at("polygon", -1))
-    # Each ring is turned and reversed first; its canonical form must not change.
-    turned = F.reverse(F.concat(F.slice("polygon", F.lit(8), F.size("polygon")), F.slice("polygon", 1, 7)))
+    # Each ring is turned, reversed and closed first; its canonical form must not change.  The closing vertex
+    # is written out, as the turn may bring two equal neighbours to the ends, which are no closing vertex.
+    turned = F.reverse(F.concat(F.slice("polygon", F.lit(7), F.size("polygon")), F.slice("polygon", 1, 7)))
     return open_only.select("vec_id", G.polygon_text(G.canonical_polygon(turned)).alias("ring"))
 
 
