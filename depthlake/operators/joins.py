@@ -209,19 +209,20 @@ def pair_depth_rows(rows: DataFrame, columns: DataFrame, *, photo: str = "photo"
     1 to 150 cm and at least 60 % of the columns must pair.
     """
     need = columns.groupBy(photo).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) * F.lit(0.6).cast("decimal(3,1)"))).alias("__need"))
-    spread = rows.groupBy(photo, "text_row", "side", "basis").agg(F.count(F.lit(1)).alias("__c")).join(need, photo).filter("__c >= __need")
+    spread = rows.groupBy(photo, "text_row", "side", "basis").agg(F.count(F.lit(1)).alias("__c")).join(need.hint("merge"), photo).filter("__c >= __need")
     order = W.partitionBy(photo, "side").orderBy("text_row")
     count = W.partitionBy(photo, "side")
     spread = spread.withColumns({"__i": F.row_number().over(order), "__n": F.count(F.lit(1)).over(count)})
     h = spread.filter("side = 'header'").select(photo, "__need", F.col("text_row").alias("top_row"), F.col("basis").alias("hb"), F.col("__i").alias("hi"), F.col("__n").alias("hn"))
     f = spread.filter("side = 'footer'").select(photo, F.col("text_row").alias("base_row"), F.col("basis").alias("fb"), F.col("__i").alias("fi"), F.col("__n").alias("fn"))
     known = (F.col("hb") != "unknown") & (F.col("fb") != "unknown")
-    links = h.join(f, photo).filter(F.when(known, F.col("hb") == F.col("fb")).otherwise((F.col("hn") == F.col("fn")) & (F.col("hi") == F.col("fi"))))
+    links = h.join(f.hint("merge"), photo).filter(F.when(known, F.col("hb") == F.col("fb")).otherwise((F.col("hn") == F.col("fn")) & (F.col("hi") == F.col("fi"))))
     tops = rows.select(photo, F.col("text_row").alias("top_row"), "col", F.col("value").alias("top_cm"))
     bases = rows.select(photo, F.col("text_row").alias("base_row"), "col", F.col("value").alias("base_cm"))
-    spans = links.join(tops, [photo, "top_row"]).join(bases, [photo, "base_row", "col"]).filter((F.col("base_cm") - F.col("top_cm")).between(1, 150))
+    # Rows may come from an explode, which Spark's size check takes for its input; so they are merged, never broadcast.
+    spans = links.join(tops.hint("merge"), [photo, "top_row"]).join(bases.hint("merge"), [photo, "base_row", "col"]).filter((F.col("base_cm") - F.col("top_cm")).between(1, 150))
     enough = spans.groupBy(photo, "top_row", "base_row").agg(F.count(F.lit(1)).alias("__m"))
-    return spans.join(enough, [photo, "top_row", "base_row"]).filter("__m >= __need").select(
+    return spans.join(enough.hint("merge"), [photo, "top_row", "base_row"]).filter("__m >= __need").select(
         photo, "top_row", "base_row", F.when(F.col("hb") != "unknown", F.col("hb")).otherwise(F.col("fb")).alias("basis"), "col", "top_cm", "base_cm")
 
 
@@ -245,9 +246,9 @@ def coherent_labels(sets: DataFrame, columns: DataFrame, expected: DataFrame, *,
         & (F.col("__t") >= F.col("exp_top_cm") - 50) & (F.col("__b") <= F.col("exp_base_cm") + 50))
     error = F.abs(F.col("__t") - F.col("exp_top_cm")) + F.abs(F.col("__b") - F.col("exp_base_cm"))
     taste = F.when(F.col("basis") == "drilling", 0).when(F.col("basis") == "gis", 1).otherwise(2)
-    best = whole.join(n, photo).join(expected, photo).filter(ok).groupBy(photo).agg(
+    best = whole.join(n.hint("merge"), photo).join(expected.hint("merge"), photo).filter(ok).groupBy(photo).agg(
         F.min(F.struct(error.alias("e"), taste.alias("t"), F.col("__sum").alias("g"), F.col("set_id"))).alias("__b"))
-    return sets.join(best.select(photo, F.col("__b.set_id").alias("set_id")), [photo, "set_id"], "left_semi")
+    return sets.join(best.select(photo, F.col("__b.set_id").alias("set_id")).hint("merge"), [photo, "set_id"], "left_semi")
 
 
 def zip_labels(columns: DataFrame, labels: DataFrame, image_width: int, *, photo: str = "photo") -> DataFrame:
