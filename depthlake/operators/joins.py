@@ -53,6 +53,12 @@ def inherit_only_well(photos: DataFrame, layers: DataFrame, *, well: str = "well
 
 
 GRAM = 3
+FEW_KEYS = 200_000  # keys up to which one row a key is sent to every task; more of them are shuffled
+
+
+def _digest(c: Column) -> Column:
+    """Short stand-in of a text of any length."""
+    return F.unhex(F.sha2(c, 256))
 
 
 def contained_keys(texts: DataFrame, keys: DataFrame, *, ident: str, text: str = "text", key: str = "key") -> DataFrame:
@@ -61,19 +67,26 @@ def contained_keys(texts: DataFrame, keys: DataFrame, *, ident: str, text: str =
     A key is looked up by one of its 3-grams, the one that the fewest texts have; a text offers its
     distinct 3-grams, and only then is the whole key looked for in it.  Work grows with the length
     of a text, not with its square, and no text meets all keys.  Keys of one or two characters are
-    their own grams.
+    their own grams; a key with a gram that no text has is in none.  Rows of grams carry a digest of
+    their key, never a text, and Spark's size check does not see how many rows an explode makes, so
+    the joins of grams say themselves which side is small.
     """
-    known = keys.select(F.col(key).alias("__key")).filter(F.col("__key") != "").distinct()
+    asked_texts = texts.select(ident, F.col(text).alias("__text"))
+    longest = asked_texts.agg(F.max(F.length("__text"))).scalar()
+    known = keys.select(F.col(key).alias("__key")).filter((F.col("__key") != "") & (F.length("__key") <= longest)).distinct().withColumn("__kid", _digest(F.col("__key")))
     short = known.filter(F.length("__key") < GRAM).select(F.collect_set(F.length("__key"))).scalar()
     cuts = lambda c, n: F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))  # all overlapping cuts in one pass
     asked_for = lambda n: F.when(F.array_contains("__short", n), cuts(F.col("__text"), n))
     grams = F.array_distinct(F.flatten(F.array_compact(F.array(cuts(F.col("__text"), GRAM), *[asked_for(n) for n in range(1, GRAM)]))))
-    offered = texts.select(ident, F.col(text).alias("__text"), F.coalesce(short, F.array().cast("array<int>")).alias("__short")).select(ident, F.explode(grams).alias("__gram"))
+    offered = asked_texts.select(ident, "__text", F.coalesce(short, F.array().cast("array<int>")).alias("__short")).select(ident, F.explode(grams).alias("__gram"))
     common = offered.groupBy("__gram").agg(F.count(F.lit(1)).alias("__texts"))
-    own = known.select("__key", F.explode(F.when(F.length("__key") < GRAM, F.array("__key")).otherwise(F.array_distinct(cuts(F.col("__key"), GRAM)))).alias("__gram"))
-    anchors = own.join(common, "__gram").groupBy("__key").agg(F.min_by("__gram", F.struct("__texts", "__gram")).alias("__gram"))
-    asked = offered.join(anchors, "__gram").select(ident, "__key")
-    return asked.join(texts.select(ident, F.col(text).alias("__text")).distinct(), ident).filter(F.contains("__text", F.col("__key"))).select(ident, F.col("__key").alias(key)).distinct()
+    own = known.select("__kid", F.explode(F.when(F.length("__key") < GRAM, F.array("__key")).otherwise(F.array_distinct(cuts(F.col("__key"), GRAM)))).alias("__gram"))
+    anchors = own.join(common, "__gram", "left").groupBy("__kid").agg(
+        F.min_by("__gram", F.struct("__texts", "__gram")).alias("__gram"), F.bool_and(F.col("__texts").isNotNull()).alias("__met")).filter("__met").drop("__met")
+    few = known.limit(FEW_KEYS + 1).count() <= FEW_KEYS
+    asked = offered.join(F.broadcast(anchors) if few else anchors.hint("merge"), "__gram").select(ident, "__kid").distinct()
+    pairs = asked.join(known, "__kid").select(ident, "__key")
+    return pairs.join(asked_texts.hint("merge"), ident).filter(F.contains("__text", F.col("__key"))).select(ident, F.col("__key").alias(key)).distinct()
 
 
 def longest_key(texts: DataFrame, keys: DataFrame, *, ident: str, text: str = "text", key: str = "key") -> DataFrame:
@@ -88,7 +101,7 @@ def resolve_wells(photos: DataFrame, wells: DataFrame, *, photo: str = "photo",
     span = known.agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
     only = span.select(F.when(F.col("lo") == F.col("hi"), F.col("lo"))).scalar()
     found = longest_key(photos.select(photo, text), known, ident=photo, text=text, key=key).withColumnRenamed(key, "__found")
-    return photos.join(found, photo, "left").withColumn(well, F.coalesce(only, F.col("__found"), F.col(well))).drop("__found")
+    return photos.join(found.hint("merge"), photo, "left").withColumn(well, F.coalesce(only, F.col("__found"), F.col(well))).drop("__found")
 
 
 def unique_or_null(candidates: DataFrame, keys: Sequence[str], score: str, answer: str) -> DataFrame:
@@ -138,20 +151,20 @@ def legend_lookup(rows: DataFrame, legend: DataFrame, ident: Sequence[str], alia
     for token, target in reversed(list(aliases.items())):
         exact_alias = F.when(text == token, target.lower()).otherwise(exact_alias)
         word = F.when(text.contains(token), target.lower()).otherwise(word)
-    labels = rows.select(text.alias("__l"), exact_alias.alias("__a"), word.alias("__w")).distinct()
+    labels = rows.select(text.alias("__l"), exact_alias.alias("__a"), word.alias("__w")).distinct().withColumn("__lid", _digest(F.col("__l")))
     entries = legend.select(F.col(name).alias("__name"), F.lower(name).alias("__k"), F.col("pos").alias("__pos"))
-    tries = labels.select("__l", F.explode(F.array(
+    tries = labels.select("__lid", F.explode(F.array(
         F.struct(F.lit(0).alias("r"), F.col("__a").alias("k")),
         F.struct(F.when(F.col("__a").isNull(), 1).alias("r"), F.col("__l").alias("k")),
-        F.struct(F.lit(2).alias("r"), F.col("__w").alias("k")))).alias("t")).select("__l", F.col("t.r").alias("r"), F.col("t.k").alias("__k"))
-    direct = tries.filter("r IS NOT NULL AND __k IS NOT NULL").join(entries, "__k").select("__l", "r", "__name", "__pos")
-    asking = labels.filter("__l <> ''").select("__l")
-    of_label = contained_keys(asking, entries, ident="__l", text="__l", key="__k")
+        F.struct(F.lit(2).alias("r"), F.col("__w").alias("k")))).alias("t")).select("__lid", F.col("t.r").alias("r"), F.col("t.k").alias("__k"))
+    direct = tries.filter("r IS NOT NULL AND __k IS NOT NULL").join(entries, "__k").select("__lid", "r", "__name", "__pos")
+    asking = labels.filter("__l <> ''").select("__lid", "__l")
+    of_label = contained_keys(asking, entries, ident="__lid", text="__l", key="__k")
     of_entry = contained_keys(entries.select("__k").filter("__k <> ''").distinct(), asking, ident="__k", text="__k", key="__l")
-    touching = of_label.select("__l", "__k").unionByName(of_entry.select("__l", "__k")).distinct()
-    around = touching.join(entries, "__k").select("__l", F.lit(3).alias("r"), "__name", "__pos")
-    best = direct.unionByName(around).groupBy("__l").agg(F.min(F.struct("r", "__pos", "__name")).alias("__b"))
-    return rows.withColumn("__l", text).join(best.select("__l", F.col("__b.__name").alias("entry")), "__l", "left").select(*ident, label, "entry")
+    touching = of_label.select("__lid", "__k").unionByName(of_entry.select(_digest(F.col("__l")).alias("__lid"), "__k")).distinct()
+    around = touching.join(entries, "__k").select("__lid", F.lit(3).alias("r"), "__name", "__pos")
+    best = direct.unionByName(around).groupBy("__lid").agg(F.min(F.struct("r", "__pos", "__name")).alias("__b"))
+    return rows.withColumn("__lid", _digest(text)).join(best.select("__lid", F.col("__b.__name").alias("entry")), "__lid", "left").select(*ident, label, "entry")
 
 
 def overlay(defaults: DataFrame, saved: DataFrame, key: str) -> DataFrame:
