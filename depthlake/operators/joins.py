@@ -116,13 +116,15 @@ def unique_or_null(candidates: DataFrame, keys: Sequence[str], score: str, answe
 def log_file_wells(logs: DataFrame, names: DataFrame) -> DataFrame:
     """Well of a log file by file-name key: equal 100, well name 95, word prefix 80.
 
-    ``logs``: file, key; ``names``: well, key, is_well.  Prefixes are looked up by equality
-    on every word prefix of either side.
+    ``logs``: file, key; ``names``: well, key, is_well.  The whole key of one side is looked up among
+    the word prefixes of the other, so a first word that many keys share meets only itself.
     """
     prefixes = lambda k: F.transform(F.sequence(F.lit(1), F.size(F.split(k, "_"))), lambda n: F.array_join(F.slice(F.split(k, "_"), F.lit(1), n), "_"))
-    left = logs.filter("key <> ''").select("file", F.col("key").alias("log_key"), F.explode(prefixes(F.col("key"))).alias("p"))
-    right = names.filter("key <> ''").select("well", "is_well", F.col("key").alias("name_key"), F.explode(prefixes(F.col("key"))).alias("p"))
-    hits = left.join(right, "p").filter((F.col("p") == F.col("log_key")) | (F.col("p") == F.col("name_key")))
+    left = logs.filter("key <> ''").select("file", F.col("key").alias("log_key"))
+    right = names.filter("key <> ''").select("well", "is_well", F.col("key").alias("name_key"))
+    begun = left.withColumn("p", F.explode(prefixes(F.col("log_key")))).join(right.withColumn("p", F.col("name_key")), "p")
+    shorter = right.withColumn("p", F.explode(prefixes(F.col("name_key")))).filter("p <> name_key")
+    hits = begun.unionByName(left.withColumn("p", F.col("log_key")).join(shorter.hint("merge"), "p"))
     same = F.col("log_key") == F.col("name_key")
     score = F.when(F.col("is_well"), F.when(same, 95)).when(same, 100).otherwise(80)
     return unique_or_null(hits.withColumn("score", score).filter("score IS NOT NULL"), ["file"], "score", "well")
