@@ -185,7 +185,8 @@ def pair_by_keys(workbooks: DataFrame, folders: DataFrame) -> DataFrame:
     hits = workbooks.filter("key <> ''").join(usable, "key").select("workbook", "folder").distinct()
     per = hits.groupBy("workbook").agg(F.count(F.lit(1)).alias("__n"), F.min("folder").alias("folder"))
     owners = per.filter("__n = 1").groupBy("folder").agg(F.count(F.lit(1)).alias("__owners"))
-    joined = workbooks.select("workbook").distinct().join(per, "workbook", "left").join(owners, "folder", "left")
+    # One row per workbook: as large as the workbooks, so merged and never broadcast.
+    joined = workbooks.select("workbook").distinct().join(per.hint("merge"), "workbook", "left").join(owners, "folder", "left")
     reason = (
         F.when(F.col("__n").isNull(), "no folder").when(F.col("__n") > 1, "several folders")
         .when(F.col("__owners") > 1, "folder shared by workbooks").otherwise(""))
