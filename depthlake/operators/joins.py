@@ -182,7 +182,7 @@ def pair_by_keys(workbooks: DataFrame, folders: DataFrame) -> DataFrame:
     ``workbooks``: workbook, key; ``folders``: folder, key, wells (distinct explicit wells).
     """
     usable = folders.filter("wells <= 1").select("folder", "key").filter("key <> ''").distinct()
-    hits = workbooks.filter("key <> ''").join(usable, "key").select("workbook", "folder").distinct()
+    hits = workbooks.filter("key <> ''").hint("merge").join(usable, "key").select("workbook", "folder").distinct()
     per = hits.groupBy("workbook").agg(F.count(F.lit(1)).alias("__n"), F.min("folder").alias("folder"))
     owners = per.filter("__n = 1").groupBy("folder").agg(F.count(F.lit(1)).alias("__owners"))
     # One row per workbook: as large as the workbooks, so merged and never broadcast.
