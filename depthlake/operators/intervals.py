@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from depthlake.operators.scan import BLOCK, BLOCK_CM, chains, running, with_block
 
 BIN_CM = 1024
-DYADIC_LEVELS = 8
+CUT_CM = 256  # width of the blocks in which segments look up their spans
 SENTINEL = 1 << 60
 
 
@@ -222,25 +222,8 @@ def covered_length(
     )
 
 
-def _ceil_shift(value: Column, bits: int) -> Column:
-    return -F.shiftright(-value, bits)
-
-
-def dyadic_nodes(top: Column, base: Column, levels: int = DYADIC_LEVELS) -> Column:
-    """Cover ``[top, base)`` by aligned power-of-two nodes: array<struct<level,node>>."""
-    entries = []
-    for level in range(levels):
-        a, b = _ceil_shift(top, level), F.shiftright(base, level)
-        for edge, node in ((a, a), (b, b - 1)):
-            odd = F.pmod(edge, F.lit(2)) == 1
-            entries.append(F.when((a < b) & odd, F.struct(F.lit(level).alias("level"), node.alias("node"))))
-    a, b = _ceil_shift(top, levels), F.shiftright(base, levels)
-    whole = F.when(
-        a < b,
-        F.transform(F.sequence(a, b - 1), lambda n: F.struct(F.lit(levels).alias("level"), n.alias("node"))),
-    )
-    small = F.array_compact(F.array(*entries))
-    return F.when(whole.isNotNull(), F.concat(small, whole)).otherwise(small)
+def _cut(value: Column) -> Column:
+    return F.floor(value / F.lit(CUT_CM)).cast("bigint")
 
 
 def elementary_segments(
@@ -261,25 +244,26 @@ def segment_winners(
 ) -> DataFrame:
     """Left-join the best covering span to every elementary segment.
 
-    Spans are cut into dyadic nodes and reduced to the best (rank, payload) per node; a segment
-    looks up the few nodes above its first centimetre and keeps the best of them.  No span x
-    segment pairs are formed and spans are never put in order as a whole.
+    Spans are cut at blocks of ``CUT_CM`` and reduced to the best (rank, payload) per cut range, so
+    copies vanish map-side and a block holds at most CUT_CM * (CUT_CM + 1) / 2 ranges.  A segment
+    meets its block's ranges as one array and keeps the best that covers its first centimetre: no
+    span x segment pairs are formed and a segment is shuffled once.
     """
     keys, payload = list(keys), [c for c in payload if c not in keys]
     best = F.struct(*[c.alias(f"__r{i}") for i, c in enumerate(rank)], *payload)
-    nodes = (
-        spans.filter(F.col(base) > F.col(top)).select(*keys, best.alias("__best"), F.explode(dyadic_nodes(F.col(top), F.col(base))).alias("__n"))
-        .groupBy(*keys, F.col("__n.level").alias("__level"), F.col("__n.node").alias("__node"))
+    cut = F.col("__cut")
+    ranges = (
+        spans.filter(F.col(base) > F.col(top))
+        .select(*keys, top, base, best.alias("__best"), F.explode(F.sequence(_cut(F.col(top)), _cut(F.col(base) - 1))).alias("__cut"))
+        .groupBy(*keys, "__cut", F.greatest(F.col(top) - cut * CUT_CM, F.lit(0)).cast("int").alias("__lo"),
+                 F.least(F.col(base) - cut * CUT_CM, F.lit(CUT_CM)).cast("int").alias("__hi"))
         .agg(F.max("__best").alias("__best"))
+        .groupBy(*keys, "__cut").agg(F.collect_list(F.struct("__lo", "__hi", "__best")).alias("__ranges"))
     )
-    parents = F.array(*[
-        F.struct(F.lit(level).alias("level"), F.shiftright(F.col("seg_top"), level).alias("node"))
-        for level in range(DYADIC_LEVELS + 1)
-    ])
-    asked = segments.select(*keys, "seg_top", "seg_base", F.explode(parents).alias("__p")).select(
-        *keys, "seg_top", "seg_base", F.col("__p.level").alias("__level"), F.col("__p.node").alias("__node"))
-    found = asked.join(nodes, [*keys, "__level", "__node"], "left")
-    won = found.groupBy(*keys, "seg_top", "seg_base").agg(F.max("__best").alias("__best"))
+    at = (F.col("seg_top") - cut * CUT_CM).cast("int")
+    found = segments.select(*keys, "seg_top", "seg_base", _cut(F.col("seg_top")).alias("__cut")).join(ranges.hint("merge"), [*keys, "__cut"], "left")
+    over = F.filter("__ranges", lambda r: (r["__lo"] <= at) & (r["__hi"] > at))
+    won = found.select(*keys, "seg_top", "seg_base", F.array_max(F.transform(over, lambda r: r["__best"])).alias("__best"))
     return won.select(*keys, "seg_top", "seg_base", *[F.col("__best")[c].alias(c) for c in payload])
 
 

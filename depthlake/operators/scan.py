@@ -150,7 +150,8 @@ def chains(
     keys, order, keep = list(keys), list(order), list(keep)
     row = F.struct(*[F.col(c) for c in df.columns])
     at = F.struct(*[F.col(c) for c in order])
-    blocked = with_block(df, order[0], width, keys, nulls).select("*", row.alias("__row"), at.alias("__at"))
+    # Shuffled before the structs are built, so no column is shuffled twice.
+    blocked = with_block(df, order[0], width, keys, nulls).repartition(*keys, BLOCK).select("*", row.alias("__row"), at.alias("__at"))
     local = W.partitionBy(*keys, BLOCK).orderBy("__at")
     before = F.lag("__row").over(local)
     marked = blocked.withColumn("__before", before)
