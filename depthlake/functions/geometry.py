@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.functions import arrow_udf, pandas_udf
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from depthlake.functions.numbers import let
 
@@ -125,31 +127,65 @@ def iou(a: tuple, b: tuple) -> Column:
     return both / F.greatest(F.lit(1), box_area(a) + box_area(b) - both)
 
 
-def clip_polygon(poly: Column, left: Column, top: Column, right: Column, bottom: Column) -> Column:
-    """Polygon cut to a box, one half-plane after the other.
+def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of a column and where there are none."""
+    return pc.fill_null(column.cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False), column.is_null().to_numpy(zero_copy_only=False)
+
+
+def _half_plane(points: list, owner: np.ndarray, axis: int, edge: np.ndarray, known: np.ndarray, least: bool) -> tuple[list, np.ndarray]:
+    """Rings, one after another, cut at an edge each; ``points`` holds (values, missing) of x and y, ``owner`` the ring of a vertex."""
+    if not len(owner):
+        return points, owner
+    (at, gone), (other, lost) = points[axis], points[1 - axis]
+    first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    prev = np.arange(len(owner)) - 1
+    prev[first] = np.r_[first[1:], len(owner)] - 1
+    e, told = edge[owner], known[owner] & ~gone
+    inside = (at >= e) | np.isnan(at) if least else (at <= e) | np.isnan(e)
+    crossing = told & told[prev] & (inside != inside[prev])
+    with np.errstate(all="ignore"):
+        ratio = (e - at[prev]) / (at - at[prev])
+        met = at[prev] + ratio * (at - at[prev]), other[prev] + ratio * (other - other[prev])
+    taken = np.stack([crossing, told & inside], 1).ravel()
+    both = lambda a, b: np.stack([a, b], 1).ravel()[taken]
+    cut = [(both(met[0], at), both(np.zeros_like(gone), gone)), (both(met[1], other), both(lost | lost[prev], lost))]
+    return cut if axis == 0 else cut[::-1], np.repeat(owner, 2)[taken]
+
 
-    Each side looks only at a vertex and the vertex before it, so a side is one
-    ``transform`` over the ring.
+POINT = StructType([StructField("x", DoubleType()), StructField("y", DoubleType())])
+
+
+@arrow_udf(StructType([StructField("ring", ArrayType(POINT)), StructField("twice_area", DoubleType())]))
+def clipped(poly: pa.Array, left: pa.Array, top: pa.Array, right: pa.Array, bottom: pa.Array) -> pa.Array:
+    """Polygon cut to a box, one half-plane after the other, and twice its signed area, NULL without a vertex.
+
+    Each side looks only at a vertex and the vertex before it, so a side is a few array operations
+    over the vertices of all polygons of a batch.
     """
-    def side(axis, other, edge, inside):
-        def cut(ring):
-            def piece(cur, i):
-                prev = F.get(ring, (i + F.size(ring) - 1) % F.size(ring))
-                ratio = (edge - prev[axis]) / (cur[axis] - prev[axis])
-                at = {axis: prev[axis] + ratio * (cur[axis] - prev[axis]), other: prev[other] + ratio * (cur[other] - prev[other])}
-                crossing = F.when(inside(cur[axis]) != inside(prev[axis]), F.struct(at["x"].cast("double").alias("x"), at["y"].cast("double").alias("y")))
-                kept = F.when(inside(cur[axis]), F.struct(cur["x"].alias("x"), cur["y"].alias("y")))
-                return F.array(crossing, kept)
-
-            return F.filter(F.flatten(F.transform(ring, piece)), lambda p: p.isNotNull())
-        return cut
-
-    out = F.transform(poly, lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
-    for axis, other, edge, inside in (
-        ("x", "y", left, lambda v: v >= left), ("x", "y", right, lambda v: v <= right),
-        ("y", "x", top, lambda v: v >= top), ("y", "x", bottom, lambda v: v <= bottom)):
-        out = let(out, side(axis, other, edge, inside))
-    return out
+    size = pc.fill_null(pc.list_value_length(poly), 0).to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(len(poly)), size)
+    vertices = poly.flatten()
+    points = [_values(pc.struct_field(vertices, c)) for c in ("x", "y")]
+    for axis, edge, least in ((0, left, True), (0, right, False), (1, top, True), (1, bottom, False)):
+        value, missing = _values(edge)
+        points, owner = _half_plane(points, owner, axis, value, ~missing, least)
+    (x, no_x), (y, no_y) = points
+    size = np.bincount(owner, minlength=len(poly))
+    end = np.cumsum(size)
+    following = np.arange(1, len(owner) + 1)
+    following[end[size > 0] - 1] = (end - size)[size > 0]
+    with np.errstate(all="ignore"):
+        twice = np.bincount(owner, weights=x * y[following] - x[following] * y, minlength=len(poly))
+    part = np.bincount(owner, weights=no_x | no_y, minlength=len(poly)) > 0
+    ring = pa.ListArray.from_arrays(
+        pa.array(np.r_[0, end].astype(np.int32)), pa.StructArray.from_arrays([pa.array(x, mask=no_x), pa.array(y, mask=no_y)], ["x", "y"]),
+        mask=poly.is_null())
+    return pa.StructArray.from_arrays([ring, pa.array(twice, mask=(size == 0) | part)], ["ring", "twice_area"])
+
+
+def clip_polygon(poly: Column, left: Column, top: Column, right: Column, bottom: Column) -> Column:
+    """Polygon cut to a box."""
+    return clipped(poly, left, top, right, bottom)["ring"]
 
 
 def normalise_polygon(poly: Column, left: Column, top: Column, right: Column, bottom: Column) -> Column:
@@ -173,30 +209,33 @@ def minimum_span(y0: Column, y1: Column, top: Column, bottom: Column, least: flo
     return F.when(y1 - y0 >= need, F.struct(y0.cast("double").alias("y0"), y1.cast("double").alias("y1"))).otherwise(wide)
 
 
-def _ink(runs, height: int, width: int):
-    """(area, left, top, right, bottom) of one mask, None when the runs fall short."""
-    if runs is None or height <= 0 or width <= 0:
-        return None
-    runs = np.asarray(runs, dtype=np.int64)
-    ends = np.minimum(np.cumsum(runs), height * width)
-    if not len(runs) or (runs < 0).any() or ends[-1] < height * width:
-        return None
-    starts = np.concatenate(([0], ends[:-1]))
-    ink = (np.arange(len(runs)) % 2 == 1) & (ends > starts)
-    first, last = starts[ink], ends[ink] - 1
-    if not len(first):
-        return 0, None, None, None, None
-    tall = first // height != last // height
-    return (
-        int((last - first + 1).sum()), int((first // height).min()), int(np.where(tall, 0, first % height).min()),
-        int((last // height).max()) + 1, int(np.where(tall, height - 1, last % height).max()) + 1)
-
-
-@pandas_udf(StructType([StructField(name, LongType()) for name in ("area", "left", "top", "right", "bottom")]))
-def rle_stats(runs: pd.Series, height: pd.Series, width: pd.Series) -> pd.DataFrame:
+@arrow_udf(StructType([StructField(name, LongType()) for name in ("area", "left", "top", "right", "bottom")]))
+def rle_stats(runs: pa.Array, height: pa.Array, width: pa.Array) -> pa.Array:
     """Foreground area and bounding box of column-major run lengths; NULL when they fall short."""
-    rows = [_ink(r, h, w) or (None,) * 5 for r, h, w in zip(runs, height, width)]
-    return pd.DataFrame(rows, columns=["area", "left", "top", "right", "bottom"]).astype("Int64")
+    n = len(runs)
+    h, w = (pc.fill_null(c, 0).cast(pa.int64()).to_numpy(zero_copy_only=False) for c in (height, width))
+    size = pc.fill_null(pc.list_value_length(runs), 0).to_numpy(zero_copy_only=False)
+    owner, begin = np.repeat(np.arange(n), size), np.cumsum(size) - size
+    values = runs.flatten()
+    length = pc.fill_null(values, -1).cast(pa.int64()).to_numpy(zero_copy_only=False)
+    total = np.where((h > 0) & (w > 0), h * w, 0)
+    # A run beyond the end of its mask counts as one that reaches it, so sums stay small.
+    sums = np.r_[0, np.cumsum(np.clip(length, 0, total[owner]))]
+    ends = np.minimum(sums[1:] - sums[begin][owner], total[owner])
+    starts = np.minimum(sums[:-1] - sums[begin][owner], total[owner])
+    whole = (total > 0) & (sums[begin + size] - sums[begin] >= total) & (np.bincount(owner, weights=length < 0, minlength=n) == 0)
+    ink = ((np.arange(len(owner)) - begin[owner]) % 2 == 1) & (ends > starts) & whole[owner]
+    of, first, last = owner[ink], starts[ink], ends[ink] - 1
+    high = h[of]
+    tall = first // high != last // high
+    area, low, far = np.zeros(n, np.int64), np.full((2, n), np.iinfo(np.int64).max), np.zeros((2, n), np.int64)
+    np.add.at(area, of, last - first + 1)
+    for i, (least, most) in enumerate(((first // high, last // high), (np.where(tall, 0, first % high), np.where(tall, high - 1, last % high)))):
+        np.minimum.at(low[i], of, least)
+        np.maximum.at(far[i], of, most + 1)
+    bare = ~whole | (area == 0)
+    return pa.StructArray.from_arrays(
+        [pa.array(area, mask=~whole), *[pa.array(c, mask=bare) for c in (*low, *far)]], ["area", "left", "top", "right", "bottom"])
 
 
 def _runs_of(text: str | None):

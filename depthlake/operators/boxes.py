@@ -50,7 +50,7 @@ def overlapping_boxes(left: DataFrame, right: DataFrame, photo: str = "photo", *
         return wide.withColumn("__cx", F.explode(span("left", "right"))).withColumn("__cy", F.explode(span("top", "bottom")))
 
     rhs = right.select(*[F.col(c).alias(c if c == photo else f"o_{c}") for c in right.columns])
-    joined = cells(left, "").join(cells(rhs, "o_"), [photo, "__cx", "__cy"])
+    joined = cells(left, "").join(cells(rhs, "o_").hint("merge"), [photo, "__cx", "__cy"])
     first = (F.col("__cx") == F.floor(F.greatest("left", "o_left") / cell)) & (F.col("__cy") == F.floor(F.greatest("top", "o_top") / cell))
     return joined.filter(first & (G.shared_area(box(), box("o_")) > 0)).drop("__cx", "__cy")
 

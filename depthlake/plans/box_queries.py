@@ -100,8 +100,10 @@ def iou(t: Tables) -> DataFrame:
 SELECT photo, det, CAST(2 * greatest(0, least("right", 150) - greatest("left", 60)) * greatest(0, least(bottom, 200) - greatest(top, 50)) AS BIGINT) AS twice_area
 FROM detections WHERE least("right", 150) > greatest("left", 60) AND least(bottom, 200) > greatest(top, 50)""")
 def clip(t: Tables) -> DataFrame:
-    cut = G.clip_polygon(G.rectangle(*B.box()), F.lit(60), F.lit(50), F.lit(150), F.lit(200))
-    return t.detections().select("photo", "det", F.abs(G.twice_area(cut)).cast("bigint").alias("twice_area")).filter("twice_area > 0")
+    cut = G.clipped(G.rectangle(*B.box()), F.lit(60), F.lit(50), F.lit(150), F.lit(200))
+    twice = t.detections().select("photo", "det", F.abs(cut["twice_area"]).cast("bigint").alias("twice_area"))
+    # An array keeps the condition above the function, which would run once more for a filter below it.
+    return twice.select("photo", "det", F.explode(F.when(F.col("twice_area") > 0, F.array("twice_area"))).alias("twice_area"))
 
 
 LANES = "lanes(col, l, r) AS (VALUES (0, 0, 90), (1, 90, 180), (2, 180, 400))"
