@@ -163,13 +163,13 @@ def min_span(t: Tables) -> DataFrame:
 SELECT photo, det, ("right" - "left") * (bottom - top) AS area, "left", top, "right", bottom FROM detections""")
 def rle(t: Tables) -> DataFrame:
     """Rectangles written as column-major run lengths, decoded back."""
-    h, w = F.lit(400), F.lit(400)
+    h, w = F.lit(400).cast("bigint"), F.lit(400).cast("bigint")
     size = F.col("bottom") - F.col("top")
     first = F.col("left") * h + F.col("top")
-    middle = F.flatten(F.transform(F.sequence(F.lit(1), (F.col("right") - F.col("left") - 1).cast("int")), lambda i: F.array(h - size, size)))
+    middle = F.flatten(F.array_repeat(F.array(h - size, size), (F.col("right") - F.col("left") - 1).cast("int")))
     rest = h * w - first - (F.col("right") - F.col("left") - 1) * h - size
-    runs = F.transform(F.concat(F.array(first, size), middle, F.array(rest)), lambda v: v.cast("bigint"))
-    s = G.rle_stats(runs, h.cast("bigint"), w.cast("bigint"))
+    runs = F.concat(F.array(first, size), middle, F.array(rest)).cast("array<bigint>")
+    s = G.rle_stats(runs, h, w)
     return t.detections().select("photo", "det", s["area"].alias("area"), *[s[c].alias(c) for c in B.BOX])
 
 
