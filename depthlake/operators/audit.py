@@ -37,7 +37,7 @@ def mask_gaps(rows: DataFrame, masks: DataFrame, row_id: Sequence[str]) -> DataF
         masks.filter(F.col("source_base_cm") > F.col("source_top_cm")).join(hosts, row_id)
         .select(*row_id, project("mask_top_cm").alias("top_cm"), project("mask_base_cm").alias("base_cm"))
     )
-    return iv.key_gaps(hosts, spans, row_id)
+    return iv.key_gaps(hosts, spans, row_id, hosted=True)
 
 
 def permille(part, whole):

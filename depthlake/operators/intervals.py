@@ -155,15 +155,18 @@ def key_gaps(
     host_bounds: tuple[str, str] = ("host_top_cm", "host_base_cm"),
     span_bounds: tuple[str, str] = ("top_cm", "base_cm"),
     out: tuple[str, str] = ("gap_top_cm", "gap_base_cm"),
-    width: int = BLOCK_CM,
+    width: int = BLOCK_CM, hosted: bool = False,
 ) -> DataFrame:
-    """Ground between the least host top and the greatest host base not under any span."""
+    """Ground between the least host top and the greatest host base not under any span.
+
+    ``hosted`` says that every span has a host already, so none is looked for.
+    """
     keys = list(keys)
     ht, hb = host_bounds
     st, sb = span_bounds
     extent = hosts.groupBy(*keys).agg(F.min(ht).alias("__lo"), F.max(hb).alias("__hi"))
     edges = extent.select(*keys, F.explode(F.array("__lo", "__hi")).alias(st)).withColumn(sb, F.col(st))
-    inside = spans.join(extent, keys, "left_semi").filter(F.col(sb) > F.col(st))
+    inside = (spans if hosted else spans.join(extent, keys, "left_semi")).filter(F.col(sb) > F.col(st))
     marks = (
         inside.select(*keys, st, sb).unionByName(edges)
         .groupBy(*keys, st).agg(F.max(sb).alias(sb))
@@ -452,7 +455,11 @@ def tie_in(
 
 
 def scaled_cm(value: Column, src_top: Column, src_base: Column, dst_top: Column, dst_base: Column) -> Column:
-    """Linear map between two spans, rounded half-up to whole centimetres (exact decimal)."""
-    num = ((value - src_top) * (dst_base - dst_top)).cast("decimal(20,0)")
-    den = (src_base - src_top).cast("decimal(18,0)")
-    return (dst_top + F.round(num / den, 0)).cast("bigint")
+    """Linear map between two spans, rounded half-up to whole centimetres (exact, in whole numbers).
+
+    The remainder tells on which side of a half the quotient lies, so nothing is divided as a decimal.
+    """
+    num, den = (value - src_top) * (dst_base - dst_top), src_base - src_top
+    whole, rest = F.call_function("div", num, den), F.abs(num % den)
+    up = F.when(rest >= F.abs(den) - rest, F.when((num < 0) == (den < 0), 1).otherwise(-1)).otherwise(0)
+    return (dst_top + whole + up).cast("bigint")
