@@ -74,7 +74,7 @@ def overlap_join(
             left_bounds=left_bounds, right_bounds=right_bounds, bin_cm=bin_cm,
         ).select(*keys, lt, lb).distinct()
         cond = _eq([*keys, lt, lb])
-        return left.alias("l").join(hits.alias("r"), cond, how)
+        return left.alias("l").join(hits.alias("r").hint("merge"), cond, how)
     lhs = _binned(left, lt, lb, bin_cm, "__l")
     rhs = _binned(right, rt, rb, bin_cm, "__r")
     on = [*keys, "__bin"]
@@ -84,7 +84,7 @@ def overlap_join(
         on = [*on, "__salt"]
     lo, hi, hit = overlap_bounds(lt, lb, rt, rb)
     joined = (
-        lhs.join(rhs, on)
+        lhs.join(rhs.hint("merge"), on)
         .filter(hit & (F.col("__bin") == F.greatest("__l_first", "__r_first")))
         .withColumn(out[0], lo).withColumn(out[1], hi)
     )
