@@ -53,6 +53,7 @@ def inherit_only_well(photos: DataFrame, layers: DataFrame, *, well: str = "well
 
 
 GRAM = 3
+NAME_GRAM = 8  # of names, which are short: a key of a well is then nearly always a gram of its own
 FEW_KEYS = 200_000  # keys up to which one row a key is sent to every task; more of them are shuffled
 
 
@@ -61,47 +62,61 @@ def _digest(c: Column) -> Column:
     return F.unhex(F.sha2(c, 256))
 
 
-def contained_keys(texts: DataFrame, keys: DataFrame, *, ident: str, text: str = "text", key: str = "key") -> DataFrame:
+def contained_keys(texts: DataFrame, keys: DataFrame, *, ident: str, text: str = "text", key: str = "key", gram: int = GRAM) -> DataFrame:
     """(ident, key): every known key that a text contains.
 
-    A key is looked up by one of its 3-grams, the one that the fewest texts have; a text offers its
-    distinct 3-grams, and only then is the whole key looked for in it.  Work grows with the length
-    of a text, not with its square, and no text meets all keys.  Keys of one or two characters are
-    their own grams; a key with a gram that no text has is in none.  Rows of grams carry a digest of
-    their key, never a text, and Spark's size check does not see how many rows an explode makes, so
-    the joins of grams say themselves which side is small.
+    A key of up to ``gram`` characters is looked up by equality among the pieces of its length that a
+    text offers, so only what is contained is ever joined.  A longer key is looked up by the one of its
+    grams that the fewest texts have, and only then is the whole key looked for in the text.  Work grows
+    with the length of a text (times ``gram`` at most), not with its square, and no text meets all keys;
+    but texts that share few grams, like numbers, meet many long keys, so a larger ``gram`` suits them.
+    Rows of grams carry a digest of their key, never a text, and Spark's size check does not see how
+    many rows an explode makes, so the joins of grams say themselves which side is small.
     """
     asked_texts = texts.select(ident, F.col(text).alias("__text"))
     longest = asked_texts.agg(F.max(F.length("__text"))).scalar()
-    known = keys.select(F.col(key).alias("__key")).filter((F.col("__key") != "") & (F.length("__key") <= longest)).distinct().withColumn("__kid", _digest(F.col("__key")))
-    short = known.filter(F.length("__key") < GRAM).select(F.collect_set(F.length("__key"))).scalar()
+    known = keys.select(F.col(key).alias("__key")).filter((F.col("__key") != "") & (F.length("__key") <= longest)).distinct()
+    whole = known.filter(F.length("__key") <= gram)
+    long = known.filter(F.length("__key") > gram).withColumn("__kid", _digest(F.col("__key")))
+    sizes = whole.select(F.collect_set(F.length("__key"))).scalar()
     cuts = lambda c, n: F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))  # all overlapping cuts in one pass
-    asked_for = lambda n: F.when(F.array_contains("__short", n), cuts(F.col("__text"), n))
-    grams = F.array_distinct(F.flatten(F.array_compact(F.array(cuts(F.col("__text"), GRAM), *[asked_for(n) for n in range(1, GRAM)]))))
-    offered = asked_texts.select(ident, "__text", F.coalesce(short, F.array().cast("array<int>")).alias("__short")).select(ident, F.explode(grams).alias("__gram"))
+    few = known.limit(FEW_KEYS + 1).count() <= FEW_KEYS
+    near = lambda df: F.broadcast(df) if few else df.hint("merge")
+
+    asked_for = lambda n: F.when(F.array_contains("__sizes", n), cuts(F.col("__text"), n))
+    pieces = F.array_distinct(F.flatten(F.array_compact(F.array(*[asked_for(n) for n in range(1, gram + 1)]))))
+    cut = asked_texts.withColumn("__sizes", F.coalesce(sizes, F.array().cast("array<int>"))).select(ident, F.explode(pieces).alias("__key"))
+    held = cut.join(near(whole), "__key").select(ident, F.col("__key").alias(key)).distinct()
+
+    offered = asked_texts.filter(F.length("__text") > gram).select(ident, F.explode(F.array_distinct(cuts(F.col("__text"), gram))).alias("__gram"))
+    own = long.select("__kid", F.explode(F.array_distinct(cuts(F.col("__key"), gram))).alias("__gram"))
     common = offered.groupBy("__gram").agg(F.count(F.lit(1)).alias("__texts"))
-    own = known.select("__kid", F.explode(F.when(F.length("__key") < GRAM, F.array("__key")).otherwise(F.array_distinct(cuts(F.col("__key"), GRAM)))).alias("__gram"))
     anchors = own.join(common, "__gram", "left").groupBy("__kid").agg(
         F.min_by("__gram", F.struct("__texts", "__gram")).alias("__gram"), F.bool_and(F.col("__texts").isNotNull()).alias("__met")).filter("__met").drop("__met")
-    few = known.limit(FEW_KEYS + 1).count() <= FEW_KEYS
-    asked = offered.join(F.broadcast(anchors) if few else anchors.hint("merge"), "__gram").select(ident, "__kid").distinct()
-    pairs = asked.join(known, "__kid").select(ident, "__key")
-    return pairs.join(asked_texts.hint("merge"), ident).filter(F.contains("__text", F.col("__key"))).select(ident, F.col("__key").alias(key)).distinct()
+    asked = offered.join(near(anchors), "__gram").select(ident, "__kid").distinct()
+    pairs = asked.join(long, "__kid").select(ident, "__key")
+    found = pairs.join(asked_texts.hint("merge"), ident).filter(F.contains("__text", F.col("__key"))).select(ident, F.col("__key").alias(key)).distinct()
+    return held.unionByName(found)
 
 
-def longest_key(texts: DataFrame, keys: DataFrame, *, ident: str, text: str = "text", key: str = "key") -> DataFrame:
+def longest_key(texts: DataFrame, keys: DataFrame, *, ident: str, text: str = "text", key: str = "key", gram: int = GRAM) -> DataFrame:
     """Longest known key contained in a text."""
-    hits = contained_keys(texts, keys, ident=ident, text=text, key=key)
+    hits = contained_keys(texts, keys, ident=ident, text=text, key=key, gram=gram)
     return hits.groupBy(ident).agg(F.max_by(key, F.struct(F.length(key), F.col(key))).alias(key))
 
 
 def resolve_wells(photos: DataFrame, wells: DataFrame, *, photo: str = "photo", well: str = "well", text: str = "text", key: str = "key") -> DataFrame:
-    """``photos`` with ``well`` resolved: the only known key for all, else the longest key in the photo's text, else as it was."""
+    """``photos`` with ``well`` resolved: the only known key for all, else the longest key in the photo's text, else as it was.
+
+    Photos of a well share their text, so each distinct text is looked up once and joined back.
+    """
     known = wells.select(key).filter(F.col(key) != "").distinct()
     span = known.agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
     only = span.select(F.when(F.col("lo") == F.col("hi"), F.col("lo"))).scalar()
-    found = longest_key(photos.select(photo, text), known, ident=photo, text=text, key=key).withColumnRenamed(key, "__found")
-    return photos.join(found.hint("merge"), photo, "left").withColumn(well, F.coalesce(only, F.col("__found"), F.col(well))).drop("__found")
+    asked = photos.select(F.col(text).alias("__asked")).distinct()
+    found = longest_key(asked, known, ident="__asked", text="__asked", key=key, gram=NAME_GRAM).withColumnRenamed(key, "__found")
+    joined = photos.join(found.hint("merge"), F.col(text) == F.col("__asked"), "left")
+    return joined.withColumn(well, F.coalesce(only, F.col("__found"), F.col(well))).drop("__found", "__asked")
 
 
 def unique_or_null(candidates: DataFrame, keys: Sequence[str], score: str, answer: str) -> DataFrame:

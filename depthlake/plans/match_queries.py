@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from depthlake.functions import text as T
 from depthlake.operators import boxes as B, calibrate as K, joins as J, intervals as iv
 from depthlake.operators.scan import numbered
-from depthlake.session import ensure_checkpoint_dir
+from depthlake.session import settled, unsettle
 from depthlake.plans.proxies import Tables
 from depthlake.plans.registry import query
 
@@ -550,17 +550,19 @@ INFERRED = ("photo", "well", "top_cm", "base_cm", "source", "confirmed")
 
 def staged(photos: DataFrame, rows: DataFrame, upto: int) -> tuple[DataFrame, DataFrame]:
     """The input after the first ``upto`` stages, each as a table of its own."""
-    ensure_checkpoint_dir(photos.sparkSession)
-    rows = rows.checkpoint()
+    rows = settled(rows)
     steps = [lambda p: J.resolve_wells(p, rows.select(F.col("well").alias("key"))), lambda p: K.drop_foreign_ranges(p, rows), lambda p: K.sequence_whole_wells(p, rows), lambda p: K.share_captions(p, rows)]
+    photos = settled(photos)
     for step in steps[:upto]:
-        photos = step(photos.checkpoint())
-    return photos.checkpoint(), rows
+        before, photos = photos, settled(step(photos))
+        unsettle(before)
+    return photos, rows
 
 
 @query("P9_resolved_wells", _told("s1"))
 def stage_wells(t: Tables) -> DataFrame:
     photos, rows = inferred(t)
+    rows = settled(rows)
     return J.resolve_wells(photos, rows.select(F.col("well").alias("key"))).select(*INFERRED)
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", partitions: str = "8", app: str = "depthlake") -> SparkSession:
@@ -37,3 +38,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     sc.setCheckpointDir(folder)
     return folder
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` as a table of its own in the checkpoint folder: like ``checkpoint()``, but in compressed columns."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def unsettle(df: DataFrame) -> None:
+    """Delete the table of a ``settled`` frame that nothing reads any more."""
+    for file in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
