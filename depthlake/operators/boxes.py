@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from depthlake.functions import geometry as G
 from depthlake.operators.intervals import segment_winners
-from depthlake.session import ensure_checkpoint_dir
+from depthlake.session import settled
 
 BOX = ("left", "top", "right", "bottom")
 
@@ -55,27 +55,31 @@ def overlapping_boxes(left: DataFrame, right: DataFrame, photo: str = "photo", *
     return joined.filter(first & (G.shared_area(box(), box("o_")) > 0)).drop("__cx", "__cy")
 
 
-def greedy_keep(nodes: DataFrame, beats: DataFrame, ids: Sequence[str]) -> DataFrame:
-    """Accept nodes best first, each unless an accepted better one beats it.
+def greedy_losers(beats: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """The nodes that lose when nodes are accepted best first, each unless an accepted better one beats it.
 
-    ``beats`` holds (ids, w_ids): the better node ``w`` conflicts with the node.  A round
-    accepts every node whose better rivals are all gone; the number of rounds is the longest
-    chain of conflicts.
+    ``beats`` holds (ids, w_ids): the better node ``w`` conflicts with the node.  Nodes that none beats
+    are accepted from the start and take no part, so a round costs what its conflicts cost.  It accepts
+    every node whose better rivals are all gone; the number of rounds is the longest chain of conflicts.
     """
     ids = list(ids)
     win = [f"w_{c}" for c in ids]
-    ensure_checkpoint_dir(nodes.sparkSession)
-    beats = beats.select(*ids, *win).checkpoint()
-    left = nodes.select(*ids).checkpoint()
-    kept = left.limit(0)
     as_win = lambda df: df.select(*[F.col(c).alias(f"w_{c}") for c in ids])
+    beats = beats.select(*ids, *win)
+    left = settled(beats.select(*ids).distinct())
+    gone = lost = settled(beats.join(as_win(left), win, "left_anti").select(*ids).distinct())
     while not left.isEmpty():
-        alive = beats.join(left, ids, "left_semi").join(as_win(left), win, "left_semi")
-        won = left.join(alive.select(*ids).distinct(), ids, "left_anti").checkpoint()
-        lost = alive.join(as_win(won), win, "left_semi").select(*ids).distinct()
-        kept = kept.unionByName(won)
-        left = left.join(won, ids, "left_anti").join(lost, ids, "left_anti").checkpoint()
-    return kept
+        left = left.join(lost, ids, "left_anti")
+        beats = settled(beats.join(left, ids, "left_semi").join(as_win(left), win, "left_semi"))
+        losing = settled(beats.select(*ids).distinct())
+        lost = settled(beats.join(as_win(losing), win, "left_anti").select(*ids).distinct())
+        gone, left = gone.unionByName(lost), losing
+    return gone
+
+
+def without(df: DataFrame, gone: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """``df`` without the rows of ``gone`` and without rows that lack an id."""
+    return df.dropna(subset=list(ids)).join(gone, list(ids), "left_anti")
 
 
 def suppress_overlaps(
@@ -90,17 +94,16 @@ def suppress_overlaps(
     pairs = overlapping_boxes(slim, slim, photo)
     better = F.struct((-F.col(f"o_{confidence}")).alias("c"), F.col(f"o_{ident}").alias("i")) < F.struct((-F.col(confidence)).alias("c"), F.col(ident).alias("i"))
     big = G.shared_area(box(), box("o_")) >= F.least(G.box_area(box()), G.box_area(box("o_"))) * share
-    beats = pairs.filter(better & big).select(
+    beats = settled(pairs.filter(better & big).select(
         photo, ident, F.col(photo).alias(f"w_{photo}"), F.col(f"o_{ident}").alias(f"w_{ident}"), confidence, label,
-        F.col(f"o_{label}").alias("w_label"), F.col(f"o_{confidence}").alias("w_conf"))
-    kept = greedy_keep(df.filter(G.box_area(box()) > 0), beats, [photo, ident])
-    winners = kept.select(F.col(photo).alias(f"w_{photo}"), F.col(ident).alias(f"w_{ident}"))
-    lost = beats.join(winners, [f"w_{photo}", f"w_{ident}"], "left_semi")
+        F.col(f"o_{label}").alias("w_label"), F.col(f"o_{confidence}").alias("w_conf")))
+    gone = greedy_losers(beats, [photo, ident])
+    lost = beats.join(gone.select(F.col(photo).alias(f"w_{photo}"), F.col(ident).alias(f"w_{ident}")), [f"w_{photo}", f"w_{ident}"], "left_anti")
     first = lost.groupBy(photo, ident, confidence, label).agg(
         F.min(F.struct((-F.col("w_conf")).alias("c"), F.col(f"w_{ident}").alias("i"), F.col("w_label").alias("l"))).alias("__f"))
     alternatives = first.filter(F.col("__f.l") != F.col(label)).groupBy(photo, F.col("__f.i").alias(ident), F.col(label).alias("alternative")).agg(
         F.max(confidence).alias("alternative_conf"))
-    return df.join(kept, [photo, ident], "left_semi"), alternatives
+    return without(df.filter(G.box_area(box()) > 0), gone, [photo, ident]), alternatives
 
 
 def best_column(boxes: DataFrame, columns: DataFrame, ident: str, column: str, *, photo: str = "photo", least: float = 0.55) -> DataFrame:
@@ -289,7 +292,7 @@ def drop_same_boxes(df: DataFrame, ident: str, *, photo: str = "photo", least: f
     rank = lambda p: F.struct(F.col(f"{p}left").alias("a"), F.col(f"{p}top").alias("b"), (F.col(f"{p}top") - F.col(f"{p}bottom")).alias("c"), F.col(f"{p}{ident}").alias("d"))
     beats = pairs.filter((rank("o_") < rank("")) & (G.iou(box(), box("o_")) >= least)).select(
         photo, ident, F.col(photo).alias(f"w_{photo}"), F.col(f"o_{ident}").alias(f"w_{ident}"))
-    return df.join(greedy_keep(slim, beats, [photo, ident]), [photo, ident], "left_semi")
+    return without(df, greedy_losers(settled(beats), [photo, ident]), [photo, ident])
 
 
 def column_traversal(columns: DataFrame, marks: DataFrame, *, photo: str = "photo") -> DataFrame:
