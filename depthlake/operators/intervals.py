@@ -12,10 +12,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from depthlake.operators.scan import BLOCK, BLOCK_CM, chains, running, with_block
+from depthlake.operators.scan import BLOCK, BLOCK_CM, running, with_block
 
 BIN_CM = 1024
 CUT_CM = 256  # width of the blocks in which segments look up their spans
+WIDE_CM = 16 * CUT_CM  # width of the blocks that winners are found in; their edges are stitched
 SENTINEL = 1 << 60
 
 
@@ -229,18 +230,6 @@ def _cut(value: Column) -> Column:
     return F.floor(value / F.lit(CUT_CM)).cast("bigint")
 
 
-def elementary_segments(
-    df: DataFrame, keys: Sequence[str], *, top: str = "top_cm", base: str = "base_cm",
-    width: int = BLOCK_CM,
-) -> DataFrame:
-    """Consecutive pieces between all distinct boundaries of a key."""
-    keys = list(keys)
-    marks = df.select(*keys, F.explode(F.array(top, base)).alias("seg_top")).distinct()
-    marks = marks.withColumn("__at", F.col("seg_top"))
-    nxt = running(marks, keys, ["seg_top"], {"seg_base": ("last", "__at")}, width=width, reverse=True, nulls=False)
-    return nxt.filter(F.col("seg_base").isNotNull()).drop("__at")
-
-
 def segment_winners(
     spans: DataFrame, segments: DataFrame, keys: Sequence[str], rank: Sequence[Column],
     payload: Sequence[str], *, top: str = "top_cm", base: str = "base_cm",
@@ -270,19 +259,61 @@ def segment_winners(
     return won.select(*keys, "seg_top", "seg_base", *[F.col("__best")[c].alias(c) for c in payload])
 
 
-def merge_runs(
-    segments: DataFrame, keys: Sequence[str], same: Sequence[str], *,
-    top: str = "seg_top", base: str = "seg_base", aggs: Mapping[str, tuple[str, str]] | None = None,
-    width: int = BLOCK_CM,
-) -> DataFrame:
-    """Merge touching segments whose ``same`` columns agree; inputs must be disjoint."""
-    def linked(prev, cur):
-        ok = prev[base] == cur[top]
-        for c in same:
-            ok = ok & prev[c].eqNullSafe(cur[c])
-        return ok
+def _touching(before: Sequence[str], same: Sequence[str]) -> Column:
+    """1 where a run begins: its ground does not touch that of the row before, or has another winner."""
+    over = W.partitionBy(*before).orderBy("seg_top")
+    alike = F.lag("seg_base").over(over) == F.col("seg_top")
+    for c in same:
+        alike = alike & F.lag(c).over(over).eqNullSafe(F.col(c))
+    return F.when(F.coalesce(alike, F.lit(False)), 0).otherwise(1)
 
-    return chains(segments, keys, [top], linked, {top: ("min", top), base: ("max", base), **(aggs or {})}, keep=same, width=width, nulls=False)
+
+def _runs(segments: DataFrame, keys: Sequence[str], same: Sequence[str], aggs: Mapping[str, Column]) -> DataFrame:
+    over = W.partitionBy(*keys).orderBy("seg_top").rowsBetween(W.unboundedPreceding, 0)
+    marked = segments.withColumn("__new", _touching(keys, same)).withColumn("__run", F.sum("__new").over(over))
+    found = marked.groupBy(*keys, "__run", *same).agg(F.min("seg_top").alias("seg_top"), F.max("seg_base").alias("seg_base"), *[c.alias(n) for n, c in aggs.items()])
+    return found.drop("__run")
+
+
+def winning_runs(
+    spans: DataFrame, keys: Sequence[str], best: Column, shown: Mapping[str, Column], same: Sequence[str], *,
+    top: str, base: str, blank: Column | None = None, aggs: Mapping[str, Column] | None = None,
+) -> DataFrame:
+    """Longest runs of ground whose best covering span agrees in ``same``: keys, same, aggs, seg_top, seg_base.
+
+    Spans are cut at blocks of ``WIDE_CM`` and reduced to the greatest ``best`` per cut range, so copies
+    vanish map-side, and then meet in their block, where everything is found without another shuffle:
+    ranges per ``CUT_CM`` as one array, the pieces between their ends, the best range over each, and
+    the runs.  Only runs that reach the edge of a block are shuffled once more, to be stitched.
+    ``shown`` makes columns from the winner ``__best``.  Rows where ``blank`` holds are hosts, one per
+    key: all else is clipped to them, and their ground without a span has a NULL winner.
+    """
+    keys, aggs, hosted = list(keys), dict(aggs or {}), blank is not None
+    blank = blank if hosted else F.lit(False)
+    block = [*keys, "__wide"]
+    at = lambda c, n: F.floor(c / F.lit(n)).cast("bigint")
+    clip = lambda n, c: (F.greatest(F.col("__a"), F.col(c) * n).alias("__a"), F.least(F.col("__z"), (F.col(c) + 1) * n).alias("__z"))
+    wide = spans.filter(F.col(base) > F.col(top)).dropna(subset=keys).select(
+        *keys, F.col(top).cast("bigint").alias("__a"), F.col(base).cast("bigint").alias("__z"), F.when(~F.coalesce(blank, F.lit(False)), best).alias("__best"), blank.alias("__blank"),
+        F.explode(F.sequence(at(F.col(top), WIDE_CM), at(F.col(base) - 1, WIDE_CM))).alias("__wide"))
+    whole = wide.select(*block, *clip(WIDE_CM, "__wide"), "__best", "__blank").groupBy(*block, "__a", "__z").agg(
+        F.max("__best").alias("__best"), F.bool_or("__blank").alias("__blank")).repartition(*block)
+    over = W.partitionBy(*block)
+    ends = whole.withColumns({"__from": F.min(F.when(F.col("__blank"), F.col("__a"))).over(over), "__to": F.max(F.when(F.col("__blank"), F.col("__z"))).over(over)})
+    whole = ends.select(*block, F.greatest("__a", "__from").alias("__a"), F.least("__z", "__to").alias("__z"), "__best").filter("__from IS NOT NULL AND __z > __a") if hosted else whole
+    cuts = whole.select(*block, "__a", "__z", "__best", F.explode(F.sequence(at(F.col("__a"), CUT_CM), at(F.col("__z") - 1, CUT_CM))).alias("__cut"))
+    ranges = cuts.select(*block, "__cut", *clip(CUT_CM, "__cut"), "__best").groupBy(*block, "__cut", "__a", "__z").agg(F.max("__best").alias("__best"))
+    arrays = ranges.groupBy(*block, "__cut").agg(
+        F.collect_list(F.struct("__a", "__z", "__best")).alias("__ranges"), F.sort_array(F.array_union(F.collect_set("__a"), F.collect_set("__z"))).alias("__marks"))
+    ends = F.transform(F.slice("__marks", F.lit(2), F.size("__marks") - 1), lambda z, i: F.struct(F.get("__marks", i).alias("seg_top"), z.alias("seg_base")))
+    pieces = arrays.select(*block, "__ranges", F.inline(ends))
+    held = F.filter("__ranges", lambda r: (r["__a"] <= F.col("seg_top")) & (r["__z"] >= F.col("seg_base")))
+    won = pieces.select(*block, "seg_top", "seg_base", F.array_max(F.transform(held, lambda r: r["__best"])).alias("__best"))
+    won = won if hosted else won.filter("__best IS NOT NULL")
+    runs = _runs(won.select(*block, "seg_top", "seg_base", *[c.alias(n) for n, c in shown.items()]), block, same, aggs)
+    edge = (F.col("seg_top") == F.col("__wide") * WIDE_CM) | (F.col("seg_base") == (F.col("__wide") + 1) * WIDE_CM)
+    stitched = _runs(runs.filter(edge).drop("__wide"), keys, same, aggs)
+    return runs.filter(~edge).drop("__wide").unionByName(stitched)
 
 
 def resolve_overlaps(
@@ -290,11 +321,10 @@ def resolve_overlaps(
     payload: Sequence[str] = (), top: str = "top_cm", base: str = "base_cm",
 ) -> DataFrame:
     """Give each centimetre to its best-ranked interval and merge equal neighbours."""
-    segments = elementary_segments(df.filter(F.col(base) > F.col(top)), keys, top=top, base=base)
-    won = segment_winners(df, segments, keys, rank, [ident, *payload], top=top, base=base)
-    won = won.filter(F.col(ident).isNotNull())
-    merged = merge_runs(won, keys, [ident, *payload])
-    return merged.withColumnsRenamed({"seg_top": top, "seg_base": base})
+    same = list(dict.fromkeys([ident, *payload]))
+    named = [c.alias(f"__r{i}") for i, c in enumerate(rank)]
+    won = winning_runs(df, keys, F.struct(*named, *same), {c: F.col("__best")[c] for c in same}, same, top=top, base=base)
+    return won.filter(F.col(ident).isNotNull()).select(*keys, *same, F.col("seg_top").alias(top), F.col("seg_base").alias(base))
 
 
 def partition_hosts(
@@ -309,25 +339,17 @@ def partition_hosts(
     equal identity merge and keep the least confidence.
     """
     keys = list(keys)
-    ht, hb = host_bounds
-    clipped = (
-        candidates.join(hosts.select(*keys, ht, hb), keys)
-        .withColumn(top, F.greatest(top, ht)).withColumn(base, F.least(base, hb))
-        .filter(F.col(base) > F.col(top))
-    )
-    frame = clipped.select(*keys, top, base).unionByName(
-        hosts.select(*keys, F.col(ht).alias(top), F.col(hb).alias(base)))
-    segments = elementary_segments(frame, keys, top=top, base=base)
     payload = list(dict.fromkeys([label, confidence, *identity]))
-    won = segment_winners(clipped.withColumn("__hit", F.lit(True)), segments, keys, rank,
-                          [*payload, "__hit"], top=top, base=base)
-    filled = won.withColumn("gap_filled", F.col("__hit").isNull()).withColumn(
-        label, F.when(F.col("gap_filled"), F.lit(gap_label)).otherwise(F.col(label))
-    ).withColumn(confidence, F.when(F.col("gap_filled"), F.lit(0)).otherwise(F.col(confidence)))
-    same = list(dict.fromkeys([label, *identity, "gap_filled"]))
-    same.remove(confidence) if confidence in same else None
-    merged = merge_runs(filled, keys, same, aggs={confidence: ("min", confidence)})
-    return merged.withColumnsRenamed({"seg_top": top, "seg_base": base})
+    ranked = F.struct(*[c.alias(f"__r{i}") for i, c in enumerate(rank)], *payload)
+    spans = candidates.select(*keys, top, base, ranked.alias("__ranked"), F.lit(None).cast("boolean").alias("__host")).unionByName(
+        hosts.select(*keys, F.col(host_bounds[0]).alias(top), F.col(host_bounds[1]).alias(base), F.lit(True).alias("__host")), allowMissingColumns=True)
+    gap = F.col("__best").isNull()
+    shown = {c: F.col("__best")[c] for c in payload} | {
+        "gap_filled": gap, label: F.when(gap, F.lit(gap_label)).otherwise(F.col("__best")[label]),
+        confidence: F.when(gap, F.lit(0)).otherwise(F.col("__best")[confidence])}
+    same = [c for c in dict.fromkeys([label, *identity, "gap_filled"]) if c != confidence]
+    won = winning_runs(spans, keys, F.col("__ranked"), shown, same, top=top, base=base, blank=F.col("__host"), aggs={confidence: F.min(confidence)})
+    return won.withColumnsRenamed({"seg_top": top, "seg_base": base})
 
 
 def coalesce_adjacent(
