@@ -12,7 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from depthlake.functions import geometry as G
-from depthlake.operators.intervals import segment_winners
 from depthlake.session import settled
 
 BOX = ("left", "top", "right", "bottom")
@@ -324,18 +323,19 @@ def column_candidates(
     columns: DataFrame, detections: DataFrame, *, photo: str = "photo", column: str = "column", order: str = "det", label: str = "label",
     least_share: float = 0.15, least_height: float = 0.25,
 ) -> DataFrame:
-    """Detections that may own ground of a core column, cut to it, with the ``share`` of the narrower width they meet it on.
+    """Core columns (box as ``c_left``, ...) with every detection that may own ground of them, cut to the column; or with NULLs.
 
-    A detection needs a label, more than ``least_height`` pixels inside the column and a share of
-    ``least_share``.  ``place`` numbers the detections of a photo in the given order.
+    A detection needs a label, more than ``least_height`` pixels inside the column and a ``share`` of
+    ``least_share`` of the narrower width, which it meets the column on; ``owns`` is true then.
+    ``place`` numbers the detections of a photo in the given order.
     """
     named = detections.filter(F.trim(F.coalesce(label, F.lit(""))) != "").withColumn("place", F.row_number().over(W.partitionBy(photo).orderBy(order)))
     sound = columns.filter((F.col("right") > F.col("left")) & (F.col("bottom") > F.col("top"))).select(photo, column, *[F.col(c).alias(f"c_{c}") for c in BOX])
     met = F.least("right", "c_right") - F.greatest("left", "c_left")
     width = F.least(F.col("right") - F.col("left"), F.col("c_right") - F.col("c_left"))
-    cut = named.join(sound, photo).withColumn("share", met / F.greatest(F.lit(1.0), width)).withColumns(
+    cut = sound.join(named.hint("merge"), photo, "left").withColumn("share", met / F.greatest(F.lit(1.0), width)).withColumns(
         {"cut_top": F.greatest("top", "c_top"), "cut_bottom": F.least("bottom", "c_bottom")})
-    return cut.filter((met > 0) & (F.col("cut_bottom") - F.col("cut_top") > least_height) & (F.col("share") >= least_share))
+    return cut.withColumn("owns", F.col("place").isNotNull() & (met > 0) & (F.col("cut_bottom") - F.col("cut_top") > least_height) & (F.col("share") >= least_share))
 
 
 def complete_columns(
@@ -351,41 +351,42 @@ def complete_columns(
     and structure are one band with the least confidence.  ``depths`` (photo, order, box,
     depth_from, depth_to) gives depths by the first of its boxes over the column's centre.
 
-    Contacts of a column are numbered (a photo has a bounded number of boxes), so that pieces and
-    detections are whole-number intervals and no piece x detection pairs are formed.
+    All detections of a column meet as one array (a photo has a bounded number of boxes), so a photo
+    is shuffled once and everything after that is found where it lies.
     """
     keys, same = [photo, column], [label, *identity, structure]
     cut = column_candidates(columns, detections, photo=photo, column=column, order=order, label=label, least_share=least_share, least_height=least_height)
-    sound = columns.filter((F.col("right") > F.col("left")) & (F.col("bottom") > F.col("top"))).select(*keys, *BOX)
     y = lambda c: F.col(c).cast("double")
-    edges = cut.select(*keys, F.explode(F.array(y("cut_top"), y("cut_bottom"))).alias("y")).unionByName(
-        sound.select(*keys, F.explode(F.array(y("top"), y("bottom"))).alias("y"))).distinct()
-    line = W.partitionBy(*keys).orderBy("y")
-    edges = edges.withColumns({"at": F.row_number().over(line).cast("long"), "next": F.lead("y").over(line)})
-    first = edges.select(*keys, F.col("at").alias("from"), F.col("y").alias("cut_top"))
-    last = edges.select(*keys, F.col("at").alias("to"), F.col("y").alias("cut_bottom"))
-    placed = cut.withColumns({"cut_top": y("cut_top"), "cut_bottom": y("cut_bottom")}).join(first, [*keys, "cut_top"]).join(last, [*keys, "cut_bottom"])
     rank = [F.col(structure).isNotNull(), F.col(confidence) * F.col("share"), F.col("share"), F.col(confidence), -F.col("place")]
-    pieces = edges.filter(F.col("next") - F.col("y") > 1e-6)
-    asked = pieces.select(*keys, F.col("at").alias("seg_top"), (F.col("at") + 1).alias("seg_base"))
-    won = segment_winners(placed.withColumn("owned", F.lit(True)), asked, keys, rank, [*same, confidence, "owned"], top="from", base="to")
-    won = won.join(pieces.select(*keys, F.col("at").alias("seg_top"), "y", "next"), [*keys, "seg_top"])
-    bands = won.withColumn("gap_filled", F.col("owned").isNull()).withColumns({
-        label: F.when(F.col("gap_filled"), F.lit(gap_label)).otherwise(F.col(label)),
-        confidence: F.when(F.col("gap_filled"), F.lit(0)).otherwise(F.greatest(F.lit(0), F.least(F.lit(1), F.col(confidence))))})
-    down = W.partitionBy(*keys).orderBy("seg_top")
+    best = F.struct(*[c.alias(f"r{i}") for i, c in enumerate(rank)], *same, confidence)
+    held = F.struct(y("cut_top").alias("a"), y("cut_bottom").alias("z"), best.alias("best"))
+    per = cut.groupBy(*keys, *[f"c_{c}" for c in BOX]).agg(F.collect_list(F.when(F.col("owns"), held)).alias("on"))
+    if depths is not None:
+        scale = F.struct("order", *[F.col(c).cast("double").alias(c) for c in ("top", "bottom", "depth_from", "depth_to")])
+        of_photo = depths.groupBy(photo).agg(F.collect_list(F.struct(F.col("left").alias("l"), F.col("right").alias("r"), scale.alias("scale"))).alias("scales"))
+        centre = (F.col("c_left") + F.col("c_right")) / 2
+        over = F.filter("scales", lambda d: (centre >= d["l"]) & (centre <= d["r"]))
+        per = per.join(of_photo.hint("merge"), photo, "left").withColumn("scale", F.array_min(F.transform(over, lambda d: d["scale"]))).drop("scales")
+    kept = [F.col("c_left").alias("left"), F.col("c_right").alias("right"), *(["scale"] if depths is not None else [])]
+    ends = F.array_sort(F.array_distinct(F.concat(F.transform("on", lambda h: h["a"]), F.transform("on", lambda h: h["z"]), F.array(y("c_top"), y("c_bottom")))))
+    marked = per.select(*keys, *kept, "on", ends.alias("ends"))
+    pieces = marked.select(*keys, "left", "right", *kept[2:], "on", F.inline(F.transform(
+        F.slice("ends", F.lit(2), F.size("ends") - 1), lambda z, i: F.struct(F.get("ends", i).alias("y"), z.alias("next"))))).filter(F.col("next") - F.col("y") > 1e-6)
+    won = pieces.withColumn("best", F.array_max(F.transform(F.filter("on", lambda h: (h["a"] <= F.col("y")) & (h["z"] >= F.col("next"))), lambda h: h["best"]))).drop("on")
+    bands = won.withColumn("gap_filled", F.col("best").isNull()).withColumns({
+        **{c: F.col("best")[c] for c in (*identity, structure)},
+        label: F.when(F.col("gap_filled"), F.lit(gap_label)).otherwise(F.col("best")[label]),
+        confidence: F.when(F.col("gap_filled"), F.lit(0)).otherwise(F.greatest(F.lit(0), F.least(F.lit(1), F.col("best")[confidence])))})
+    down = W.partitionBy(*keys).orderBy("y")
     alike = F.lit(True)
     for c in (*same, "gap_filled"):
         alike = alike & F.lag(c).over(down).eqNullSafe(F.col(c))
     new = F.when((F.row_number().over(down) > 1) & alike, 0).otherwise(1)
     bands = bands.withColumn("new", new).withColumn("band", F.sum("new").over(down.rowsBetween(W.unboundedPreceding, 0)))
-    merged = bands.groupBy(*keys, "band", *same, "gap_filled").agg(F.min("y").alias("top"), F.max("next").alias("bottom"), F.min(confidence).alias(confidence))
-    made = merged.join(sound.select(*keys, "left", "right"), keys)
+    held_to = [F.first(c).alias(c) for c in ("left", "right", *(["scale"] if depths is not None else []))]
+    made = bands.groupBy(*keys, "band", *same, "gap_filled").agg(F.min("y").alias("top"), F.max("next").alias("bottom"), F.min(confidence).alias(confidence), *held_to)
     if depths is None:
         return made
-    d = depths.select(photo, F.struct("order", *[F.col(c).cast("double").alias(c) for c in ("top", "bottom", "depth_from", "depth_to")]).alias("scale"), F.col("left").alias("d_left"), F.col("right").alias("d_right"))
-    centre = (F.col("left") + F.col("right")) / 2
-    scales = sound.join(d, photo).filter((centre >= F.col("d_left")) & (centre <= F.col("d_right"))).groupBy(*keys).agg(F.min("scale").alias("scale"))
     span = F.col("scale.bottom") - F.col("scale.top")
     depth = lambda c: F.when(span > 0, F.bround(F.col("scale.depth_from") + (F.col(c) - F.col("scale.top")) / span * (F.col("scale.depth_to") - F.col("scale.depth_from")), 4))
-    return made.join(scales, keys, "left").withColumns({"depth_from": F.least(depth("top"), depth("bottom")), "depth_to": F.greatest(depth("top"), depth("bottom"))}).drop("scale")
+    return made.withColumns({"depth_from": F.least(depth("top"), depth("bottom")), "depth_to": F.greatest(depth("top"), depth("bottom"))}).drop("scale")
