@@ -65,14 +65,16 @@ def running(
     reverse: bool = False,
     inclusive: bool = False,
     nulls: bool = True,
+    whole: Mapping[str, tuple[str, str]] | None = None,
 ) -> DataFrame:
     """Add prefix aggregates over the rows before (or after, ``reverse``) each row.
 
     ``values`` maps an output name to ``(kind, column)``; kinds are max, min, sum and
     last (the nearest non-null value).  ``order[0]`` is the block axis; rows without it come
-    first, unless ``nulls`` is off.
+    first, unless ``nulls`` is off.  ``whole`` adds aggregates (max, min or sum) over all rows of the
+    key, which come with the carried totals and so need no join of their own.
     """
-    keys, order = list(keys), list(order)
+    keys, order, whole = list(keys), list(order), dict(whole or {})
     blocked = with_block(df, order[0], width, keys, nulls)
     direction = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
     frame = (
@@ -93,6 +95,7 @@ def running(
         else:
             total = {"max": F.max, "min": F.min, "sum": F.sum}[kind](value)
         totals.append(total.alias(f"__t_{name}"))
+    totals += [REDUCERS[kind](col).alias(f"__t_{name}") for name, (kind, col) in whole.items()]
     block_order = F.col(BLOCK).desc() if reverse else F.col(BLOCK).asc()
     outer = W.partitionBy(*keys).orderBy(block_order).rowsBetween(W.unboundedPreceding, -1)
     carries = []
@@ -103,6 +106,8 @@ def running(
             else {"max": F.max, "min": F.min, "sum": F.sum}[kind](total)
         )
         carries.append(carry.over(outer).alias(f"__c_{name}"))
+    over_all = W.partitionBy(*keys)
+    carries += [REDUCERS[kind](f"__t_{name}").over(over_all).alias(f"__c_{name}") for name, (kind, _) in whole.items()]
     carried = blocked.groupBy(*keys, BLOCK).agg(*totals).select(*keys, BLOCK, *carries)
     # A block may hold one row, so there can be as many blocks as rows: merged, never broadcast.
     joined = local.join(carried.hint("merge"), [*keys, BLOCK])
@@ -112,6 +117,7 @@ def running(
             _combine(kind, F.col(f"__l_{name}"), F.col(f"__c_{name}")).alias(name)
             for name, (kind, _) in values.items()
         ],
+        *[F.col(f"__c_{name}").alias(name) for name in whole],
     )
 
 

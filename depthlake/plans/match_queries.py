@@ -438,10 +438,9 @@ def tape(t: Tables) -> DataFrame:
     p = t.photos()
     gone = (F.col("well") % 2 == 0) & (F.col("photo") % 2 == 0) | (F.col("well") % 2 == 0)
     photos = p.select("photo", "well", F.when(~gone, F.col("top_cm")).alias("top_cm"), F.when(~gone, F.col("base_cm")).alias("base_cm"))
-    cols = t.detections().join(p.select("photo", "well"), "photo").select("photo", "well", F.col("det").alias("col"), (F.col("bottom") - F.col("top")).alias("height"))
-    placed = numbered(cols, ["well"], ["photo", "col"], "tape_pos").drop("well")
+    cols = t.detections().select("photo", F.col("det").alias("col"), (F.col("bottom") - F.col("top")).alias("height"))
     wells = t.layers().groupBy("well").agg(F.min("top_cm").alias("top_cm"), F.max("base_cm").alias("base_cm"))
-    return K.tape_calibration(placed, photos, wells).select("photo", "col", "top_cm", "base_cm")
+    return K.tape_calibration(cols, photos, wells, order=("photo", "col")).select("photo", "col", "top_cm", "base_cm")
 
 
 @query("P9_free_ranges", f"""
